@@ -128,6 +128,12 @@ def operation_summary(samples: DataFrame, key: str, newest: int = 1000) -> DataF
     return base.join(nearest_rank_percentiles(kept, [key], "duration_ms", {"p95": 0.95}), key)
 
 
+def exact_mean(total: str, n: str, digits: int = 4) -> Column:
+    """Mean of an exact decimal total, rounded half up in decimals."""
+    share = F.col(total).cast("decimal(18,2)") / F.col(n).cast("decimal(12,0)")
+    return F.round(share, digits).cast("double")
+
+
 def rolling_call_stats(calls: DataFrame, key: str, window: int = 100, chunk_hours: int = 1) -> DataFrame:
     """Success rate, mean and p95 duration over each call's last ``window`` calls, with all-time figures beside.
 
@@ -150,10 +156,10 @@ def rolling_call_stats(calls: DataFrame, key: str, window: int = 100, chunk_hour
     return out.select(
         key, "request_id", "pos", "window_size",
         F.round(F.col("window_ok") / F.col("window_size"), 4).alias("window_success_rate"),
-        F.round(F.col("window_duration").cast("double") / F.col("window_size"), 4).alias("window_avg_duration"),
+        exact_mean("window_duration", "window_size").alias("window_avg_duration"),
         F.element_at("_sorted", index + 1).alias("window_p95_duration"),
         F.round(F.col("ok_so_far") / F.col("pos"), 4).alias("all_time_success_rate"),
-        F.round(F.col("duration_so_far").cast("double") / F.col("pos"), 4).alias("all_time_avg_duration"))
+        exact_mean("duration_so_far", "pos").alias("all_time_avg_duration"))
 
 
 def firing_spans(points: DataFrame, keys: list[str], breach: str, hold_seconds: int) -> DataFrame:

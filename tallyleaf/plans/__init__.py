@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("metering", "monitoring")
+MODULES = ("metering", "monitoring", "text")
 
 
 def _load():

@@ -136,9 +136,9 @@ def operation_summary(spark, d):
     FROM usage WINDOW f AS (PARTITION BY tenant_id ORDER BY ts, request_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW),
       a AS (PARTITION BY tenant_id ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING))
   SELECT tenant_id, request_id, pos, len(ds) AS window_size, ROUND(oks::DOUBLE / len(ds), 4) AS window_success_rate,
-    ROUND(dur::DOUBLE / len(ds), 4) AS window_avg_duration,
+    (CAST(dur * 100 AS HUGEINT) * 200 + len(ds)) // (2 * len(ds)) / 10000.0::DOUBLE AS window_avg_duration,
     list_sort(ds)[least(CAST(floor(len(ds) * 0.95::DOUBLE) AS BIGINT), len(ds) - 1) + 1] AS window_p95_duration,
-    ROUND(all_ok::DOUBLE / pos, 4) AS all_time_success_rate, ROUND(all_dur::DOUBLE / pos, 4) AS all_time_avg_duration FROM w""")
+    ROUND(all_ok::DOUBLE / pos, 4) AS all_time_success_rate, (CAST(all_dur * 100 AS HUGEINT) * 200 + pos) // (2 * pos) / 10000.0::DOUBLE AS all_time_avg_duration FROM w""")
 def rolling_call_stats(spark, d):
     return mon.rolling_call_stats(v.usage(spark, d), "tenant_id")
 
