@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("metering", "monitoring", "text")
+MODULES = ("metering", "monitoring", "text", "fields")
 
 
 def _load():
