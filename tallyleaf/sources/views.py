@@ -108,14 +108,9 @@ def channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two recognition channels in long form (doc_id, field, value, conf) derived from the part table."""
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
-    pairs = F.array(
-        F.struct(F.lit("brand").alias("field"), F.col("p_brand").alias("value"), F.lit(0).alias("i")),
-        F.struct(F.lit("product_name"), F.col("p_name"), F.lit(1)),
-        F.struct(F.lit("specification"), F.concat(F.col("p_size").cast("string"), F.lit("ml")), F.lit(2)),
-        F.struct(F.lit("package_type"), F.col("p_type"), F.lit(3)),
-    )
-    long = p.select(key.alias("doc_id"), F.col("p_type").alias("category"), F.explode(pairs).alias("f")).select(
-        "doc_id", "category", "f.field", "f.value", "f.i")
+    long = p.select(key.alias("doc_id"), F.col("p_type").alias("category"), F.expr(
+        "stack(4, 'brand', p_brand, 0, 'product_name', p_name, 1, 'specification', concat(cast(p_size AS string), 'ml'), 2, "
+        "'package_type', p_type, 3) AS (field, value, i)"))
     salt = F.col("doc_id") + F.col("i")
     ocr = long.where(salt % 7 != 0).select(
         "doc_id", "category", "field", "value",
