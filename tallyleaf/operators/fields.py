@@ -53,14 +53,14 @@ def fuse_fields(aligned: DataFrame) -> DataFrame:
     return rows.withColumn("decision", decision).withColumn("chosen", chosen).withColumn("fused_value", value).drop("w_ocr", "w_vl")
 
 
-def fusion_by_document(fused: DataFrame) -> DataFrame:
+def fusion_by_document(fused: DataFrame, digits: int = 4) -> DataFrame:
     """Fused confidence and counts of agreement and conflict per document; one-channel fields count as .5."""
     mean_conf = (F.coalesce(F.max("ocr_conf"), F.lit(0.7)) + F.coalesce(F.max("vl_conf"), F.lit(0.7))) / 2
     return fused.groupBy("doc_id").agg(
         F.count("*").alias("fields"),
         F.count_if(F.col("decision") == "consensus_ocr").alias("consensus"),
         F.count_if(F.col("decision") == "conflict_resolution").alias("conflicts"),
-        F.round(mean_conf * (0.7 + 0.3 * F.avg(F.coalesce("consistency", F.lit(0.5)))), 4).alias("fused_confidence"))
+        F.round(mean_conf * (0.7 + 0.3 * F.avg(F.coalesce("consistency", F.lit(0.5)))), digits).alias("fused_confidence"))
 
 
 def conflicting(a: Column, b: Column, limit: float = 0.5) -> Column:

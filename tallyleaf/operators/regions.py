@@ -6,14 +6,13 @@ first cut into clusters that cannot touch each other.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyleaf import fixed_values as fv
-from tallyleaf.functions import text as tx
-from tallyleaf.operators.scale import literal_table
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -200,22 +199,21 @@ def merge_close_lines(coords: Column, threshold: int = 5) -> Column:
 def assign_columns(regions: DataFrame, page: str = "doc_id") -> DataFrame:
     """Column of each region by one-dimensional k-means with quantile seeds; k grows until the inertia is small."""
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = ((pdf["x1"] + pdf["x2"]) / 2).to_numpy(dtype=float)
-        labels = (x * 0).astype(int)
+        x = ((pdf["x1"].to_numpy() + pdf["x2"].to_numpy()) / 2.0)
+        labels = np.zeros(len(x), dtype="int64")
         for k in range(2, 6):
             if len(x) < k:
                 break
-            centers = pd.Series(x).quantile([(i + 0.5) / k for i in range(k)]).to_numpy()
+            centers = np.quantile(x, (np.arange(k) + 0.5) / k)
             for _ in range(50):
-                near = abs(x[:, None] - centers[None, :]).argmin(axis=1)
-                moved = [x[near == i].mean() if (near == i).any() else centers[i] for i in range(k)]
-                if all(abs(m - c) < 1e-9 for m, c in zip(moved, centers)):
+                near = np.abs(x[:, None] - centers).argmin(axis=1)
+                moved = np.array([x[near == i].mean() if (near == i).any() else centers[i] for i in range(k)])
+                if np.allclose(moved, centers, atol=1e-9):
                     break
-                centers = pd.Series(moved).to_numpy()
-            near = abs(x[:, None] - centers[None, :]).argmin(axis=1)
+                centers = moved
+            near = np.abs(x[:, None] - centers).argmin(axis=1)
             if ((x - centers[near]) ** 2).sum() < len(x) * 100:
-                order = {c: i for i, c in enumerate(pd.Series(centers).sort_values().index)}
-                labels = pd.Series(near).map(order).to_numpy()
+                labels = centers.argsort().argsort()[near]
                 break
         return pd.DataFrame({page: pdf[page], "region_id": pdf["region_id"], "column_no": labels})
 
@@ -224,7 +222,7 @@ def assign_columns(regions: DataFrame, page: str = "doc_id") -> DataFrame:
 
 def block_counts(blocks: DataFrame, page: str = "doc_id") -> DataFrame:
     """Blocks per type and page."""
-    return blocks.groupBy(page).pivot("type", ["text", "table", "seal", "chart", "formula", "image"]).agg(F.count("*")).na.fill(0)
+    return blocks.groupBy(page).pivot("type", ["text", "table", "seal", "chart", "formula", "image"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def page_markdown(blocks: DataFrame, page: str = "doc_id") -> DataFrame:

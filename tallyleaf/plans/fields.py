@@ -55,9 +55,9 @@ def fuse_fields(spark, d):
 
 @query("A13_fusion_by_document", "WITH " + FUSED + """ SELECT doc_id, count(*) AS fields, count(*) FILTER (decision = 'consensus_ocr') AS consensus,
     count(*) FILTER (decision = 'conflict_resolution') AS conflicts,
-    ROUND((coalesce(max(oc), 0.7::DOUBLE) + coalesce(max(vc), 0.7::DOUBLE)) / 2 * (0.7::DOUBLE + 0.3::DOUBLE * avg(coalesce(c, 0.5::DOUBLE))), 4) AS fused_confidence FROM fused GROUP BY 1""")
+    ROUND((coalesce(max(oc), 0.7::DOUBLE) + coalesce(max(vc), 0.7::DOUBLE)) / 2 * (0.7::DOUBLE + 0.3::DOUBLE * avg(coalesce(c, 0.5::DOUBLE))), 8) AS fused_confidence FROM fused GROUP BY 1""")
 def fusion_by_document(spark, d):
-    return ops.fusion_by_document(fused(spark, d))
+    return ops.fusion_by_document(fused(spark, d), 8)
 
 
 @query("E01_channel_fields", "SELECT DISTINCT field FROM (SELECT field FROM ocr UNION ALL SELECT field FROM vl)")
