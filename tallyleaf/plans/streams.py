@@ -84,7 +84,7 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 
 
 def event_stream(spark, d):
-    e = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{d}/events.parquet")
+    e = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(d)
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
                     F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("k"))
 
