@@ -33,6 +33,12 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({', '.join(n for n, _ in columns)})")
 
 
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan of too few file splits before per-row heavy work; a scan that already fills the cores is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def hour_chunk(ts: str = "ts", hours: int = 1) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(3600 * hours)).cast("bigint")
 

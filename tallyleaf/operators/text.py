@@ -100,10 +100,14 @@ def leak_paths(df: DataFrame) -> DataFrame:
 
 
 def mask_corpus(docs: DataFrame, kind: str = "partial", types: list[str] | None = None) -> DataFrame:
-    """Masked text of each document with the number of types found before and after."""
-    out = docs.withColumn("masked", tx.mask_text(F.col("text"), kind, types))
-    return out.withColumn("types_before", F.size(tx.detected_types(F.col("text")))).withColumn(
-        "types_after", F.size(tx.detected_types(F.col("masked"))))
+    """Masked text of each document with the number of types found before and after.
+
+    A document in which no pattern matches is its own masked form, so only the others pay for the masking.
+    """
+    found = docs.withColumn("types_before", F.size(tx.detected_types(F.col("text"))))
+    touched = F.col("types_before") > 0
+    masked = found.withColumn("masked", F.when(touched, tx.mask_text(F.col("text"), kind, types)).otherwise(F.col("text")))
+    return masked.withColumn("types_after", F.when(touched, F.size(tx.detected_types(F.col("masked")))).otherwise(0))
 
 
 def mask_table(df: DataFrame, kind: str = "partial") -> DataFrame:

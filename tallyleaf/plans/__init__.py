@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("metering", "monitoring", "text", "fields", "regions", "expiry", "services", "streams")
+MODULES = ("metering", "monitoring", "text", "fields", "regions", "expiry", "services", "streams", "sources")
 
 
 def _load():

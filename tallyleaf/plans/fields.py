@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyleaf import fixed_values as fv
 from tallyleaf.functions import text as tx
 from tallyleaf.operators import fields as ops
+from tallyleaf.operators.scale import use_all_cores
 from tallyleaf.plans.oracle_views import sql_list, sql_rows
 from tallyleaf.plans.registry import query
 from tallyleaf.sources import views as v
@@ -180,7 +181,7 @@ BEST = "greatest(" + ", ".join(f"s{i}" for i in range(len(fv.CATEGORY_KEYWORDS))
   SELECT CASE WHEN best = 0 THEN '{fv.CATEGORY_DEFAULT}' {' '.join(f"WHEN s{i} = best THEN '{c}'" for i, c in enumerate(fv.CATEGORY_KEYWORDS))} END AS category,
     count(*) AS docs, CAST(sum(best) AS BIGINT) AS hits FROM s GROUP BY 1""")
 def category_scores(spark, d):
-    return ops.category_scores(v.table(spark, d, "documents").select("doc_id", "text")).groupBy("category").agg(
+    return ops.category_scores(use_all_cores(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id")).groupBy("category").agg(
         F.count("*").alias("docs"), F.sum("score").alias("hits"))
 
 
@@ -218,7 +219,8 @@ def labelled(spark, d):
     extra = (F.when(i % 3 == 0, F.concat(F.lit("Brand: Acme"), i.cast("string"), F.lit("\nNet Weight: 500 g\nShelf Life: 12 months")))
              .when(i % 3 == 1, F.concat(F.lit("Product Name: Oat Milk\nProduction Date: 2025/1/"), (i % 28 + 1).cast("string"),
                                         F.lit("\nManufacturer: Foo Bar Inc.\nLOT No: AB12"), i.cast("string"))).otherwise(""))
-    return v.table(spark, d, "documents").select("doc_id", "source", F.concat("text", F.lit("\n"), extra).alias("text"))
+    docs = use_all_cores(v.table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    return docs.select("doc_id", "source", F.concat("text", F.lit("\n"), extra).alias("text"))
 
 
 @query("X11_fill_rate")
