@@ -213,6 +213,11 @@ def list_items(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         F.count("*").alias("items"), F.countDistinct(id_col).alias("pages"))
 
 
+def tagged(values: Column, name: str, label: str) -> Column:
+    """Each value of an array beside a fixed label."""
+    return F.transform(values, lambda x: F.struct(F.lit(label).alias(name), x.alias("value")))
+
+
 def product_attributes(df: DataFrame, text: str) -> DataFrame:
     """Every size, capacity, batch and year found in a text, in long form (kind, value)."""
     def every(pattern, group=0):
@@ -229,8 +234,7 @@ def product_attributes(df: DataFrame, text: str) -> DataFrame:
                            every(r"(?i)lot[:：]?([A-Za-z0-9]+)", 1))),
         ("year", every(r"(?:19|20)[0-9]{2}")),
     ]
-    pairs = F.flatten(F.array(*[F.transform(values, lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("value")))
-                                for kind, values in kinds]))
+    pairs = F.flatten(F.array(*[tagged(values, "kind", kind) for kind, values in kinds]))
     return df.select(*[c for c in df.columns if c != text], F.inline(pairs))
 
 
@@ -249,9 +253,7 @@ HARVEST_PATTERNS = {
 def harvest_identifiers(docs: DataFrame) -> DataFrame:
     """Every date-like and batch-like string, one row per match. Explodes inside the scan stage."""
     pairs = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)),
-                    lambda x, k=kind: F.struct(F.lit(k).alias("pattern"), x.alias("value")))
-        for kind, p in HARVEST_PATTERNS.items()]))
+        tagged(F.regexp_extract_all("text", F.lit(p), F.lit(0)), "pattern", kind) for kind, p in HARVEST_PATTERNS.items()]))
     return docs.select("doc_id", F.inline(pairs))
 
 
