@@ -51,25 +51,19 @@ def running_totals(
     ``chunk`` must not decrease along ``order``. Two shuffles: one of per-chunk totals (partial aggregates, small)
     and one of the rows on (keys, chunk).
     """
-    rows = df.withColumn("_chunk", chunk)
+    rows = df.withColumn("_piece", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk")))
     for name, expr in sums.items():
         rows = rows.withColumn(f"_v_{name}", expr)
-    totals = rows.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)],
-        F.col("_chunk").alias("_k_chunk"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    same_chunk = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
-    for i, k in enumerate(keys):
-        same_chunk = same_chunk & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
-    joined = rows.join(offsets, same_chunk, "left")
+    totals = rows.groupBy("_piece").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*[f"_piece.k{i}" for i in range(len(keys))]).orderBy("_piece.chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = totals.select("_piece", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    # The struct is the join key and the window key alike: the rows are shuffled once, and null keys still match.
+    inside = Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(offsets, "_piece", "left")
     for name in sums:
         joined = joined.withColumn(name, F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}"))
-    helper = [f"_v_{n}" for n in sums] + [f"_o_{n}" for n in sums]
-    return joined.drop("_chunk", "_k_chunk", *[f"_k_{i}" for i in range(len(keys))], *helper)
+    return joined.drop("_piece", *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
 def positions(df: DataFrame, keys: list[str], chunk: Column, order: list, name: str = "pos") -> DataFrame:

@@ -246,3 +246,14 @@ def test_nutrition(spark):
 def test_search_error(spark):
     with pytest.raises(ValueError):
         services.search_nodes(spark.range(1).withColumnRenamed("id", "node_id"), nope=1)
+
+
+def test_running_totals_with_a_hot_and_a_null_key(spark):
+    from tallyleaf.operators.scale import running_totals
+
+    df = spark.range(500).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"), "id")
+    got = {r.id: r.s for r in running_totals(df, ["k"], F.floor(F.col("id") / 40), ["id"], {"s": F.col("id")}).collect()}
+    sums = {}
+    for r in df.orderBy("id").collect():
+        sums[r.k] = sums.get(r.k, 0) + r.id
+        assert got[r.id] == sums[r.k]
