@@ -87,6 +87,17 @@ def compliance_ledger(items: DataFrame) -> DataFrame:
         row("expired_rate", F.round(share, 6), F.when(share > 0.1, "critical").when(share > 0.05, "warning").otherwise("normal")))))
 
 
+def inventory_ledger(stock: DataFrame, category: str, alerts: DataFrame) -> DataFrame:
+    """Inventory report: total stock, number of categories, one row per category, one row per kind of stock alert."""
+    per = stock.groupBy(category).agg(F.sum("total_items").alias("n"))
+    totals = per.agg(F.sum("n").alias("items"), F.count("*").alias("categories")).select(F.inline(F.array(
+        F.struct(F.lit("total").alias("row_kind"), F.lit("items").alias("name"), F.col("items").cast("bigint").alias("number")),
+        F.struct(F.lit("total").alias("row_kind"), F.lit("categories").alias("name"), F.col("categories").cast("bigint").alias("number")))))
+    rows = per.select(F.lit("category").alias("row_kind"), F.col(category).alias("name"), F.col("n").cast("bigint").alias("number"))
+    warned = alerts.groupBy("alert").agg(F.count("*").alias("number")).select(F.lit("alert").alias("row_kind"), F.col("alert").alias("name"), "number")
+    return totals.unionByName(rows).unionByName(warned)
+
+
 def category_breakdown(items: DataFrame, category: str) -> DataFrame:
     """Items per category and in total."""
     return items.rollup(category).agg(F.count("*").alias("items"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyleaf import fixed_values as fv
 from tallyleaf.operators.scale import (
-    hour_chunk, literal_table, nearest_rank_percentiles, newest_per_key, positions, rolling_blocks, running_totals,
+    hour_chunk, literal_table, nearest_rank_percentiles, newest_per_key, rolling_blocks, running_totals,
 )
 
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}

@@ -152,6 +152,15 @@ def compliance_ledger(spark, d):
     return ops.compliance_ledger(shelf(spark, d))
 
 
+@query("A20_inventory_ledger", "WITH " + STOCK + """, c AS (SELECT p_type, sum(total_items) AS n FROM stock JOIN part USING (p_partkey) GROUP BY 1)
+  SELECT 'total' AS row_kind, 'items' AS name, CAST(sum(n) AS BIGINT) AS number FROM c UNION ALL SELECT 'total', 'categories', count(*) FROM c UNION ALL SELECT 'category', p_type, CAST(n AS BIGINT) FROM c
+  UNION ALL SELECT 'alert', CASE WHEN total_items = 0 THEN 'out_of_stock' WHEN total_items < 25 THEN 'low_stock' ELSE 'overstock' END, count(*) FROM stock WHERE total_items < 25 OR total_items > 40 GROUP BY 2""")
+def inventory_ledger(spark, d):
+    s = stock(spark, d)
+    typed = s.join(v.table(spark, d, "part").select("p_partkey", "p_type"), "p_partkey")
+    return ops.inventory_ledger(typed, "p_type", ops.stock_alerts(s, 25, 40))
+
+
 @query("A21_category_breakdown", "SELECT coalesce(p_type, 'all') AS category, count(*) AS items FROM part GROUP BY ROLLUP (p_type)")
 def category_breakdown(spark, d):
     return ops.category_breakdown(v.table(spark, d, "part"), "p_type").select(F.coalesce("p_type", F.lit("all")).alias("category"), "items")

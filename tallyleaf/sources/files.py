@@ -28,7 +28,7 @@ def read_corpus(spark: SparkSession, path: str, kind: str, schema: str | None =
     if kind == "xml":
         return spark.read.schema(schema).option("rowTag", row_tag).xml(path)
     if kind in ("html", "md", "txt"):
-        return spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     raise ValueError(f"unknown kind: {kind}")
 
 

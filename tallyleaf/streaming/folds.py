@@ -125,6 +125,22 @@ class ExpiringEntry:
         return (False,)
 
 
+class QuotaWatch:
+    """Running monthly tokens against a quota; names the shares of the quota that the event crosses."""
+
+    inputs = ("ts_s", "period", "tokens", "quota")
+    outputs = "used double, crossed string"
+
+    def __init__(self, shares=(0.7, 0.85, 0.95, 1.0)):
+        self.shares, self.period, self.used = list(shares), None, 0.0
+
+    def step(self, ts_s, period, tokens, quota):
+        if period != self.period:
+            self.period, self.used = period, 0.0
+        before, self.used = self.used, self.used + tokens
+        return self.used, ",".join(str(s) for s in self.shares if before < s * quota <= self.used)
+
+
 def save(fold) -> str:
     return json.dumps(fold.__dict__)
 

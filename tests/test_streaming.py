@@ -102,3 +102,9 @@ def test_replay_counts_once(spark):
     df = spark.createDataFrame(rows).withColumn("ts", F.lit("2024-01-05").cast("timestamp")).withColumn("cost_usd", F.lit("0.1").cast("decimal(20,6)"))
     r = jobs.monthly_from_batches(df).first()
     assert (r.call_count, r.total_tokens) == (2, 11)
+
+
+def test_quota_watch_crosses_once():
+    f = folds.QuotaWatch()
+    got = [f.step(t, p, n, 100)[1] for t, p, n in ((0, "a", 60), (1, "a", 20), (2, "a", 30), (3, "a", 5), (4, "b", 75))]
+    assert got == ["", "0.7", "0.85,0.95,1.0", "", "0.7"]
