@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyleaf.llm.licences import scan_licences, scan_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,3 +102,29 @@ def op4(spark, sf_dir):
     from tallyleaf.llm.quality import quality_verdicts
 
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    from tallyleaf.llm.language_profiles import language_of_documents
+
+    return language_of_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_nearest_neighbours")
+def op2(spark, sf_dir):
+    from tallyleaf.llm.neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op1_license_scan", scan_sql())
+def op1(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op5_chat_formatting")
+def op5(spark, sf_dir):
+    from tallyleaf.llm.transcripts import format_conversations
+
+    return format_conversations(table(spark, sf_dir, "conversations"))
