@@ -1,0 +1,288 @@
+"""Per-document operators against brute force, the tokenizer's own library and round trips."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyleaf.llm import licences, pii, transcripts
+from tallyleaf.llm.boosted_trees import fit
+from tallyleaf.llm.language_profiles import language_of_documents
+from tallyleaf.llm.licences import scan_licences
+from tallyleaf.llm.mixing import mixed_documents, mixed_sizes, source_targets
+from tallyleaf.llm.piece_transducer import decode_documents, encode_documents, transducer
+from tallyleaf.llm.quality import judge, quality_verdicts
+from tallyleaf.llm.queries import piece_model
+from tallyleaf.llm.token_counts import counter, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = ["", None, " ", "\n\n", "x", "word " * 30000, "é" * 50, "a\x00b", "日本語 テキスト", "İSTANBUL Kelvin K MIT", "tab\tand\x0bvertical\x0cfeed\r\n"]
+SCHEMA = "doc_id long, text string, source string, n_words string, _kept string, words string"
+
+
+def frame(spark, texts, source=lambda i: f"s{i % 3}"):
+    return spark.createDataFrame([(i, t, source(i), "?", "?", "?") for i, t in enumerate(texts)], SCHEMA).repartition(3)
+
+
+# licences ---------------------------------------------------------------------------------------------------------
+
+
+def brute_licences(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    base, labels, score = [], set(), 0.0
+    for _, label, ws, need, keys, is_base in licences.templates():
+        for start in range(-len(ws) + 1, len(words)):
+            same = [0 <= start + j < len(words) and words[start + j] == w for j, w in enumerate(ws)]
+            if sum(same) >= need and all(same[k] for k in keys):
+                labels.add(label)
+                score = max(score, sum(same) / len(ws))
+                if is_base:
+                    base.append((start, label))
+    starts = [s for s, _ in base]
+    return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({b for _, b in base})), ",".join(sorted(labels)), score)
+
+
+def test_licence_scan(spark):
+    rnd = random.Random(2)
+    texts = list(ODD[:5]) + ODD[6:] + ["Under the MIT License. under the mit licence, under-the-mit-license!", "Apache License, Version 2.0 and CC BY-NC 4.0", "mit mit license under the"]
+    for notice, _, _ in licences.NOTICES:
+        words = notice.split()
+        for changed in (0, 1, 3, 6):
+            w = words[:]
+            for _ in range(changed):
+                w[rnd.randrange(len(w))] = "zzz"
+            texts.append("lead in " + " ".join(w).upper() + " trailing words")
+        texts.append(" ".join(words[2:]))
+    got = {r.doc_id: tuple(r)[1:] for r in scan_licences(frame(spark, texts)).collect()}
+    assert got == {i: brute_licences(t) for i, t in enumerate(texts)}
+    assert scan_licences(frame(spark, texts).limit(0)).count() == 0
+
+
+# quality ----------------------------------------------------------------------------------------------------------
+
+
+def brute_counts(text):
+    text = text or ""
+    words, seen, dup = WORD.findall(text), set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(words[i: i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if windows[tuple(words[i: i + 3])] > 1 for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def quality_texts():
+    rnd = random.Random(4)
+    good = [" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(80)) + "." for _ in range(60)]
+    bad = [" ".join(f"w{rnd.randint(0, 5000)}###" for _ in range(80)) for _ in range(60)]
+    return good + bad + ODD + ["same line here\n" * 20, "a b c a b c a b"]
+
+
+def test_quality_counts_and_verdicts(spark):
+    texts = quality_texts()
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 120, 2)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality_verdicts(docs, labels).collect()
+    assert {r.doc_id: tuple(r)[1:6] for r in rows} == {i: brute_counts(t) for i, t in enumerate(texts)}
+    kept = {r.doc_id: r.kept for r in rows}
+    assert all(kept[i] for i in range(60)) and not any(kept[i] for i in range(60, 120))
+    for r in rows:
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+    out = judge(docs, labels)
+    assert out.columns[:4] == ["doc_id", "text", "source", "n_words"] and out.where("_kept").count() == sum(kept.values())
+    nothing = quality_verdicts(docs, labels.limit(0)).collect()
+    assert all(r.kept != r.base_failed for r in nothing)
+    assert quality_verdicts(docs.limit(0), labels).count() == 0
+
+
+def test_trees_learn_and_keep_their_signs():
+    rng = np.random.default_rng(3)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] < 0.5) & (x[:, 1] + 0.2 * rng.random(800) > 0.3)).astype(float)
+    forest = fit(x, y, np.array([-1, 0, 0]))
+    assert ((forest.score(x) > 0.5) == y).mean() > 0.95
+    line = np.column_stack([np.linspace(0, 1, 50), np.full(50, 0.7), np.full(50, 0.5)])
+    assert (np.diff(forest.score(line)) <= 1e-12).all()
+    assert (fit(x, np.ones(800), np.zeros(3)).score(x) > 0.9).all()
+
+
+# tokens -----------------------------------------------------------------------------------------------------------
+
+
+def token_texts():
+    rnd = random.Random(6)
+    letters = "  ▁abcdefghithe ing.,;(){}\n\t=éßñ你好😀ſﬁ0123456789<s>\\/-_\"'ABCDE"
+    return [t for t in ODD] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 80))) for _ in range(400)] + [" " * k + "Hi" for k in range(40)]
+
+
+def test_counts_and_identifiers_equal_the_library(spark):
+    import sentencepiece
+
+    texts = token_texts()
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    want = {i: lib.encode(t) if t else [] for i, t in enumerate(texts)}
+    docs = frame(spark, texts)
+    counted = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, piece_model()).collect()}
+    assert counted == {i: (len((t or "").encode()), len(want[i]), len(want[i]) > 4096) for i, t in enumerate(texts)}
+    encoded = encode_documents(docs, piece_model())
+    rows = encoded.collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: None if texts[i] is None else w for i, w in want.items()}
+    assert all(r.round_trip == ("▁" not in texts[r.doc_id]) for r in rows if texts[r.doc_id] is not None)
+    back = {r.doc_id: r.text for r in decode_documents(encoded, piece_model()).collect()}
+    assert back == {i: None if t is None else lib.decode(want[i]) for i, t in enumerate(texts)}
+    assert token_counts(docs.limit(0), piece_model()).count() == 0 and encode_documents(docs.limit(0), piece_model()).count() == 0
+
+
+def test_remembered_results_survive_forgetting():
+    count, machine = counter(piece_model()), transducer(piece_model())
+    texts = [f"wort{k}er zahl{k % 7}" for k in range(300)]
+    first = [count(t) for t in texts]
+    small, few = type(count)(count.voc, most=5), type(machine)(machine.voc, most=5)
+    assert [small(t) for t in texts] == first == [len(few.encode(t)) for t in texts]
+
+
+# mixing -----------------------------------------------------------------------------------------------------------
+
+
+def brute_mix(rows):
+    sizes = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(sizes[i] for i, _, x in rows if x == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    total, capped = sum(own.values()), set()
+    while True:
+        rest, open_weight = total - sum(3 * own[s] for s in capped), sum(weight[s] for s in names if s not in capped)
+        target = {s: float(3 * own[s]) if s in capped else rest * weight[s] / open_weight for s in names}
+        more = {s for s in names if s not in capped and target[s] >= 3 * own[s]}
+        if not more:
+            break
+        capped |= more
+    out = {}
+    for s in names:
+        line, at = sorted((hashlib.md5(f"mix{i}".encode()).hexdigest(), i) for i, _, x in rows if x == s), 0
+        for _, i in line:
+            taken = sum(max(0, min(sizes[i], int(target[s]) - at - p * own[s])) for p in range(3))
+            out[i] = (sizes[i], own[s], target[s], taken)
+            at += sizes[i]
+    return out
+
+
+def test_mix_matches_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join("w" * rnd.randint(1, 30)) if i % 11 else None, ["a", "b", "c", "d", None][min(4, rnd.randint(0, 9))]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in mixed_sizes(docs).collect()}
+    want = brute_mix(rows)
+    assert {i: (a, b, d) for i, (a, b, _, d) in got.items()} == {i: (a, b, d) for i, (a, b, _, d) in want.items()}
+    assert all(got[i][2] == pytest.approx(want[i][2]) for i in want)
+    mixed = [(r.doc_id, len(WORD.findall(r.text))) for r in mixed_documents(docs.withColumn("_size", F.lit("clash"))).collect()]
+    words = Counter()
+    for i, n in mixed:
+        words[i] += n
+    assert {i: words[i] for i in want} == {i: w[3] for i, w in want.items()}
+
+
+def test_mix_of_nothing(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mixed_sizes(docs).count() == 0 and mixed_documents(docs).count() == 0
+    empty = spark.createDataFrame([(1, None, None), (1, "", "a")], "doc_id long, text string, source string")
+    assert [r.taken for r in mixed_sizes(empty).collect()] == [0, 0] and mixed_documents(empty).count() == 0
+
+
+def test_targets_never_exceed_three_times_a_source(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 400), (None, 5)], "source string, source_size long")
+    got = {r.source: r.target for r in source_targets(sizes).collect()}
+    assert got["a"] == 30 and sum(got.values()) == pytest.approx(1415) and all(got[s] <= 3 * n for s, n in (("b", 1000), ("c", 400), (None, 5)))
+
+
+# languages --------------------------------------------------------------------------------------------------------
+
+
+def test_languages_by_held_out_accuracy(spark):
+    rnd = random.Random(9)
+    syllables = {"aa": ["the", "ing", "and", "wh"], "bb": ["sch", "ung", "ein", "ö"], "cc": ["ción", "que", "ll", "ñ"]}
+    rows = []
+    for i in range(240):
+        lang = ["aa", "bb", "cc"][i % 3]
+        rows.append((i, " ".join("".join(rnd.choice(syllables[lang]) for _ in range(rnd.randint(1, 3))) for _ in range(40)), lang if i % 10 else None))
+    odd = [(1000 + k, t, "aa") for k, t in enumerate(["", None, "123 456 !", "\n"])]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_of_documents(docs).collect()}
+    assert sum(got[i].lang_pred == ["aa", "bb", "cc"][i % 3] for i in range(240) if got[i].held_out) >= 0.95 * sum(got[i].held_out for i in range(240))
+    assert all(got[1000 + k].lang_pred == "und" and got[1000 + k].score == 0 for k in range(4))
+    assert all(0 <= r.score <= 1 for r in got.values())
+    none = language_of_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in none} == {"und"}
+    assert language_of_documents(docs.limit(0)).count() == 0
+
+
+# personal data ----------------------------------------------------------------------------------------------------
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_base_spans_match_patterns(spark):
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choice("0123456789@.+- ()aZ%_é\n1122") for _ in range(rnd.randint(0, 70))) for _ in range(4000)]
+    texts += ["a@b.c@d.e", "a@b@c.d", "999.1.2.3.4 1.2.3.4.5.6.7.8", "4539 1488 0343 6467", "+1 (543) 555-1435.", "00000000000000", "é me@x.org"]
+    assert [[s for s in pii.find(t) if s[0] in pii.BASE] for t in texts] == [brute_spans(t) for t in texts]
+    rows = {r.doc_id: r for r in pii.find_personal_data(frame(spark, ODD + texts[-7:])).collect()}
+    for i, t in enumerate(ODD + texts[-7:]):
+        want = brute_spans(t or "")
+        assert rows[i].base_sha256 == hashlib.sha256(pii.listed(want).encode()).hexdigest()
+        assert rows[i].n_email == sum(k == "email" for k, _, _ in want) and rows[i].n_phone == sum(k == "phone" for k, _, _ in want)
+
+
+def test_added_kinds_and_masking(spark):
+    text = "pay IBAN: DE89 3704 0044 0532 0130 00 ssn 123-45-6789 via https://bob:pw1@host.org/x"
+    assert [k for k, _, _ in pii.find(text)] == ["iban", "ssn", "url_login", "email"]
+    assert pii.masked(text) == "pay IBAN: [IBAN] ssn [SSN] via https://[URL_LOGIN]/x" or "[URL_LOGIN]" in pii.masked(text)
+    assert pii.find("IBAN DE00 3704 0044 0532 0130 00, ssn 000-12-3456, see http://host.org") == []
+    docs = frame(spark, ["mail me@x.org now", None, ""])
+    out = pii.mask_personal_data(docs)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {0: "mail [EMAIL] now", 1: None, 2: ""}
+
+
+# chat -------------------------------------------------------------------------------------------------------------
+
+
+def test_transcripts_recover_roles_and_texts(spark):
+    rnd = random.Random(12)
+    rows, truth = [], {}
+    for conv in range(160):
+        turns = [("system", "Be brief and kind.")] if conv % 4 == 0 else []
+        for k in range(rnd.randint(1, 4)):
+            turns.append(("user", " ".join("ask" for _ in range(rnd.randint(3, 9))) + "?"))
+            turns.append(("assistant", "\n".join(" ".join("word" for _ in range(rnd.randint(20, 60))) for _ in range(rnd.randint(1, 3)))))
+        truth[conv] = turns
+        rows += [(conv, t, role, text, "?") for t, (role, text) in enumerate(turns)]
+    rows += [(None, 0, "user", "hello there", "?"), (900, 0, None, "nobody", "?"), (901, 0, "user", None, "?")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, segment string")
+    out = {r.conv_id: r for r in transcripts.format_conversations(conv).collect()}
+    held = [c for c in truth if out[c].held_out]
+    right = [c for c in held if out[c].rendered_sha256 == hashlib.sha256(transcripts.render(truth[c]).encode()).hexdigest()]
+    assert len(right) >= 0.9 * len(held) and 900 not in out
+    assert transcripts.format_conversations(conv.limit(0)).count() == 0
+    model = transcripts.fit_model(conv)
+    given = spark.createDataFrame([(1, 0, None), (2, 0, " \n"), (3, 0, "Human: hi\nAI: yes, of course\n\nmore")], "conv_id long, segment long, text string")
+    parsed = {r.conv_id: [tuple(t) for t in r.turns] for r in transcripts.parse_transcripts(given, model).collect()}
+    assert parsed == {1: [], 2: [], 3: [("user", "hi"), ("assistant", "yes, of course\n\nmore")]}
