@@ -352,8 +352,9 @@ def _large_families(members: DataFrame, counts: DataFrame, percent: int, family_
     slices = open_rows.select("family", "part", "slice").distinct()
     left = named.withColumnRenamed("own", "part").join(slices, ["family", "part"])
     keep = ["family", "part", "slice", "node", "size", "grams", F.col("label").cast("string").alias("label")]
-    across = left.select(*keep).groupBy("family", "part", "slice").cogroup(
-        open_rows.select(*keep).groupBy("family", "part", "slice")).applyInArrow(_across_blocks(percent), EDGES)
+    names = ["family", "part", "slice", "node", "size", "grams", "label"]
+    across = left.select(*keep).toDF(*names).groupBy("family", "part", "slice").cogroup(
+        open_rows.select(*keep).toDF(*names).groupBy("family", "part", "slice")).applyInArrow(_across_blocks(percent), EDGES)
     return _components(links.union(across))
 
 
