@@ -8,22 +8,26 @@ from pyspark.sql import functions as F
 from tallyleaf import fixed_values as fv
 
 
-def parse_layouts(text: Column) -> dict[str, Column]:
-    """Date per layout; null where the layout does not occur or the date does not exist."""
-    return {name: F.try_to_date(F.nullif(F.regexp_extract(text, pattern, 0), F.lit("")), fmt)
-            for name, pattern, fmt in fv.DATE_LAYOUTS}
+def layout_and_date(text: Column) -> Column:
+    """First layout, in catalogue order, that yields a real date, as (layout, date); null without one.
+
+    A text is parsed only for layouts whose pattern it holds. Two-digit years from 69 on belong to the last century.
+    """
+    tries = []
+    for name, pattern, fmt in fv.DATE_LAYOUTS:
+        date = F.try_to_date(F.regexp_extract(text, pattern, 0), fmt)
+        if fmt.endswith("/yy"):
+            date = F.when(F.year(date) >= 2069, F.add_months(date, -1200)).otherwise(date)
+        tries.append(F.when(text.rlike(pattern), F.struct(F.lit(name).alias("layout"), date.alias("date"))))
+    return F.get(F.filter(F.array(*tries), lambda t: t["date"].isNotNull()), F.lit(0))
 
 
 def parse_date(text: Column) -> Column:
-    """First layout, in catalogue order, that yields a real date."""
-    return F.coalesce(*parse_layouts(text).values())
+    return layout_and_date(text)["date"]
 
 
 def date_layout(text: Column) -> Column:
-    chain = None
-    for name, parsed in parse_layouts(text).items():
-        chain = F.when(parsed.isNotNull(), name) if chain is None else chain.when(parsed.isNotNull(), name)
-    return chain
+    return layout_and_date(text)["layout"]
 
 
 def add_shelf_life(start: Column, amount: Column, unit: Column, policy: str = "day28") -> Column:

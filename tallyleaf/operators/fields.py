@@ -165,7 +165,12 @@ def scenarios(docs: DataFrame) -> DataFrame:
 
 
 def all_rules() -> dict[str, list[str]]:
-    return {f: fv.CJK_RULES.get(f, []) + fv.LATIN_RULES.get(f, []) for f in fv.LATIN_RULES}
+    return fv.FIELD_RULES
+
+
+def plain_rules() -> dict[str, list[str]]:
+    """The rules without look-around, in the same order: those that any regular-expression engine can state."""
+    return {f: [p for p in ps if not any(x in p for x in ("(?<", "(?=", "(?!"))] for f, ps in fv.FIELD_RULES.items()}
 
 
 def extract_fields(docs: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
@@ -200,29 +205,39 @@ def best_reading(readings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def engine_precedence(readings: DataFrame, keys: list[str]) -> DataFrame:
-    """Reading by precedence: first engine at .4 or more (joined by the second when 1.3 times longer), second, third."""
+    """Reading by precedence: first engine at .4 or more (joined by the second when 1.3 times longer), second, third.
+
+    Where none clears its floor, the filled reading with the largest confidence x length is taken; without any, ``none``.
+    """
     def pick(engine, col):
         return F.max(F.when(F.col("engine") == engine, F.col(col)))
 
-    wide = readings.groupBy(*keys).agg(*[pick(e, c).alias(f"{e}_{c}") for e in ("first", "second", "third") for c in ("text", "confidence")])
+    mass = F.when(F.col("text") != "", F.struct((F.col("confidence") * F.length("text")).alias("m"), F.col("engine")))
+    wide = readings.groupBy(*keys).agg(
+        *[pick(e, c).alias(f"{e}_{c}") for e in ("first", "second", "third") for c in ("text", "confidence")],
+        F.max_by(F.struct("engine", "text"), mass).alias("heaviest"))
     def has(e, floor):
         return F.coalesce((F.col(f"{e}_text") != "") & (F.col(f"{e}_confidence") >= floor), F.lit(False))
 
     fused = has("first", 0.4) & has("second", 0.5)
     longer = F.length("second_text") > F.length("first_text") * 1.3
     source = (F.when(fused, "first_fused").when(has("first", 0.4), "first").when(has("second", 0.4), "second")
-              .when(has("third", 0.0), "third").when(F.coalesce(F.col("first_text") != "", F.lit(False)), "first_fallback").otherwise("none"))
+              .when(has("third", 0.0), "third").when(F.col("heaviest").isNotNull(), F.concat("heaviest.engine", F.lit("_fallback"))).otherwise("none"))
     text = (F.when(fused & longer, F.concat_ws("\n", "first_text", "second_text")).when(has("first", 0.4), F.col("first_text"))
-            .when(has("second", 0.4), F.col("second_text")).when(has("third", 0.0), F.col("third_text")).otherwise(F.coalesce("first_text", F.lit(""))))
+            .when(has("second", 0.4), F.col("second_text")).when(has("third", 0.0), F.col("third_text")).otherwise(F.coalesce("heaviest.text", F.lit(""))))
     return wide.select(*keys, source.alias("source"), text.alias("text"))
 
 
 # --- accuracy -----------------------------------------------------------------------------------------------
 
 def compare_fields(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Match type of every true field; ``predicted`` may also hold it under a nested name ``category_info.<field>``."""
-    top = predicted.withColumn("field", F.regexp_replace("field", r"^category_info\.", "")).groupBy("doc_id", "field").agg(
-        F.min_by("value", F.when(F.col("value").isNull(), 1).otherwise(0)).alias("predicted"))
+    """Match type of every true field; ``predicted`` may also hold it under a nested name ``category_info.<field>``.
+
+    A filled top-level value wins over a nested one; of repeated values of one level the smallest counts.
+    """
+    named = predicted.withColumn("_nested", F.col("field").startswith("category_info.").cast("int")).withColumn(
+        "field", F.regexp_replace("field", r"^category_info\.", ""))
+    top = named.groupBy("doc_id", "field").agg(F.min_by("value", F.struct(F.col("value").isNull().cast("int").alias("n"), "_nested", "value")).alias("predicted"))
     joined = truth.withColumnRenamed("value", "truth").join(top, ["doc_id", "field"], "left")
     p, t = F.col("predicted"), F.col("truth")
     kind = (F.when(p.isNull() & t.isNull(), "both_null").when(p.isNull() | t.isNull(), "null_mismatch")

@@ -36,7 +36,7 @@ def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
         + F.col("output_tokens").cast("decimal(18,0)") * F.coalesce("price_out", zero)
     ) * F.expr(THOUSANDTH)
     return (
-        usage.join(F.broadcast(prices), "model", "left")
+        usage.join(prices, "model", "left")
         .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
         .withColumn("cost_usd", F.round(cost, 6).cast("decimal(20,6)"))
         .drop("price_in", "price_out")
@@ -95,7 +95,7 @@ def with_package(df: DataFrame, packages: DataFrame, default: str = "free") -> D
     known = F.when(F.col("tier").isin(names), F.col("tier")).otherwise(F.lit(default))
     return (
         df.withColumn("package_tier", known)
-        .join(F.broadcast(packages.withColumnRenamed("tier", "package_tier")), "package_tier", "left")
+        .join(packages.withColumnRenamed("tier", "package_tier"), "package_tier", "left")
     )
 
 
@@ -104,7 +104,7 @@ def with_quota(df: DataFrame, quotas: DataFrame, default: str = "free") -> DataF
     known = F.when(F.col("tier").isin(list(fv.TIER_QUOTAS)), F.col("tier")).otherwise(F.lit(default))
     return (
         df.withColumn("quota_tier", known)
-        .join(F.broadcast(quotas.withColumnRenamed("tier", "quota_tier")), "quota_tier", "left")
+        .join(quotas.withColumnRenamed("tier", "quota_tier"), "quota_tier", "left")
         .withColumn("rpm_limit", F.col("base_rpm") + F.col("elastic_rpm") + F.col("burst_rpm"))
         .withColumn("tpm_limit", F.col("base_tpm") + F.col("elastic_tpm") + F.col("burst_tpm"))
     )
@@ -242,7 +242,7 @@ def degradation(load: DataFrame, chains: DataFrame) -> DataFrame:
         .when(F.col("level") == "normal", F.col("model"))
     )
     return (
-        load.join(F.broadcast(chains), "model", "left").withColumn("usage_ratio", ratio).withColumn("level", level)
+        load.join(chains, "model", "left").withColumn("usage_ratio", ratio).withColumn("level", level)
         .withColumn("target_model", target)
         .withColumn("retry_after", F.when(F.col("level") == "reject", 60).otherwise(0))
         .withColumn("warn", F.col("usage_ratio") >= fv.USAGE_WARN).drop("chain")

@@ -8,26 +8,30 @@ from pyspark.sql.window import Window
 
 from tallyleaf import fixed_values as fv
 from tallyleaf.operators.scale import (
-    hour_chunk, literal_table, nearest_rank_percentiles, newest_per_key, rolling_blocks, running_totals,
+    hour_chunk, join_keys, literal_table, nearest_rank_percentiles, newest_per_key, rolling_blocks, running_totals,
 )
 
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
 def latency_percentiles(requests: DataFrame, keys: list[str], value: str = "duration_ms") -> DataFrame:
-    """Exact nearest-rank percentiles with mean, minimum, maximum and count per key."""
+    """Exact nearest-rank percentiles with mean, minimum, maximum and count per key; a null key is a key."""
     base = requests.groupBy(*keys).agg(
         F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.count("*").alias("count"))
-    return base.join(nearest_rank_percentiles(requests, keys, value, PERCENTILES), keys)
+    return join_keys(base, nearest_rank_percentiles(requests, keys, value, PERCENTILES), keys, "left")
 
 
 def top_endpoints(requests: DataFrame, n: int = 10) -> DataFrame:
-    """The busiest endpoints with error rate and percentiles; percentiles are computed for those endpoints only."""
+    """The busiest endpoints with error rate and percentiles.
+
+    The requests are reduced to the top endpoints before their durations are counted, so the rest never reaches a shuffle.
+    """
     counts = requests.groupBy("endpoint").agg(
         F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 400).alias("errors"))
     top = counts.orderBy(F.col("requests").desc(), "endpoint").limit(n)
-    pct = nearest_rank_percentiles(requests, ["endpoint"], "duration_ms", PERCENTILES)
-    return top.join(pct, "endpoint").select(
+    theirs = requests.join(F.broadcast(top.select(F.col("endpoint").alias("_top"))), F.col("endpoint").eqNullSafe(F.col("_top")), "left_semi")
+    pct = nearest_rank_percentiles(theirs, ["endpoint"], "duration_ms", PERCENTILES)
+    return join_keys(top, pct, ["endpoint"], "left").select(
         "endpoint", "requests", "errors",
         F.round(100.0 * F.col("errors") / F.greatest("requests", F.lit(1)), 2).alias("error_rate"),
         *[F.round(p, 2).alias(f"{p}_ms") for p in PERCENTILES])
@@ -125,7 +129,7 @@ def operation_summary(samples: DataFrame, key: str, newest: int = 1000) -> DataF
     kept = newest_per_key(samples, [key], [F.col("ts").desc(), F.col("request_id").desc()], newest)
     base = kept.groupBy(key).agg(F.avg("duration_ms").alias("avg"), F.min("duration_ms").alias("min"),
                                  F.max("duration_ms").alias("max"), F.count("*").alias("count"))
-    return base.join(nearest_rank_percentiles(kept, [key], "duration_ms", {"p95": 0.95}), key)
+    return join_keys(base, nearest_rank_percentiles(kept, [key], "duration_ms", {"p95": 0.95}), [key], "left")
 
 
 def exact_mean(total: str, n: str, digits: int = 4) -> Column:
@@ -162,14 +166,17 @@ def rolling_call_stats(calls: DataFrame, key: str, window: int = 100, chunk_hour
         exact_mean("duration_so_far", "pos").alias("all_time_avg_duration"))
 
 
-def firing_spans(points: DataFrame, keys: list[str], breach: str, hold_seconds: int) -> DataFrame:
+def firing_spans(points: DataFrame, keys: list[str], breach: str, hold_seconds: int, step_seconds: int = 30) -> DataFrame:
     """Unbroken runs of breaching points that last at least ``hold_seconds``, per rule series.
 
-    ``points`` holds one row per evaluation instant, so its size follows time, not traffic.
+    ``points`` holds one row per evaluation instant, so its size follows time, not traffic. Instants without traffic
+    have no point: neighbours more than ``step_seconds`` apart do not belong to one run.
     """
     w = Window.partitionBy(*keys).orderBy("ts")
-    calm = F.sum(F.when(F.col(breach), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = points.withColumn("_run", calm).where(F.col(breach)).groupBy(*keys, "_run").agg(
+    apart = F.coalesce(F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w)) > step_seconds, F.lit(False))
+    ends = F.when(F.coalesce(F.col(breach), F.lit(False)) & ~F.col("_apart"), 0).otherwise(1)
+    run = F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = points.withColumn("_apart", apart).withColumn("_run", run).where(F.col(breach)).groupBy(*keys, "_run").agg(
         F.min("ts").alias("since"), F.max("ts").alias("until"), F.count("*").alias("points"))
     held = F.unix_seconds("until") - F.unix_seconds("since")
     return runs.withColumn("held_seconds", held).where(held >= hold_seconds).drop("_run")

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyleaf import fixed_values as fv
+from tallyleaf.operators.scale import join_keys
 
-BOX = ("x1", "y1", "x2", "y2")
+BOX =("x1", "y1", "x2", "y2")
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -33,11 +34,11 @@ def box(prefix: str = "") -> dict[str, Column]:
 def drop_weak(regions: DataFrame, page: str = "doc_id", floor: float = 0.15) -> DataFrame:
     """Drop regions under the floor, but keep a page's best region when all are under it.
 
-    The page's best is a combinable maximum joined back; no page is sorted.
+    The page's best is a combinable maximum joined back; no page is sorted. Regions with a null page form a page.
     """
     best = regions.groupBy(page).agg(F.max_by("region_id", F.struct("confidence", F.negate("region_id"))).alias("_best"),
                                      F.max("confidence").alias("_top"))
-    joined = regions.join(best, page)
+    joined = join_keys(regions, best, [page])
     keep = (F.col("confidence") >= floor) | ((F.col("_top") < floor) & (F.col("region_id") == F.col("_best")))
     return joined.where(keep).drop("_best", "_top")
 
@@ -53,13 +54,20 @@ def watermark_regions(regions: DataFrame, threshold: float = 0.9) -> DataFrame:
     return regions.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def center_inside(regions: DataFrame, areas: DataFrame, page: str = "doc_id", how: str = "inner") -> DataFrame:
-    """Regions whose centre lies in an area of the same page (inclusive). ``left_anti`` keeps those in none."""
+def center_inside(regions: DataFrame, areas: DataFrame, page: str = "doc_id", how: str = "inner", cell: int = 256) -> DataFrame:
+    """Regions whose centre lies in an area of the same page (inclusive). ``left_anti`` keeps those in none.
+
+    An area is listed in the grid cells it covers and a centre looks into its own cell only.
+    """
     cx, cy = (F.col("r.x1") + F.col("r.x2")) / 2, (F.col("r.y1") + F.col("r.y2")) / 2
-    inside = ((F.col(f"r.{page}") == F.col(f"a.{page}")) & (cx >= F.col("a.x1")) & (cx <= F.col("a.x2"))
-              & (cy >= F.col("a.y1")) & (cy <= F.col("a.y2")))
-    joined = regions.alias("r").join(areas.alias("a"), inside, how)
-    return joined if how in ("left_anti", "left_semi") else joined.select("r.*", F.col("a.area_id"))
+    placed = regions.withColumn("_gx", F.floor((F.col("x1") + F.col("x2")) / 2 / cell).cast("bigint")).withColumn(
+        "_gy", F.floor((F.col("y1") + F.col("y2")) / 2 / cell).cast("bigint"))
+    listed = _cells(areas, cell)
+    inside = ((F.col(f"r.{page}") == F.col(f"a.{page}")) & (F.col("r._gx") == F.col("a._gx")) & (F.col("r._gy") == F.col("a._gy"))
+              & (cx >= F.col("a.x1")) & (cx <= F.col("a.x2")) & (cy >= F.col("a.y1")) & (cy <= F.col("a.y2")))
+    joined = placed.alias("r").join(listed.alias("a"), inside, how)
+    own = [F.col(f"r.{c}") for c in regions.columns]
+    return joined.select(*regions.columns) if how in ("left_anti", "left_semi") else joined.select(*own, F.col("a.area_id"))
 
 
 def _cells(df: DataFrame, cell: int) -> DataFrame:
@@ -100,9 +108,16 @@ def touching_clusters(regions: DataFrame, page: str = "doc_id") -> DataFrame:
 def suppress_overlaps(regions: DataFrame, threshold: float = 0.5, page: str = "doc_id", same_text: bool = False) -> DataFrame:
     """Greedy suppression: best confidence first, drop a box that overlaps a kept one above the threshold.
 
-    Runs per cluster of touching boxes (and per text when only equal texts suppress each other).
+    Runs per cluster of touching boxes. With ``same_text`` only boxes of equal trimmed text suppress each other, and
+    boxes without text are dropped.
     """
-    keys = [page, "cluster"] + (["text"] if same_text else [])
+    if same_text:
+        regions = regions.withColumn("_trimmed", F.trim("text")).where("_trimmed <> ''")
+        return suppress_within(regions, threshold, page, [page, "cluster", "_trimmed"]).drop("_trimmed")
+    return suppress_within(regions, threshold, page, [page, "cluster"])
+
+
+def suppress_within(regions: DataFrame, threshold: float, page: str, keys: list[str]) -> DataFrame:
     item = F.struct(F.negate("confidence").alias("o"), "region_id", *BOX)
     grouped = touching_clusters(regions, page).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
     kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda acc, b: F.when(
@@ -196,8 +211,11 @@ def merge_close_lines(coords: Column, threshold: int = 5) -> Column:
         (F.size(acc) == 0) | (c - F.element_at(acc, -1) > threshold), F.array_append(acc, c)).otherwise(acc))
 
 
-def assign_columns(regions: DataFrame, page: str = "doc_id") -> DataFrame:
-    """Column of each region by one-dimensional k-means with quantile seeds; k grows until the inertia is small."""
+def assign_columns(regions: DataFrame, page: str = "doc_id", most_rounds: int = 100) -> DataFrame:
+    """Column of each region by one-dimensional k-means with quantile seeds; k grows until the inertia is small.
+
+    A page that has not settled after ``most_rounds`` rounds is an error.
+    """
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = ((pdf["x1"].to_numpy() + pdf["x2"].to_numpy()) / 2.0)
         labels = np.zeros(len(x), dtype="int64")
@@ -205,12 +223,14 @@ def assign_columns(regions: DataFrame, page: str = "doc_id") -> DataFrame:
             if len(x) < k:
                 break
             centers = np.quantile(x, (np.arange(k) + 0.5) / k)
-            for _ in range(50):
+            for _ in range(most_rounds):
                 near = np.abs(x[:, None] - centers).argmin(axis=1)
                 moved = np.array([x[near == i].mean() if (near == i).any() else centers[i] for i in range(k)])
                 if np.allclose(moved, centers, atol=1e-9):
                     break
                 centers = moved
+            else:
+                raise RuntimeError(f"columns of page {pdf[page].iloc[0]} did not settle in {most_rounds} rounds")
             near = np.abs(x[:, None] - centers).argmin(axis=1)
             if ((x - centers[near]) ** 2).sum() < len(x) * 100:
                 labels = centers.argsort().argsort()[near]

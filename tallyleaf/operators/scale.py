@@ -7,6 +7,8 @@ needs more than one chunk of a key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,10 +35,13 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({', '.join(n for n, _ in columns)})")
 
 
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan of too few file splits before per-row heavy work; a scan that already fills the cores is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Spread the rows over ``tallyleaf.scan.partitions`` partitions, where the caller has set it.
+
+    Unset by default: a table of many splits needs no shuffle. It is for files that Spark cannot split (one row group).
+    """
+    partitions = df.sparkSession.conf.get("tallyleaf.scan.partitions", None)
+    return df.repartition(int(partitions), key) if partitions else df
 
 
 def hour_chunk(ts: str = "ts", hours: int = 1) -> Column:
@@ -91,81 +96,67 @@ def rolling_blocks(df: DataFrame, pos: str, frame: int, block: int = 4096) -> Da
 
 
 def value_band(value: Column) -> Column:
-    """An order-preserving coarse band of a double: sign, binary exponent and seven bits of mantissa.
+    """An order-preserving coarse band of a double: sign, binary exponent and twelve bits of mantissa.
 
-    At most a few hundred bands per factor of two, whatever the number of rows.
+    At most a few thousand bands per factor of two, whatever the number of rows. Infinities and NaN have bands of
+    their own; NaN is the largest, as in Spark's ordering.
     """
     v = value.cast("double")
-    magnitude = F.abs(v)
+    endless = F.isnan(v) | (F.abs(v) == float("inf"))
+    magnitude = F.when(endless, F.lit(1.0)).otherwise(F.abs(v))
     exponent = F.floor(F.log2(magnitude))
-    step = F.floor((magnitude / F.pow(F.lit(2.0), exponent) - 1.0) * 128)
+    step = F.floor((magnitude / F.pow(F.lit(2.0), exponent) - 1.0) * 4096)
     # log2 may round up just below a power of two: the band is then one step low, so clamp it to stay monotone.
-    band = exponent * 128 + F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(127).cast("bigint"), step)) + 200000
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, band).otherwise(-band)
+    band = exponent * 4096 + F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(4095).cast("bigint"), step)) + 8_000_000
+    edge = F.lit(1 << 40)
+    return (F.when(F.isnan(v), edge + 1).when(v == float("inf"), edge).when(v == float("-inf"), -edge)
+            .when(v == 0, F.lit(0).cast("bigint")).when(v > 0, band).otherwise(-band))
+
+
+def key_struct(keys: list[str]) -> Column:
+    """The keys as one value: equal in a join also where some are null."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("all"))
+
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys come from the left side."""
+    return left.withColumn("_key", key_struct(keys)).join(right.withColumn("_key", key_struct(keys)).drop(*keys), "_key", how).drop("_key")
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, targets: DataFrame) -> DataFrame:
-    """Exact order statistics: the value at each zero-based rank in ``targets`` (keys, label, rank).
 
-    Counts per distinct value are combined on the map side; a coarse histogram finds the band that holds each
-    rank; only that band's distinct values are ordered. No key is ever sorted in one task.
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact order statistics (keys, label, value): ``ranks`` gives a zero-based rank for each label from the row count.
+
+    Distinct values are counted once, combined on the map side. A coarse histogram of those counts finds the band that
+    holds each rank, and only that band's distinct values are ordered. No key is ever sorted in one task. Null values do
+    not count; a null key is a key.
     """
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_band", value_band(F.col("_v")))
-    )
-    bands = counted.groupBy(*keys, "_band").agg(F.sum("_c").alias("_bc"))
-    upto = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.withColumn("_before", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
-    inside_band = (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_bc"))
-    if keys:
-        hit = targets.join(bands, keys, "inner").where(inside_band)
-    else:
-        hit = targets.withColumn("_one", F.lit(1)).join(bands.withColumn("_one", F.lit(1)), "_one").where(
-            inside_band).drop("_one")
-    hit = hit.select(*keys, "_band", "label", (F.col("rank") - F.col("_before")).alias("_rank"))
-    within = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = hit.select(*keys, "_band").distinct()
-    ordered = (
-        counted.join(wanted, keys + ["_band"], "left_semi")
-        .withColumn("_to", F.sum("_c").over(within))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-    )
-    found = ordered.join(hit, keys + ["_band"]).where(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+        df.where(F.col(value).isNotNull()).groupBy(key_struct(keys).alias("_k"), F.col(value).cast("double").alias("_v"))
+        .agg(F.count("*").alias("_c")).withColumn("_band", value_band(F.col("_v")))
     )
-    return found.select(*keys, "label", F.col("_v").alias("value"))
+    whole = Window.partitionBy("_k")
+    bands = counted.groupBy("_k", "_band").agg(F.sum("_c").alias("_bc")).withColumn("_n", F.sum("_bc").over(whole)).withColumn(
+        "_before", F.coalesce(F.sum("_bc").over(whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(label).alias("label"), (rank(F.col("_n")).cast("bigint") - F.col("_before")).alias("rank")) for label, rank in ranks.items()])
+    hits = bands.withColumn("_hits", F.filter(wanted, lambda w: (w["rank"] >= 0) & (w["rank"] < F.col("_bc")))).where(F.size("_hits") > 0)
+    within = Window.partitionBy("_k", "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = counted.join(hits.select("_k", "_band", "_hits"), ["_k", "_band"]).withColumn("_to", F.sum("_c").over(within)).withColumn("_hit", F.explode("_hits"))
+    found = ordered.where((F.col("_hit.rank") < F.col("_to")) & (F.col("_hit.rank") >= F.col("_to") - F.col("_c")))
+    return found.select(*[F.col(f"_k.k{i}").alias(k) for i, k in enumerate(keys)], "_hit.label", F.col("_v").alias("value"))
 
 
 def nearest_rank_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Exact nearest-rank percentiles ``sorted[min(int(n*p), n-1)]``, one column per label."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranks = F.array(
-        *[
-            F.struct(F.lit(label).alias("label"),
-                     F.least(F.floor(F.col("_n") * F.lit(p)).cast("bigint"), F.col("_n") - 1).alias("rank"))
-            for label, p in probs.items()
-        ]
-    )
-    targets = sizes.select(*keys, F.explode(ranks).alias("_t")).select(*keys, "_t.label", "_t.rank")
-    found = ranked_values(df, keys, value, targets)
+    found = ranked_values(df, keys, value, {label: lambda n, p=p: F.least(F.floor(n * F.lit(p)), n - 1) for label, p in probs.items()})
     picks = [F.max(F.when(F.col("label") == label, F.col("value"))).alias(label) for label in probs]
     return found.groupBy(*keys).agg(*picks) if keys else found.agg(*picks)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """Median with the mean of the two middle values for an even count."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranks = F.array(
-        F.struct(F.lit("lo").alias("label"), F.floor((F.col("_n") - 1) / 2).cast("bigint").alias("rank")),
-        F.struct(F.lit("hi").alias("label"), F.floor(F.col("_n") / 2).cast("bigint").alias("rank")),
-    )
-    targets = sizes.select(*keys, F.explode(ranks).alias("_t")).select(*keys, "_t.label", "_t.rank")
-    found = ranked_values(df, keys, value, targets)
+    found = ranked_values(df, keys, value, {"lo": lambda n: F.floor((n - 1) / 2), "hi": lambda n: F.floor(n / 2)})
     return found.groupBy(*keys).agg(F.avg("value").alias(name))
 
 
@@ -201,4 +192,4 @@ def idle_segments(df: DataFrame, keys: list[str], ts: str, gap_seconds: int, nam
     broken = F.col("_first") - F.lag("_last").over(w) >= F.lit(gap_seconds * 1_000_000)
     spans = spans.withColumn("_new", F.coalesce(broken, F.lit(False)).cast("bigint"))
     spans = spans.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(spans.select(*keys, "_b", name), keys + ["_b"]).drop("_b")
+    return join_keys(rows, spans.select(*keys, "_b", name), keys + ["_b"]).drop("_b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,34 +112,38 @@ def purge_tenant(nodes: DataFrame, runs: DataFrame, tenant) -> tuple[DataFrame,
 def roots_and_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Root and distance of every node in a forest (each node has at most one parent), by pointer doubling.
 
-    Rounds grow with the logarithm of the depth. Finished rows leave the join; each round is cut by a reliable
-    checkpoint so that a lost executor does not replay the whole history.
+    Rounds grow with the logarithm of the depth. A row whose pointer stands on a root is done and is not joined again;
+    each round is cut by a reliable checkpoint so that a lost executor does not replay the whole history. A cycle is an
+    error: its rows are still open after as many doublings as a chain of all nodes would need. Runs jobs when called.
     """
     parents = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("up"))
-    jump = cut_lineage(nodes.select("node_id").join(parents, "node_id", "left").select("node_id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("d")))
-    while True:
-        roots = jump.where(F.col("up").isNull())
-        above = jump.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        moved = jump.where(F.col("up").isNotNull()).join(above, "up")
-        # a pointer that already stands on a root stays there
-        moved = moved.select("node_id", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.col("d2")).alias("d"), F.col("up2").isNotNull().alias("open"))
-        step = cut_lineage(moved.unionByName(roots.select("node_id", "up", "d", F.lit(False).alias("open"))))
-        jump = step.drop("open")
-        if step.where("open").isEmpty():
-            return jump.select("node_id", F.coalesce("up", "node_id").alias("root"), F.col("d").alias("depth"))
+    state = cut_lineage(nodes.select("node_id").join(parents, "node_id", "left").select(
+        "node_id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("d"), F.col("up").isNotNull().alias("open")))
+    total, reach = state.count(), 1
+    while not state.where("open").isEmpty():
+        if reach > 2 * total:
+            raise ValueError("the lineage has a cycle")
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
+        moved = state.where("open").join(above, "up", "left").select(
+            "node_id", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("up2").isNotNull().alias("open"))
+        state, reach = cut_lineage(moved.unionByName(state.where("NOT open"))), 2 * reach
+    return state.select("node_id", F.coalesce("up", "node_id").alias("root"), F.col("d").alias("depth"))
 
 
 def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every node reachable from each source, with its distance, level by level until no new node appears."""
-    seen = cut_lineage(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0).alias("depth")).distinct())
-    front, depth = seen, 0
+    """Every node reachable from each source, with its distance, level by level until no new node appears.
+
+    The result holds a row per (source, reachable node): with every node as a source that is the whole reachability
+    relation. Each level is written once; the levels are put together at the end. Runs jobs when called.
+    """
+    levels = [cut_lineage(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0).alias("depth")).distinct())]
     while True:
-        depth += 1
-        nxt = front.join(edges.select(F.col("src").alias("node_id"), "dst"), "node_id").select("source", F.col("dst").alias("node_id")).distinct()
-        nxt = cut_lineage(nxt.join(seen, ["source", "node_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if nxt.isEmpty():
+        step = levels[-1].join(edges.select(F.col("src").alias("node_id"), "dst"), "node_id").select("source", F.col("dst").alias("node_id")).distinct()
+        seen = reduce(DataFrame.unionByName, levels)
+        level = cut_lineage(step.join(seen, ["source", "node_id"], "left_anti").withColumn("depth", F.lit(len(levels))))
+        if level.isEmpty():
             return seen
-        seen, front = cut_lineage(seen.unionByName(nxt)), nxt
+        levels.append(level)
 
 
 # --- webhooks -----------------------------------------------------------------------------------------------
@@ -184,16 +190,16 @@ def delivery_statistics(states: DataFrame) -> DataFrame:
 
 
 def resolve_layers(layers: DataFrame) -> DataFrame:
-    """Effective value per tenant and path that any layer names: run-time over tenant over default.
+    """Effective values: run-time over tenant over default, each layer reduced to its newest value first.
 
-    Every layer is reduced to its newest value first. A path that a tenant does not override falls back to the
-    default; such paths come out once with a null tenant, because the default is the same for everyone.
+    Overrides come out per tenant and path. Every default comes out once with a null tenant, also where some tenants
+    override it: it holds for all tenants without a row of their own, and there may be more of them than any layer names.
     """
-    own = layers.where("level > 0").groupBy("tenant_id", "path").agg(F.max_by("value", F.struct("level", "version")).alias("own"))
-    default = layers.where("level = 0").groupBy("path").agg(F.max_by("value", "version").alias("fallback"))
-    origin = F.when(F.col("own").isNotNull(), "override").otherwise("default")
-    return own.join(default, "path", "full_outer").select(
-        "tenant_id", "path", F.coalesce("own", "fallback").alias("value"), origin.alias("origin"))
+    own = layers.where("level > 0").groupBy("tenant_id", "path").agg(F.max_by("value", F.struct("level", "version")).alias("value"))
+    default = layers.where("level = 0").groupBy("path").agg(F.max_by("value", "version").alias("value"))
+    nobody = F.lit(None).cast(layers.schema["tenant_id"].dataType).alias("tenant_id")
+    return own.where("value IS NOT NULL").select("tenant_id", "path", "value", F.lit("override").alias("origin")).unionByName(
+        default.select(nobody, "path", "value", F.lit("default").alias("origin")))
 
 
 def localised_names(keys: DataFrame, names: DataFrame, locale: str, fallback: str = "en") -> DataFrame:
@@ -211,7 +217,7 @@ def role_table(df: DataFrame) -> DataFrame:
 def effective_permissions(user_roles: DataFrame, roles: DataFrame) -> DataFrame:
     """Distinct (user, tenant, permission) over roles that are global or of that tenant."""
     scoped = user_roles.where(F.col("role_tenant_id").isNull() | (F.col("role_tenant_id") == F.col("tenant_id")))
-    return scoped.select("user_id", "tenant_id", "role").distinct().join(F.broadcast(roles), "role").select(
+    return scoped.select("user_id", "tenant_id", "role").distinct().join(roles, "role").select(
         "user_id", "tenant_id", F.explode("permissions").alias("permission")).distinct()
 
 

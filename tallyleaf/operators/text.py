@@ -78,24 +78,37 @@ def unsafe_share(docs: DataFrame, by: list[str]) -> DataFrame:
         "unsafe_share", F.col("unsafe") / F.col("docs"))
 
 
-def string_paths(schema: T.StructType, prefix: str = "root") -> list[tuple[str, str]]:
-    """(path, column) of every string in a nested schema; structs only, arrays are handled by the caller."""
-    out = []
-    for field in schema.fields:
-        path = f"{prefix}.{field.name}"
-        column = f"{prefix}.{field.name}".removeprefix("root.")
-        if isinstance(field.dataType, T.StringType):
-            out.append((path, column))
-        elif isinstance(field.dataType, T.StructType):
-            out += [(p, c) for p, c in string_paths(field.dataType, path)]
-    return out
+def string_leaves(col: Column, dtype: T.DataType, path: Column) -> Column | None:
+    """All strings of a nested value as an array of (path, text); None where the type holds none.
+
+    Elements of an array have the path of their index, values of a map that of their key.
+    """
+    if isinstance(dtype, T.StringType):
+        return F.array(F.struct(path.alias("path"), col.alias("text")))
+    if isinstance(dtype, T.StructType):
+        parts = [string_leaves(col[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in dtype.fields]
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(dtype, T.ArrayType):
+        if string_leaves(F.lit(None), dtype.elementType, path) is None:
+            return None
+        found = F.transform(col, lambda x, i: string_leaves(x, dtype.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+    elif isinstance(dtype, T.MapType):
+        if string_leaves(F.lit(None), dtype.valueType, path) is None:
+            return None
+        found = F.transform(F.map_entries(col), lambda e: string_leaves(
+            e["value"], dtype.valueType, F.concat(path, F.lit("."), e["key"].cast("string"))))
+    else:
+        return None
+    return F.coalesce(F.flatten(found), F.array().cast("array<struct<path: string, text: string>>"))
 
 
 def leak_paths(df: DataFrame) -> DataFrame:
-    """Rows per string path of a (nested) table that holds sensitive data, by type."""
-    checks = [F.struct(F.lit(path).alias("path"), tx.detected_types(F.col(column)).alias("types"))
-              for path, column in string_paths(df.schema)]
-    hits = df.select(F.explode(F.array(*checks)).alias("c")).select("c.path", F.explode("c.types").alias("type"))
+    """Rows per string path of a (nested) table that holds sensitive data, by type; arrays and maps are walked."""
+    fields = [string_leaves(F.col(f"`{f.name}`"), f.dataType, F.lit(f"root.{f.name}")) for f in df.schema.fields]
+    fields = [f for f in fields if f is not None]
+    leaves = F.concat(*fields) if fields else F.array().cast("array<struct<path: string, text: string>>")
+    hits = df.select(F.explode(leaves).alias("c")).select("c.path", F.explode(tx.detected_types(F.col("c.text"))).alias("type"))
     return hits.groupBy("path", "type").agg(F.count("*").alias("rows"))
 
 
@@ -113,7 +126,7 @@ def mask_corpus(docs: DataFrame, kind: str = "partial", types: list[str] | None
 def mask_table(df: DataFrame, kind: str = "partial") -> DataFrame:
     """Mask every string of a table whose key name is sensitive or whose value holds sensitive data.
 
-    Nested structs and arrays are walked through the schema; the masking itself only rewrites matched text.
+    Nested structs, arrays and map values are walked through the schema; the masking itself only rewrites matched text.
     """
     def walk(col: Column, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.StringType):
@@ -121,8 +134,10 @@ def mask_table(df: DataFrame, kind: str = "partial") -> DataFrame:
         if isinstance(dtype, T.StructType):
             fields = [walk(col[f.name], f.dataType).alias(f.name) for f in dtype.fields]
             return F.when(col.isNotNull(), F.struct(*fields))
-        if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.StringType, T.StructType)):
+        if isinstance(dtype, T.ArrayType):
             return F.transform(col, lambda x: walk(x, dtype.elementType))
+        if isinstance(dtype, T.MapType):
+            return F.transform_values(col, lambda _, x: walk(x, dtype.valueType))
         return col
 
     return df.select(*[walk(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])

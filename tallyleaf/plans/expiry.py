@@ -22,28 +22,28 @@ def shelf(spark, d):
 
 
 TEXT_DATE = """ld AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_shipdate AS dt,
-    CASE l_orderkey % 7 WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN strftime(l_shipdate, '%Y/%m/%d') WHEN 2 THEN strftime(l_shipdate, '%Y%m%d')
+    CASE l_orderkey % 8 WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN strftime(l_shipdate, '%Y/%m/%d') WHEN 2 THEN strftime(l_shipdate, '%Y%m%d')
       WHEN 3 THEN year(l_shipdate) || '年' || month(l_shipdate) || '月' || day(l_shipdate) || '日' WHEN 4 THEN month(l_shipdate) || '/' || day(l_shipdate) || '/' || year(l_shipdate)
-      WHEN 5 THEN '20251345' ELSE 'soon' END AS text FROM lineitem)"""
+      WHEN 5 THEN '20251345' WHEN 6 THEN month(l_shipdate) || '/' || day(l_shipdate) || '/' || strftime(l_shipdate, '%y') ELSE 'soon' END AS text FROM lineitem)"""
 
 
 def text_dates(spark, d):
     ts = F.col("l_shipdate").cast("timestamp")
     y, mo, da = F.year(ts).cast("string"), F.month(ts).cast("string"), F.day(ts).cast("string")
-    k = F.col("l_orderkey") % 7
+    k = F.col("l_orderkey") % 8
     text = (F.when(k == 0, F.date_format(ts, "yyyy-MM-dd")).when(k == 1, F.date_format(ts, "yyyy/MM/dd")).when(k == 2, F.date_format(ts, "yyyyMMdd"))
             .when(k == 3, F.concat(y, F.lit("年"), mo, F.lit("月"), da, F.lit("日"))).when(k == 4, F.concat(mo, F.lit("/"), da, F.lit("/"), y))
-            .when(k == 5, "20251345").otherwise("soon"))
+            .when(k == 5, "20251345").when(k == 6, F.concat(mo, F.lit("/"), da, F.lit("/"), F.date_format(ts, "yy"))).otherwise("soon"))
     return v.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("text"), ts.alias("dt"))
 
 
 @query("X05_date_layouts", "WITH " + TEXT_DATE + """, p AS (SELECT CASE WHEN regexp_matches(text, '^[0-9]{4}-') THEN 'dash' WHEN regexp_matches(text, '^[0-9]{4}/') THEN 'slash'
-      WHEN regexp_matches(text, '^[0-9]{8}$') AND text <> '20251345' THEN 'compact' WHEN contains(text, '年') THEN 'cjk' WHEN regexp_matches(text, '/[0-9]{4}$') THEN 'us_long' ELSE 'none' END AS layout, CAST(dt AS DATE) AS dt FROM ld)
+      WHEN regexp_matches(text, '^[0-9]{8}$') AND text <> '20251345' THEN 'compact' WHEN contains(text, '年') THEN 'cjk' WHEN regexp_matches(text, '/[0-9]{4}$') THEN 'us_long' WHEN regexp_matches(text, '/[0-9]{2}$') THEN 'us_short' ELSE 'none' END AS layout, CAST(dt AS DATE) AS dt FROM ld)
   SELECT layout, count(*) AS texts, CAST(sum(CASE WHEN layout <> 'none' THEN datediff('day', DATE '1970-01-01', dt) END) AS BIGINT) AS day_sum FROM p GROUP BY 1""")
 def date_layouts(spark, d):
-    rows = text_dates(spark, d)
-    return rows.groupBy(F.coalesce(dt.date_layout(F.col("text")), F.lit("none")).alias("layout")).agg(
-        F.count("*").alias("texts"), F.sum(F.unix_date(dt.parse_date(F.col("text"))).cast("bigint")).alias("day_sum"))
+    rows = text_dates(spark, d).select(dt.layout_and_date(F.col("text")).alias("p"))
+    return rows.groupBy(F.coalesce("p.layout", F.lit("none")).alias("layout")).agg(
+        F.count("*").alias("texts"), F.sum(F.unix_date("p.date").cast("bigint")).alias("day_sum"))
 
 
 @query("X06_expiry_dates", """SELECT item_id, strftime(expiry_date, '%Y-%m-%d') AS expiry FROM shelf_status""")
@@ -176,5 +176,5 @@ def flag_transactions(spark, d):
 @query("P10_contract_risks", "SELECT '争议解决' AS clause, count(*) AS contracts FROM documents WHERE doc_id % 3 <> 0")
 def contract_risks(spark, d):
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("contract_id"), F.create_map(
-        F.lit("争议解决"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 20), F.lit(" 管辖法院"))).otherwise(F.col("text"))).alias("clauses"))
+        F.lit("争议解决"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" 管辖法院"))).otherwise(F.col("text"))).alias("clauses"))
     return ops.contract_risks(docs)

@@ -155,13 +155,14 @@ def sliding_error_share(spark, d):
 
 
 @query("W11_firing_spans", "WITH " + SHARE + """, runs AS (SELECT window_end, share > 0.25 AS hit,
-    sum(CASE WHEN share > 0.25 THEN 0 ELSE 1 END) OVER (ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS run FROM share)
+    sum(CASE WHEN share > 0.25 AND window_end - before <= 1800 THEN 0 ELSE 1 END) OVER (ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT *, lag(window_end) OVER (ORDER BY window_end) AS before FROM share))
   SELECT min(window_end) AS since, max(window_end) AS until, count(*) AS points, max(window_end) - min(window_end) AS held_seconds
   FROM runs WHERE hit GROUP BY run HAVING max(window_end) - min(window_end) >= 3600""")
 def firing_spans(spark, d):
     share = mon.sliding_error_share(v.requests(spark, d), F.col("status_code") >= 500, 21600, 1800)
     points = share.select(F.lit("error_share").alias("rule"), F.timestamp_seconds("window_end").alias("ts"), (F.col("share") > 0.25).alias("hit"))
-    out = mon.firing_spans(points, ["rule"], "hit", 3600)
+    out = mon.firing_spans(points, ["rule"], "hit", 3600, 1800)
     return out.select(F.unix_seconds("since").alias("since"), F.unix_seconds("until").alias("until"), "points", "held_seconds")
 
 

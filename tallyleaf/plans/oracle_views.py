@@ -101,9 +101,8 @@ VIEWS = {
     "wh_subs": """SELECT s_suppkey AS sub_id, s_suppkey % 20 AS tenant_id,
         CASE s_suppkey % 3 WHEN 0 THEN ['click', 'purchase'] WHEN 1 THEN ['error']
              ELSE ['view', 'signup', 'error'] END AS events, s_acctbal >= 0 AS active FROM supplier""",
-    "wh_attempts": """SELECT event_id // 8 AS delivery_id, event_id % 8 + 1 AS attempt,
-        (event_id // 8) % 20 AS tenant_id, ts, k % 4 = 0 AS success, value AS duration_ms
-        FROM ev WHERE event_id % 8 < 6""",
+    "wh_attempts": """SELECT event_id // 6 AS delivery_id, event_id % 6 + 1 AS attempt,
+        (event_id // 6) % 20 AS tenant_id, ts, k % 4 = 0 AS success, value AS duration_ms FROM ev""",
 }
 
 

@@ -53,15 +53,16 @@ def texts_in_areas(spark, d):
 
 
 def passes(spark, d):
+    """Every region in both passes: moved a little in the second, or far enough to miss the first for one in three."""
     r = v.regions(spark, d)
-    moved = r.where("region_id % 3 <> 1").withColumn("region_id", F.col("region_id") + 100000)
+    moved = r.withColumn("region_id", F.col("region_id") + 100000)
     for c in ("x1", "x2"):
-        moved = moved.withColumn(c, F.col(c) + F.col("region_id") % 40)
-    return r.where("region_id % 4 <> 3"), moved
+        moved = moved.withColumn(c, F.col(c) + F.when(F.col("region_id") % 3 == 1, 5000).otherwise(F.col("region_id") % 40))
+    return r, moved
 
 
-PASSES = """pa AS (SELECT * FROM regions WHERE region_id % 4 <> 3), pb AS (SELECT doc_id, region_id + 100000 AS region_id, text, x1 + (region_id + 100000) % 40 AS x1, y1,
-      x2 + (region_id + 100000) % 40 AS x2, y2, confidence FROM regions WHERE region_id % 3 <> 1),
+PASSES = """pa AS (SELECT * FROM regions), pb AS (SELECT doc_id, region_id, text, x1 + m AS x1, y1, x2 + m AS x2, y2, confidence FROM
+      (SELECT * REPLACE (region_id + 100000 AS region_id), CASE WHEN (region_id + 100000) % 3 = 1 THEN 5000 ELSE (region_id + 100000) % 40 END AS m FROM regions)),
   ov AS (SELECT a.doc_id, a.region_id AS a_id, b.region_id AS b_id, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) AS w, (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS h,
     (a.x2 - a.x1) * (a.y2 - a.y1) AS sa, (b.x2 - b.x1) * (b.y2 - b.y1) AS sb FROM pa a JOIN pb b ON a.doc_id = b.doc_id),
   hit AS (SELECT * FROM ov WHERE w > 0 AND h > 0 AND (w * h)::DOUBLE / (sa + sb - w * h) > 0.3)"""
@@ -93,21 +94,24 @@ def same_text(spark, d):
     return ops.suppress_overlaps(a.unionByName(b), 0.5, same_text=True).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("region_id").alias("id_sum"))
 
 
-LINES = """c AS (SELECT *, (y1 + y2) / 2.0::DOUBLE AS cy, (x1 + x2) / 2.0::DOUBLE AS cx FROM regions),
+LINES = """c AS (SELECT *, (y1 + y2) / 2.0::DOUBLE AS cy, (x1 + x2) / 2.0::DOUBLE AS cx FROM {0}),
   n AS (SELECT *, CASE WHEN cy - lag(cy) OVER (PARTITION BY doc_id ORDER BY cy, region_id) > greatest(y2 - y1, 1) * 0.5 THEN 1 ELSE 0 END AS fresh FROM c),
   l AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY cy, region_id ROWS UNBOUNDED PRECEDING) + 1 AS BIGINT) AS line_no FROM n),
   o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, cx, region_id) AS position FROM l)"""
 
 
-@query("W03_reading_order", "WITH " + LINES + " SELECT doc_id, region_id, line_no, position FROM o")
+@query("W03_reading_order", "WITH " + LINES.format("regions") + " SELECT doc_id, region_id, line_no, position FROM o")
 def reading_order(spark, d):
     return ops.reading_order(v.regions(spark, d)).select("doc_id", "region_id", "line_no", "position")
 
 
-@query("A32_assemble_pages", "WITH " + LINES + """ SELECT doc_id, md5(coalesce(string_agg(trim(text, ' '), chr(10) ORDER BY position) FILTER (trim(text, ' ') <> ''), '')) AS text_md5,
-    ROUND(avg(confidence), 6) AS confidence, count(*) AS regions FROM o GROUP BY 1""")
+@query("A32_assemble_pages", "WITH full_text AS (SELECT *, max(confidence) OVER (PARTITION BY doc_id) AS top, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, region_id) AS rn "
+       "FROM regions WHERE trim(text, ' ') <> ''), strong AS (SELECT * FROM full_text WHERE confidence >= 0.15 OR (top < 0.15 AND rn = 1)), " + LINES.format("strong") + """
+    SELECT doc_id, md5(string_agg(trim(text, ' '), chr(10) ORDER BY position)) AS text_md5, ROUND(avg(confidence), 6) AS confidence, count(*) AS regions FROM o GROUP BY 1""")
 def assemble_pages(spark, d):
-    out = ops.assemble_pages(ops.reading_order(v.regions(spark, d)))
+    """Pages of the regions that stay: equal overlapping texts once (none overlap by half here), then those over the floor."""
+    kept = ops.drop_weak(ops.suppress_overlaps(v.regions(spark, d), 0.5, same_text=True))
+    out = ops.assemble_pages(ops.reading_order(kept))
     return out.select("doc_id", F.md5("page_text").alias("text_md5"), F.round("confidence", 6).alias("confidence"), "regions")
 
 
@@ -140,13 +144,13 @@ def layout_kind(spark, d):
     return ops.layout_kind(v.regions(spark, d)).groupBy("layout").agg(F.count("*").alias("pages"))
 
 
-@query("A33_table_text", """WITH c AS (SELECT doc_id, region_id // 3 AS r, region_id % 3 AS c, substr(text, 1, 12) AS t FROM regions),
+@query("A33_table_text", """WITH c AS (SELECT doc_id, region_id // 3 AS r, region_id % 3 AS c, text AS t FROM regions),
   w AS (SELECT doc_id, c, max(length(t)) AS width FROM c GROUP BY 1, 2), g AS (SELECT DISTINCT doc_id, r FROM c),
   f AS (SELECT g.doc_id, g.r, w.c, rpad(coalesce(c.t, ''), CAST(w.width AS INT), ' ') AS t FROM g JOIN w ON g.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = g.doc_id AND c.r = g.r AND c.c = w.c),
   l AS (SELECT doc_id, r, string_agg(t, ' | ' ORDER BY c) AS t FROM f GROUP BY 1, 2)
   SELECT doc_id, count(*) AS rows, md5(string_agg(t, chr(10) ORDER BY r)) AS table_md5 FROM l GROUP BY 1""")
 def table_text(spark, d):
-    cells = v.regions(spark, d).select("doc_id", F.floor(F.col("region_id") / 3).alias("row"), (F.col("region_id") % 3).alias("col"), F.substring("text", 1, 12).alias("text"))
+    cells = v.regions(spark, d).select("doc_id", F.floor(F.col("region_id") / 3).alias("row"), (F.col("region_id") % 3).alias("col"), "text")
     return ops.table_text(cells, ["doc_id"]).select("doc_id", "rows", F.md5("table_text").alias("table_md5"))
 
 
@@ -175,7 +179,11 @@ def block_counts(spark, d):
     return ops.block_counts(blocks(spark, d))
 
 
-@query("A40_page_markdown")
+@query("A40_page_markdown", """WITH m AS (SELECT doc_id, region_id, y1, CASE WHEN region_id % 8 < 3 AND region_id % 3 = 0 THEN chr(10) || '## ' || text || chr(10) WHEN region_id % 8 < 3 AND region_id % 3 = 1 THEN '- ' || text
+      WHEN region_id % 8 < 3 THEN text || chr(10) WHEN region_id % 8 = 3 THEN chr(10) || '### 表格' || chr(10) || chr(10) || text || chr(10) WHEN region_id % 8 = 4 THEN chr(10) || '> **印章**: ' || text || chr(10)
+      WHEN region_id % 8 = 5 THEN chr(10) || '### 图表' || chr(10) || chr(10) || text || chr(10) WHEN region_id % 8 = 6 THEN chr(10) || '$$ ' || text || ' $$' || chr(10) END AS t FROM regions),
+  p AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY y1, region_id) AS markdown FROM m WHERE t IS NOT NULL GROUP BY 1)
+  SELECT doc_id, md5(markdown) AS markdown_md5, length(markdown) AS n_chars FROM p""")
 def page_markdown(spark, d):
     return ops.page_markdown(blocks(spark, d)).select("doc_id", F.md5("markdown").alias("markdown_md5"), F.length("markdown").alias("n_chars"))
 
@@ -198,6 +206,10 @@ def quality_route(spark, d):
     return ops.quality_route(metrics(spark, d)).groupBy("score", "route").agg(F.count("*").alias("pages"))
 
 
-@query("P06_strategy")
+@query("P06_strategy", """WITH m AS (SELECT length(html) % 70 AS sh, page_id * 13 % 256 AS br, page_id * 7 % 110 AS co, (length(html) % 30) / 1000.0::DOUBLE AS de FROM pages),
+  s AS (SELECT CASE WHEN br < 40 AND co < 30 THEN 'dark_low_contrast' WHEN sh < 30 AND co < 30 THEN 'blurry' WHEN co < 30 THEN 'low_contrast' WHEN br < 40 THEN 'dark' WHEN co > 80 THEN 'high_contrast' ELSE 'normal' END AS strategy,
+    greatest(0, 100 - CASE WHEN sh < 30 THEN 30 WHEN sh < 60 THEN 10 ELSE 0 END - CASE WHEN br < 40 THEN 25 WHEN br < 80 THEN 10 ELSE 0 END
+      - CASE WHEN co < 30 THEN 20 WHEN co > 80 THEN 5 ELSE 0 END - CASE WHEN de < 0.001::DOUBLE THEN 15 WHEN de < 0.01::DOUBLE THEN 5 ELSE 0 END) AS q FROM m)
+  SELECT strategy, count(*) AS pages, avg(q) AS quality FROM s GROUP BY 1""")
 def strategy(spark, d):
     return ops.preprocessing_strategy(metrics(spark, d)).groupBy("strategy").agg(F.count("*").alias("pages"), F.avg("quality_score").alias("quality"))

@@ -38,7 +38,13 @@ def experiment_report(spark, d):
     return out.select("control", "best", *[F.round(c, 6).alias(c) for c in ("control_rate", "best_rate", "z_score")], "significant")
 
 
-@query("A29_experiment_p_value")
+@query("A29_experiment_p_value", f"""WITH r AS (SELECT {VARIANT} AS variant, event_type = 'purchase' AS ok FROM events),
+  p AS (SELECT variant, count(*) AS n, count(*) FILTER (ok) AS k, count(*) FILTER (ok)::DOUBLE / count(*) AS rate FROM r GROUP BY 1),
+  x AS (SELECT c.n AS n1, c.k AS k1, c.rate AS p1, b.variant, b.n AS n2, b.k AS k2, b.rate AS p2 FROM p c, (SELECT * FROM p WHERE variant <> 'control' ORDER BY rate DESC, variant DESC LIMIT 1) b WHERE c.variant = 'control'),
+  z AS (SELECT variant, abs((p2 - p1) / sqrt((k1 + k2)::DOUBLE / (n1 + n2) * (1 - (k1 + k2)::DOUBLE / (n1 + n2)) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2))) AS z FROM x),
+  t AS (SELECT variant, z, 1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * z / sqrt(2.0::DOUBLE)) AS t FROM z)
+  SELECT variant AS best, ROUND(t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2), 4) AS p_value,
+    CASE WHEN z > 1.96 THEN variant END AS winner FROM t""")
 def experiment_p_value(spark, d):
     e = v.events(spark, d).select(ops.assign_variant("exp", F.col("user_id"), VARIANTS).alias("variant"), (F.col("event_type") == "purchase").alias("success"))
     return ops.experiment_report(e, "control").select("best", F.round("p_value", 4).alias("p_value"), "winner")
@@ -138,7 +144,7 @@ def delivery_statistics(spark, d):
 
 @query("J10_resolve_layers", """WITH l AS (SELECT c_nationkey AS tenant_id, c_mktsegment || '.k' || (c_custkey % 40) AS path, c_custkey % 3 AS level, c_custkey AS version, c_acctbal AS value FROM customer),
   o AS (SELECT tenant_id, path, arg_max(value, (level, version)) AS own FROM l WHERE level > 0 GROUP BY 1, 2), f AS (SELECT path, arg_max(value, version) AS fallback FROM l WHERE level = 0 GROUP BY 1)
-  SELECT o.tenant_id, coalesce(o.path, f.path) AS path, coalesce(own, fallback) AS value, CASE WHEN own IS NOT NULL THEN 'override' ELSE 'default' END AS origin FROM o FULL OUTER JOIN f ON o.path = f.path""")
+  SELECT tenant_id, path, own AS value, 'override' AS origin FROM o UNION ALL SELECT NULL, path, fallback, 'default' FROM f""")
 def resolve_layers(spark, d):
     c = v.table(spark, d, "customer")
     layers = c.select(F.col("c_nationkey").alias("tenant_id"), F.concat("c_mktsegment", F.lit(".k"), (F.col("c_custkey") % 40).cast("string")).alias("path"),
@@ -146,12 +152,12 @@ def resolve_layers(spark, d):
     return ops.resolve_layers(layers)
 
 
-@query("J11_localised_names", """WITH n AS (SELECT DISTINCT ON (key, locale) key, locale, name FROM (SELECT p_name AS key, (['zh', 'en', 'de'])[p_partkey % 3 + 1] AS locale, p_name || '-' || (p_partkey % 3) AS name, p_partkey FROM part WHERE p_partkey % 40 = 0)),
+@query("J11_localised_names", """WITH n AS (SELECT DISTINCT ON (key, locale) key, locale, name FROM (SELECT p_name AS key, (['zh', 'en', 'de'])[p_partkey % 3 + 1] AS locale, p_name || '-' || (p_partkey % 3) AS name, p_partkey FROM part)),
   k AS (SELECT p_partkey, p_name AS key FROM part)
   SELECT k.p_partkey, coalesce(a.name, b.name, k.key) AS name FROM k LEFT JOIN n a ON k.key = a.key AND a.locale = 'zh' LEFT JOIN n b ON k.key = b.key AND b.locale = 'en'""")
 def localised_names(spark, d):
     p = v.table(spark, d, "part")
-    names = p.where("p_partkey % 40 = 0").select(F.col("p_name").alias("key"), v.pick(F.col("p_partkey") % 3, ["zh", "en", "de"]).alias("locale"),
+    names = p.select(F.col("p_name").alias("key"), v.pick(F.col("p_partkey") % 3, ["zh", "en", "de"]).alias("locale"),
                                                 F.concat("p_name", F.lit("-"), (F.col("p_partkey") % 3).cast("string")).alias("name")).distinct()
     return ops.localised_names(p.select("p_partkey", F.col("p_name").alias("key")), names, "zh").select("p_partkey", "name")
 

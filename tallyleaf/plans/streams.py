@@ -64,6 +64,19 @@ def adaptive_limit(spark, d):
     return out.select("tenant_id", F.round("success_rate", 6).alias("success_rate"), F.round("response_ms", 6).alias("response_ms"), "adjusted")
 
 
+def smooth_sql(alpha: float) -> str:
+    return f"""SELECT {alpha}::DOUBLE AS alpha, tenant_id, sum({alpha}::DOUBLE * pow(1 - {alpha}::DOUBLE, age) * CASE WHEN success THEN 1 ELSE 0 END) + pow(1 - {alpha}::DOUBLE, max(n)) AS ok,
+      sum({alpha}::DOUBLE * pow(1 - {alpha}::DOUBLE, age) * latency_ms) AS ms FROM pos GROUP BY 2"""
+
+
+@query("U05_smoothing", "WITH " + SMOOTH.split(",\n")[0] + f""", a AS ({smooth_sql(0.3)} UNION ALL {smooth_sql(0.01)})
+  SELECT alpha, tenant_id, ROUND(ok, 6) AS success_rate, ROUND(ms, 6) AS response_ms FROM a""")
+def smoothing(spark, d):
+    """Two smoothing factors over all events: with the small one, old events still weigh."""
+    both = [stateful.smoothed(v.usage(spark, d), "tenant_id", a).withColumn("alpha", F.lit(a)) for a in (0.3, 0.01)]
+    return both[0].unionByName(both[1]).select("alpha", "tenant_id", F.round("success_rate", 6).alias("success_rate"), F.round("response_ms", 6).alias("response_ms"))
+
+
 @query("U06_unhealthy_spans", """WITH r AS (SELECT tenant_id, request_id, success, CAST(sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM usage)
   SELECT tenant_id, run, count(*) AS failures, min(request_id) AS first_id FROM r WHERE NOT success GROUP BY 1, 2 HAVING count(*) >= 3""")
 def unhealthy_spans(spark, d):

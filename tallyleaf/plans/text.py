@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyleaf import fixed_values as fv
 from tallyleaf.functions import text as tx
 from tallyleaf.operators import text as ops
-from tallyleaf.operators.scale import use_all_cores
+from tallyleaf.operators.scale import spread_scan
 from tallyleaf.plans.registry import query
 from tallyleaf.sources import views as v
 
@@ -15,7 +15,7 @@ B = "[\\s　 ]"
 
 
 def docs(spark, d, *extra):
-    return use_all_cores(v.table(spark, d, "documents").select("doc_id", "text", *extra), "doc_id")
+    return spread_scan(v.table(spark, d, "documents").select("doc_id", "text", *extra), "doc_id")
 
 
 def q(s: str) -> str:
@@ -272,7 +272,7 @@ HTML_SQL = strip_sql("""regexp_replace(regexp_replace(regexp_replace(regexp_repl
 
 @query("X20_html_to_text", f"SELECT page_id, md5({HTML_SQL}) AS text_md5, length({HTML_SQL}) AS n_chars FROM pages")
 def html_to_text(spark, d):
-    p = use_all_cores(v.table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", ops.html_to_text(F.col("html")).alias("t"))
+    p = spread_scan(v.table(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", ops.html_to_text(F.col("html")).alias("t"))
     return p.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 

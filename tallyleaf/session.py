@@ -31,7 +31,11 @@ def build_session(app: str = "tallyleaf", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Without one, a run in a single process gets a temporary folder of its machine; on a cluster that is an error,
+    because each executor would write to its own disk.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
@@ -39,6 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyleaf-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -174,8 +174,8 @@ def webhooks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     )
     subs = s.select(key.alias("sub_id"), (key % 20).alias("tenant_id"), types.alias("events"),
                     (F.col("s_acctbal") >= 0).alias("active"))
-    attempts = e.where(F.col("event_id") % 8 < 6).select(
-        F.floor(F.col("event_id") / 8).alias("delivery_id"), (F.col("event_id") % 8 + 1).alias("attempt"),
-        (F.floor(F.col("event_id") / 8) % 20).alias("tenant_id"), "ts",
+    attempts = e.select(
+        F.floor(F.col("event_id") / 6).alias("delivery_id"), (F.col("event_id") % 6 + 1).alias("attempt"),
+        (F.floor(F.col("event_id") / 6) % 20).alias("tenant_id"), "ts",
         (F.col("k") % 4 == 0).alias("success"), F.col("value").alias("duration_ms"))
     return wh, subs, attempts

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tallyleaf.operators.scale import hour_chunk, idle_segments, newest_per_key, running_totals
+from tallyleaf.operators.scale import hour_chunk, idle_segments, join_keys, running_totals
 from tallyleaf.streaming.folds import load, save
 
 
@@ -83,10 +84,10 @@ def quota_segments(calls: DataFrame, key: str, daily: float, budget: float) -> D
         "_p", F.floor(F.col("ts_s") / 2592000).cast("bigint"))
     days = rows.groupBy(key, "_p", "_d").agg(F.sum("tokens").alias("_dt"), F.sum("cost").alias("_dc"))
     periods = days.groupBy(key, "_p").agg((F.sum("_dc") <= budget).alias("_period_free"))
-    flags = days.join(periods, [key, "_p"]).select(key, "_d", "_period_free", (F.col("_dt") <= daily).alias("_day_free"))
+    flags = join_keys(days, periods, [key, "_p"]).select(key, "_d", "_period_free", (F.col("_dt") <= daily).alias("_day_free"))
     segment = (F.when(F.col("_period_free") & F.col("_day_free"), F.concat(F.lit("m"), F.col("_m").cast("string")))
                .when(F.col("_period_free"), F.concat(F.lit("d"), F.col("_d").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("_p").cast("string"))))
-    return rows.join(flags, [key, "_d"]).withColumn("segment", segment).drop("_m", "_d", "_p", "_period_free", "_day_free")
+    return join_keys(rows, flags, [key, "_d"]).withColumn("segment", segment).drop("_m", "_d", "_p", "_period_free", "_day_free")
 
 
 def state_timeline(decisions: DataFrame, key: str) -> DataFrame:
@@ -98,19 +99,23 @@ def state_timeline(decisions: DataFrame, key: str) -> DataFrame:
     return spans.groupBy(key, "state").agg(F.count("*").alias("calls"), F.sum(F.col("_next") - F.col("ts_s")).alias("seconds"))
 
 
-# The weight of anything older than this many events is below the resolution of a double (0.7 ** 128 < 2e-20).
-EWMA_MEMORY = 128
-
-
 def smoothed(calls: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
-    """Final smoothed success and latency per key, folded over the newest events only; older ones cannot show."""
-    newest = newest_per_key(calls.select(key, "ts", "request_id", "success", "latency_ms"), [key],
-                            [F.col("ts").desc(), F.col("request_id").desc()], EWMA_MEMORY)
-    history = newest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "request_id", F.col("success").cast("double").alias("ok"), "latency_ms"))).alias("h"))
-    start = F.struct(F.lit(1.0).alias("ok"), F.lit(0.0).alias("ms"))
-    end = F.aggregate("h", start, lambda a, e: F.struct((alpha * e["ok"] + (1 - alpha) * a["ok"]).alias("ok"),
-                                                       (alpha * e["latency_ms"] + (1 - alpha) * a["ms"]).alias("ms")))
-    return history.select(key, end.alias("e")).select(key, F.col("e.ok").alias("success_rate"), F.col("e.ms").alias("response_ms"))
+    """Final smoothed success (from 1) and latency (from 0) per key over all its events, for any ``alpha``.
+
+    A step is affine, so steps compose: an event weighs ``alpha * (1 - alpha) ** (events after it)``. Each (key, hour)
+    sums its own weighted events and counts them; the hours of a key are then put together by the counts after them, so
+    a busy key is never ordered in one task.
+    """
+    keep = 1.0 - alpha
+    rows = calls.select(key, hour_chunk("ts").alias("_chunk"), "ts", "request_id", F.col("success").cast("double").alias("_ok"), F.col("latency_ms").cast("double").alias("_ms"))
+    newest = Window.partitionBy(key, "_chunk").orderBy(F.col("ts").desc(), F.col("request_id").desc())
+    weight = alpha * F.pow(F.lit(keep), F.row_number().over(newest) - 1)
+    hours = rows.withColumn("_w", weight).groupBy(key, "_chunk").agg(
+        F.count("*").alias("_n"), F.sum(F.col("_w") * F.col("_ok")).alias("_ok"), F.sum(F.col("_w") * F.col("_ms")).alias("_ms"))
+    after = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    aged = hours.withColumn("_f", F.pow(F.lit(keep), after))
+    return aged.groupBy(key).agg((F.sum(F.col("_f") * F.col("_ok")) + F.pow(F.lit(keep), F.sum("_n"))).alias("success_rate"),
+                                 F.sum(F.col("_f") * F.col("_ms")).alias("response_ms"))
 
 
 def adjusted_limit(smooth: DataFrame, base: Column, unit_seconds: float = 1000.0) -> DataFrame:
