@@ -81,6 +81,7 @@ def set_keys(grams: np.ndarray, owner: np.ndarray, rows: int):
 
 
 def _scan(batches, make):
+    ts.claim("n-grams")
     for batch in batches:
         data, offsets = ts.text_bytes(batch.column("text"))
         for a, b in ts.chunks(offsets):
@@ -140,6 +141,7 @@ def _shared_columns(blocks: int):
     """Of a column block: the entries whose n-gram occurs in two sets at least, dealt out by set."""
 
     def run(table: pa.Table) -> pa.Table:
+        ts.claim("n-grams")
         packed = _joined(table["grams"], np.uint8).reshape(-1, GRAM_BYTES)
         grams = np.zeros((len(packed), 8), dtype=np.uint8)
         grams[:, 8 - GRAM_BYTES:] = packed
@@ -173,6 +175,7 @@ def _bounded_rows(percent: int):
     """Of a row block: the sets that can have a partner, with their shared n-grams and the prefix a partner must meet."""
 
     def run(table: pa.Table) -> pa.Table:
+        ts.claim("n-grams")
         grams, nodes = _joined(table["grams"], np.uint64), _joined(table["nodes"], np.int64)
         sizes, times = _joined(table["sizes"], np.int32), _joined(table["times"], np.int32)
         order = np.lexsort((grams, times, sizes, nodes))
@@ -258,6 +261,7 @@ def _inside_block(percent: int):
     """A spanning set of links inside one block of a family."""
 
     def run(table: pa.Table) -> pa.Table:
+        ts.claim("n-grams")
         table = table.sort_by([("size", "ascending"), ("node", "ascending")])
         sets, node, size = _block_sets(table)
         product, merged, pairs = Product(sets, size), Merged(len(sets)), []

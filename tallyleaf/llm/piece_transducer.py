@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyleaf.llm import textscan as ts
 from tallyleaf.llm.sentence_pieces import BYTE, CHUNKS, CONTROL, PIECE_BITS, PIECE_MASK, SPACE_MARK, UNKNOWN, Remembered, Vocabulary, vocabulary
 
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 START, LONE = PIECE_MASK, PIECE_MASK - 1
 _machines: dict[str, "Transducer"] = {}
 
@@ -111,6 +112,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches):
+        ts.claim("transducer", _machines.clear)
         machine = transducer(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -129,6 +131,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; a null list gives a null text."""
 
     def run(batches):
+        ts.claim("transducer", _machines.clear)
         machine = transducer(model)
         for batch in batches:
             texts = [None if i is None else machine.decode(i) for i in batch.column("ids").to_pylist()]

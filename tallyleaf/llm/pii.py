@@ -14,6 +14,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyleaf.llm import textscan as ts
+
 KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "ssn")
 BASE = KINDS[:4]
 DIGITS = frozenset(string.digits)
@@ -214,6 +216,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        ts.claim("personal data")
         for batch in batches:
             found = [find(t) if t else [] for t in batch.column("text").to_pylist()]
             base = [[s for s in f if s[0] in BASE] for f in found]
@@ -248,6 +251,7 @@ def mask_personal_data(docs: DataFrame, column: str = "text") -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        ts.claim("personal data")
         for batch in batches:
             arrays = list(batch.columns)
             at = names.index(column)

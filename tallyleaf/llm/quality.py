@@ -97,6 +97,7 @@ def fit_trees(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches):
+        ts.claim("quality")
         for batch in batches:
             x = features(column_statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("_quality"), batch.column("doc_id")], ["x", "y", "doc_id"])
@@ -123,6 +124,7 @@ def judge(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     own = [n for n in docs.columns if n not in added]
 
     def run(batches):
+        ts.claim("quality")
         for batch in batches:
             s = column_statistics(batch.column("text"))
             failed = (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED_PERCENT * s["n_words"])

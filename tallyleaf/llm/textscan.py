@@ -26,6 +26,16 @@ _BYTE_LOWER[65:91] = _BYTE[97:123]
 _powers: dict[str, np.ndarray] = {}
 
 
+_held: dict = {"owner": None, "drop": None}
+
+
+def claim(owner: str, drop=None) -> None:
+    """Called when a task begins: what another operator has kept in this Python worker is released."""
+    if _held["owner"] != owner and _held["drop"] is not None:
+        _held["drop"]()
+    _held.update(owner=owner, drop=drop)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and the offsets of its rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

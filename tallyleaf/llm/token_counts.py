@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyleaf.llm import textscan as ts
 from tallyleaf.llm.sentence_pieces import CHUNKS, Remembered, Vocabulary, vocabulary
 
 REMEMBERED = 400_000
@@ -48,6 +49,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
 
     def run(batches):
+        ts.claim("counter", _counters.clear)
         count = counter(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -283,6 +283,7 @@ def test_transcripts_recover_roles_and_texts(spark):
     assert len(right) >= 0.9 * len(held) and 900 not in out
     assert transcripts.format_conversations(conv.limit(0)).count() == 0
     model = transcripts.fit_model(conv)
-    given = spark.createDataFrame([(1, 0, None), (2, 0, " \n"), (3, 0, "Human: hi\nAI: yes, of course\n\nmore")], "conv_id long, segment long, text string")
+    answer = " ".join("yes" for _ in range(30))  # as long as the answers that the model has seen
+    given = spark.createDataFrame([(1, 0, None), (2, 0, " \n"), (3, 0, f"Human: may I ask this?\nAI: {answer}")], "conv_id long, segment long, text string")
     parsed = {r.conv_id: [tuple(t) for t in r.turns] for r in transcripts.parse_transcripts(given, model).collect()}
-    assert parsed == {1: [], 2: [], 3: [("user", "hi"), ("assistant", "yes, of course\n\nmore")]}
+    assert parsed == {1: [], 2: [], 3: [("user", "may I ask this?"), ("assistant", answer)]}
