@@ -114,7 +114,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         ts.claim("transducer", _machines.clear)
         machine = transducer(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in ts.slices(whole, "text")):
             texts = batch.column("text").to_pylist()
             ids = [None if t is None else machine.encode(t) for t in texts]
             same = [None if i is None else machine.decode(i.tolist()) == t for i, t in zip(ids, texts)]
@@ -124,6 +124,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat), pa.array(length),
                                               pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 
+    ts.bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
@@ -137,4 +138,5 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
             texts = [None if i is None else machine.decode(i) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    ts.bound_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

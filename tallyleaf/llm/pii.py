@@ -217,7 +217,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         ts.claim("personal data")
-        for batch in batches:
+        for batch in (part for whole in batches for part in ts.slices(whole, "text")):
             found = [find(t) if t else [] for t in batch.column("text").to_pylist()]
             base = [[s for s in f if s[0] in BASE] for f in found]
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE]
@@ -226,6 +226,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                  pa.array([listed(f) for f in found], pa.string())],
                 ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
 
+    ts.bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
@@ -252,10 +253,11 @@ def mask_personal_data(docs: DataFrame, column: str = "text") -> DataFrame:
 
     def run(batches):
         ts.claim("personal data")
-        for batch in batches:
+        for batch in (part for whole in batches for part in ts.slices(whole, column)):
             arrays = list(batch.columns)
             at = names.index(column)
             arrays[at] = pa.array([None if t is None else masked(t) for t in arrays[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names)
 
+    ts.bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

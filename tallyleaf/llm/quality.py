@@ -13,6 +13,8 @@ from tallyleaf.llm.boosted_trees import Forest, fit
 
 #: At most so many labelled documents are used to fit the trees: the first by hash of ``doc_id``.
 LABELLED_ROWS = 4000
+#: Bytes of text whose statistics are worked out at once; one longer text is taken alone.
+CHUNK_BYTES = 1 << 19
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Below this probability of good quality a document is rejected.
 LEAST_SCORE = 0.3
@@ -82,7 +84,7 @@ def features(s: dict[str, np.ndarray]) -> np.ndarray:
 
 def column_statistics(column) -> dict[str, np.ndarray]:
     data, offsets = ts.text_bytes(column)
-    parts = [statistics(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]) for a, b in ts.chunks(offsets)]
+    parts = [statistics(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]) for a, b in ts.chunks(offsets, CHUNK_BYTES)]
     return {k: np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in (*COUNTS, *_EXTRA)}
 
 
@@ -117,6 +119,7 @@ def judge(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     repeated, fails; else the trees decide. A null or empty text has zero counts and fails. Repeated rows are judged
     alike; an empty table gives no rows.
     """
+    ts.bound_batches(docs.sparkSession)
     forest = fit_trees(docs, labels, labelled_rows)
     added = [*[f"_{c}" for c in COUNTS], "_base_failed", "_score", "_kept"]
     schema = T.StructType([*[f for f in docs.schema.fields if f.name not in added], *[T.StructField(f"_{c}", T.LongType()) for c in COUNTS],

@@ -6,14 +6,18 @@ the chunk size (one document larger than a chunk is a chunk of its own).
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1 << 21
 CHUNK_ROWS = 1 << 16
+#: Bytes of an Arrow batch handed to a Python worker (one longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -33,9 +37,16 @@ def claim(owner: str, drop=None) -> None:
     """Called when a task begins: what another operator has kept in this Python worker is released."""
     if _held["owner"] != owner and _held["drop"] is not None:
         _held["drop"]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     _held.update(owner=owner, drop=drop)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of long texts are cut by bytes, not by the default number of rows alone; holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes and the offsets of its rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -49,6 +60,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``limit`` bytes of ``column`` (or of one row), so that few texts are held as strings."""
+    _, offsets = text_bytes(batch.column(column))
+    for a, b in chunks(offsets, limit):
+        yield batch.slice(a, b - a)
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes (or of one row) and ``CHUNK_ROWS`` rows."""
     first, rows = 0, len(offsets) - 1

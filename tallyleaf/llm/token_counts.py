@@ -51,7 +51,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     def run(batches):
         ts.claim("counter", _counters.clear)
         count = counter(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in ts.slices(whole, "text")):
             texts = batch.column("text").to_pylist()
             tokens = [count(t) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
