@@ -82,13 +82,24 @@ def merge_passes(spark, d):
     return ops.merge_passes(a, b, 0.3).groupBy("doc_id").agg(F.count("*").alias("regions"), F.sum("region_id").alias("id_sum"))
 
 
-@query("W13_suppress_overlaps")
+BOX = "[{'id': region_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}]"
+SIDE = "(least(k.{0}2, b[1].{0}2) - greatest(k.{0}1, b[1].{0}1))"
+W, H = SIDE.format("x"), SIDE.format("y")
+SIZES = "(k.x2 - k.x1) * (k.y2 - k.y1) + (b[1].x2 - b[1].x1) * (b[1].y2 - b[1].y1)"
+#: Greedy suppression as a reduction over the boxes of a group in order; each box is a list of one, the result the list of kept boxes.
+GREEDY = f"""list_reduce(list({BOX} ORDER BY confidence DESC, region_id), lambda acc, b: CASE WHEN len(list_filter(acc, lambda k:
+    {W} > 0 AND {H} > 0 AND ({W} * {H})::DOUBLE / ({SIZES} - {W} * {H}) > 0.5)) > 0 THEN acc ELSE list_concat(acc, b) END)"""
+KEPT = "SELECT doc_id, CAST(sum(len(kept)) AS BIGINT) AS kept, CAST(sum(list_sum(list_transform(kept, lambda k: k.id))) AS BIGINT) AS id_sum FROM g GROUP BY 1"
+BOTH = "WITH " + PASSES + ", u AS (SELECT * FROM pa UNION ALL SELECT * FROM pb), "
+
+
+@query("W13_suppress_overlaps", BOTH + f"g AS (SELECT doc_id, {GREEDY} AS kept FROM u GROUP BY 1) " + KEPT)
 def suppress_overlaps(spark, d):
     a, b = passes(spark, d)
     return ops.suppress_overlaps(a.unionByName(b), 0.5).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("region_id").alias("id_sum"))
 
 
-@query("W13_same_text")
+@query("W13_same_text", BOTH + f"g AS (SELECT doc_id, {GREEDY} AS kept FROM u WHERE trim(text, ' ') <> '' GROUP BY doc_id, trim(text, ' ')) " + KEPT)
 def same_text(spark, d):
     a, b = passes(spark, d)
     return ops.suppress_overlaps(a.unionByName(b), 0.5, same_text=True).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("region_id").alias("id_sum"))
@@ -154,7 +165,8 @@ def table_text(spark, d):
     return ops.table_text(cells, ["doc_id"]).select("doc_id", "rows", F.md5("table_text").alias("table_md5"))
 
 
-@query("W14_merge_close_lines")
+@query("W14_merge_close_lines", """WITH y AS (SELECT doc_id, list([y1] ORDER BY y1) AS ys FROM (SELECT DISTINCT doc_id, y1 FROM regions) GROUP BY 1)
+  SELECT doc_id, CAST(len(ys) AS INTEGER) AS coords, array_to_string(list_reduce(ys, lambda acc, c: CASE WHEN c[1] - acc[-1] > 12 THEN list_concat(acc, c) ELSE acc END), ',') AS kept FROM y""")
 def merge_close_lines(spark, d):
     coords = v.regions(spark, d).groupBy("doc_id").agg(F.collect_set("y1").alias("ys"))
     return coords.select("doc_id", F.size("ys").alias("coords"), F.array_join(ops.merge_close_lines(F.col("ys"), 12), ",").alias("kept"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyleaf import fixed_values as fv
 from tallyleaf.operators import metering as m
+from tallyleaf.operators.monitoring import security_alerts
 from tallyleaf.plans.metering import priced
+from tallyleaf.plans.monitoring import ALERTING, SHARE
 from tallyleaf.plans.registry import query
 from tallyleaf.sources import views as v
 from tallyleaf.streaming import folds, jobs, stateful
@@ -17,7 +20,16 @@ def limited_calls(spark, d):
     return v.usage(spark, d).join(tiers, "tenant_id")
 
 
-@query("U01_sliding_window_limit")
+#: A key's calls by position, for twins that follow a rule call by call.
+BY_CALL = """WITH RECURSIVE c AS MATERIALIZED (SELECT {key} AS key, {columns}, epoch_us(ts) / 1e6 AS t,
+    row_number() OVER (PARTITION BY {key} ORDER BY ts, request_id) AS i FROM {source}), """
+NEXT = "FROM r JOIN c ON c.key = r.key AND c.i = r.i + 1"
+
+
+@query("U01_sliding_window_limit", BY_CALL.format(key="tenant_id", columns="request_id", source="usage") + f"""
+  r AS (SELECT key, i, t AS last, true AS admitted, 0::DOUBLE AS wait FROM c WHERE i = 1 UNION ALL
+    SELECT c.key, c.i, CASE WHEN r.last > c.t - 1800 THEN r.last ELSE c.t END, r.last <= c.t - 1800, CASE WHEN r.last > c.t - 1800 THEN r.last + 1800 - c.t ELSE 0::DOUBLE END {NEXT})
+  SELECT key AS tenant_id, count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS rejected, ROUND(max(wait), 3) AS longest_wait FROM r GROUP BY 1""")
 def sliding_window_limit(spark, d):
     """At most one admitted call per tenant in 30 minutes, to bind on the sparse test traffic."""
     calls = stateful.limiter_segments(v.usage(spark, d).select("tenant_id", "request_id", "ts"), "tenant_id", 1800).withColumn("limit", F.lit(1))
@@ -37,7 +49,16 @@ def token_bucket(spark, d):
                                         F.round(F.min("remaining"), 3).alias("lowest"))
 
 
-@query("U03_fixed_windows")
+@query("U03_fixed_windows", BY_CALL.format(
+    key="tenant_id", columns="total_tokens AS tokens, CAST(cost_usd AS DOUBLE) AS cost, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 60000000 AS m, epoch_us(ts) // 86400000000 AS d, "
+    "epoch_us(ts) // 2592000000000 AS p", source="priced") + f"""
+  r AS (SELECT DISTINCT key, 0::BIGINT AS i, -1::BIGINT AS s, -1::BIGINT AS m, -1::BIGINT AS d, -1::BIGINT AS p, '' AS reason, 0::BIGINT AS tpm, 0::BIGINT AS rpm, 0::BIGINT AS qps, 0::BIGINT AS daily, 0::DOUBLE AS budget FROM c
+    UNION ALL SELECT key, i, s, m, d, p, reason, tpm + ok * tokens, rpm + ok, qps + ok, daily + ok * tokens, budget + ok * cost
+    FROM (SELECT *, CASE WHEN reason = 'ok' THEN 1 ELSE 0 END AS ok FROM (SELECT *, CASE WHEN tpm + tokens > 100000 THEN 'tpm' WHEN rpm + 1 > 600 THEN 'rpm' WHEN qps + 1 > 20 THEN 'qps'
+          WHEN daily + tokens > 50000 THEN 'daily' WHEN budget + cost > 500 THEN 'budget' ELSE 'ok' END AS reason
+        FROM (SELECT c.*, CASE WHEN r.m = c.m THEN r.tpm ELSE 0 END AS tpm, CASE WHEN r.m = c.m THEN r.rpm ELSE 0 END AS rpm, CASE WHEN r.s = c.s THEN r.qps ELSE 0 END AS qps,
+            CASE WHEN r.d = c.d THEN r.daily ELSE 0 END AS daily, CASE WHEN r.p = c.p THEN r.budget ELSE 0 END AS budget {NEXT}))))
+  SELECT key AS tenant_id, reason, count(*) AS calls FROM r WHERE i > 0 GROUP BY 1, 2""")
 def fixed_windows(spark, d):
     calls = priced(spark, d).select("tenant_id", "request_id", "ts", F.col("total_tokens").alias("tokens"), F.col("cost_usd").cast("double").alias("cost"))
     parts = stateful.quota_segments(calls, "tenant_id", 50000, 500.0)
@@ -45,7 +66,18 @@ def fixed_windows(spark, d):
     return out.groupBy("tenant_id", "reason").agg(F.count("*").alias("calls"))
 
 
-@query("U04_circuit_breaker")
+@query("U04_circuit_breaker", BY_CALL.format(key="tenant_id", columns="success", source="usage") + f"""
+  r AS (SELECT DISTINCT key, 0::BIGINT AS i, 0::DOUBLE AS t, 'closed' AS state, 0::DOUBLE AS failed_at, 0::BIGINT AS streak, []::DOUBLE[] AS fails FROM c
+    UNION ALL SELECT key, i, t,
+      CASE WHEN tried = 'open' THEN 'open' WHEN success AND tried = 'half_open' AND streak >= 2 THEN 'closed' WHEN NOT success AND (tried = 'half_open' OR len(recent) >= 1) THEN 'open' ELSE tried END,
+      CASE WHEN tried <> 'open' AND NOT success THEN t ELSE failed_at END,
+      CASE WHEN tried = 'open' THEN streak WHEN NOT success OR (tried = 'half_open' AND streak >= 2) THEN 0 ELSE streak + 1 END,
+      CASE WHEN tried = 'open' THEN fails WHEN success THEN recent ELSE list_append(recent, t) END
+    FROM (SELECT c.key, c.i, c.t, c.success, r.failed_at, r.fails, list_filter(r.fails, lambda x: x > c.t - 43200) AS recent,
+        CASE WHEN r.state = 'open' AND c.t - r.failed_at >= 7200 THEN 'half_open' ELSE r.state END AS tried,
+        CASE WHEN r.state = 'open' AND c.t - r.failed_at >= 7200 THEN 0 ELSE r.streak END AS streak {NEXT})),
+  n AS (SELECT key, state, lead(t) OVER (PARTITION BY key ORDER BY i) - t AS held FROM r WHERE i > 0)
+  SELECT key AS tenant_id, state, count(*) AS calls, ROUND(sum(held), 3) AS seconds FROM n GROUP BY 1, 2""")
 def circuit_breaker(spark, d):
     calls = v.usage(spark, d).select("tenant_id", "request_id", stateful.seconds().alias("ts_s"), "success")
     out = stateful.run_fold(calls, ["tenant_id"], ["ts_s", "request_id"], lambda: folds.Breaker(2, 3, 43200.0, 7200.0))
@@ -83,7 +115,10 @@ def unhealthy_spans(spark, d):
     return stateful.unhealthy_spans(v.usage(spark, d), "tenant_id")
 
 
-@query("W12_cache_with_ttl")
+@query("W12_cache_with_ttl", BY_CALL.format(key="tenant_id || '|' || model || '|' || scenario", columns="request_id", source="usage") + f"""
+  r AS (SELECT key, i, t AS stored, false AS hit FROM c WHERE i = 1 UNION ALL
+    SELECT c.key, c.i, CASE WHEN c.t - r.stored < 21600 THEN r.stored ELSE c.t END, c.t - r.stored < 21600 {NEXT})
+  SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM r""")
 def cache_with_ttl(spark, d):
     """Cache hits with entries that live six hours; an idle gap of the same length always ends in a miss."""
     ttl = 6 * 3600
@@ -109,6 +144,29 @@ def stream_minute_counts(spark, d):
     return out.withColumn("minute", F.unix_seconds("minute"))
 
 
+@query("T02_stream_sliding_shares", "WITH " + SHARE + " SELECT window_end, requests, flagged, ROUND(share, 6) AS share FROM share")
+def stream_sliding_shares(spark, d):
+    e = event_stream(spark, d).select("ts", "event_type")
+    shares = jobs.sliding_shares(e, F.col("event_type") == "error", "6 hours", "30 minutes")
+    out = jobs.latest_update(jobs.run_to_end(spark, shares, "shares", "update"), ["window_end"])
+    return out.select(F.unix_seconds("window_end").alias("window_end"), "requests", "flagged", F.round("share", 6).alias("share"))
+
+
+@query("T05_stream_first_alerts", "SELECT event_type AS field, CAST(user_id % 5 AS VARCHAR) AS value FROM ev GROUP BY 1, 2")
+def stream_first_alerts(spark, d):
+    """Fields and values that alerted; how often one alerts again depends on how the input arrives, so that is not counted."""
+    alerts = event_stream(spark, d).select("ts", F.col("event_type").alias("field"), (F.col("user_id") % 5).cast("string").alias("value"))
+    return jobs.run_to_end(spark, jobs.first_alerts(alerts), "alerts").select("field", "value").distinct()
+
+
+@query("T07_stream_security_alerts", f"""SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, action, count(*) AS alerts, count(DISTINCT tenant_id) AS tenants
+    FROM audit WHERE action IN {ALERTING} OR status = 'failure' GROUP BY 1, 2""")
+def stream_security_alerts(spark, d):
+    """Alerting entries are kept as they arrive; the windows are counted over what was written, so late entries count."""
+    written = jobs.run_to_end(spark, jobs.alerting_audit(v.audit_of(event_stream(spark, d)), fv.ALERTING_ACTIONS), "audit")
+    return security_alerts(written).withColumn("window_start", F.unix_seconds("window_start"))
+
+
 @query("T03_stream_monthly_usage", "SELECT tenant_id, period, total_tokens, call_count, failed_count, CAST(cost_usd AS DOUBLE) AS cost_usd FROM monthly")
 def stream_monthly_usage(spark, d):
     e = event_stream(spark, d)

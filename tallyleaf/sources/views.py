@@ -78,7 +78,11 @@ AUDIT_ACTIONS = {"click": "data.read", "view": "api.success", "purchase": "billi
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    return audit_of(events(spark, sf_dir))
+
+
+def audit_of(e: DataFrame) -> DataFrame:
+    """Audit entries of a table or stream of events."""
     action = F.when(F.col("k") % 10 == 0, F.lit("data.export"))
     for event_type, name in AUDIT_ACTIONS.items():
         action = action.when(F.col("event_type") == event_type, F.lit(name))
