@@ -55,17 +55,26 @@ def heat_map(requests: DataFrame, asof: Column, minutes: int = 60) -> DataFrame:
     return per.withColumn("total", F.sum("requests").over(Window.partitionBy("minute")))
 
 
+def bucket_counts(seconds: Column, bounds: tuple = fv.LATENCY_BUCKETS) -> dict[str, Column]:
+    """A conditional count per bucket bound and one of all rows."""
+    return {**{f"b{i}": F.count_if(seconds <= b) for i, b in enumerate(bounds)}, "b_all": F.count("*")}
+
+
+def cumulative_buckets(wide: DataFrame, keys: list[str], bounds: tuple = fv.LATENCY_BUCKETS) -> DataFrame:
+    """Rows (keys, le, cumulative) out of one column per bound; the last bound is infinity."""
+    items = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("cumulative")) for i, b in enumerate(bounds)]
+    items.append(F.struct(F.lit(float("inf")).alias("le"), F.col("b_all").alias("cumulative")))
+    return wide.select(*keys, F.inline(F.array(*items)))
+
+
 def latency_histogram(requests: DataFrame, keys: list[str], seconds: Column,
                       bounds: tuple = fv.LATENCY_BUCKETS) -> DataFrame:
     """Cumulative counts per bucket bound, one row per key and bound (the last bound is infinity).
 
     One pass: a conditional count per bound, unpivoted after the aggregate, so rows are never multiplied.
     """
-    counts = [F.count_if(seconds <= b).alias(f"b{i}") for i, b in enumerate(bounds)] + [F.count("*").alias("b_all")]
-    wide = requests.groupBy(*keys).agg(*counts)
-    items = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("cumulative")) for i, b in enumerate(bounds)]
-    items.append(F.struct(F.lit(float("inf")).alias("le"), F.col("b_all").alias("cumulative")))
-    return wide.select(*keys, F.inline(F.array(*items)))
+    wide = requests.groupBy(*keys).agg(*[c.alias(n) for n, c in bucket_counts(seconds, bounds).items()])
+    return cumulative_buckets(wide, keys, bounds)
 
 
 def histogram_quantile(histogram: DataFrame, keys: list[str], q: float) -> DataFrame:
@@ -182,18 +191,51 @@ def firing_spans(points: DataFrame, keys: list[str], breach: str, hold_seconds:
     return runs.withColumn("held_seconds", held).where(held >= hold_seconds).drop("_run")
 
 
-def sliding_error_share(requests: DataFrame, flag: Column, window_seconds: int = 300, step_seconds: int = 30) -> DataFrame:
-    """Share of flagged requests in sliding windows, one row per window end.
+def sliding_sums(rows: DataFrame, keys: list[str], counts: dict[str, Column], window_seconds: int = 300, step_seconds: int = 30) -> DataFrame:
+    """Counts in sliding windows, one row per key and window end.
 
-    Rows are reduced to one per step first; only those are repeated into the windows they belong to.
+    Rows are reduced to one per key and step first; only those are repeated into the windows they belong to.
     """
     step = F.floor(F.unix_seconds("ts") / step_seconds).cast("bigint")
-    steps = requests.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.count_if(flag).alias("bad"))
+    steps = rows.groupBy(*keys, step.alias("step")).agg(*[c.alias(n) for n, c in counts.items()])
     spread = steps.withColumn(
         "window_end", F.explode(F.sequence(F.col("step") + 1, F.col("step") + window_seconds // step_seconds)))
-    return spread.groupBy((F.col("window_end") * step_seconds).alias("window_end")).agg(
-        F.sum("n").alias("requests"), F.sum("bad").alias("flagged")
-    ).withColumn("share", F.col("flagged") / F.col("requests"))
+    return spread.groupBy(*keys, (F.col("window_end") * step_seconds).alias("window_end")).agg(*[F.sum(n).alias(n) for n in counts])
+
+
+def sliding_error_share(requests: DataFrame, flag: Column, window_seconds: int = 300, step_seconds: int = 30) -> DataFrame:
+    """Share of flagged requests in sliding windows, one row per window end."""
+    sums = sliding_sums(requests, [], {"requests": F.count("*"), "flagged": F.count_if(flag)}, window_seconds, step_seconds)
+    return sums.withColumn("share", F.col("flagged") / F.col("requests"))
+
+
+def alert_points(requests: DataFrame, runs: DataFrame, hits: DataFrame, stretch: int = 1) -> DataFrame:
+    """Value of each alert rule at each evaluation instant: (rule, series, window_end, value, breach).
+
+    ``requests`` holds ts, endpoint, status_code and seconds; ``runs`` ts and fallback; ``hits`` one row with ts per call
+    that a limiter rejected. ``stretch`` multiplies windows and steps, for sparse traffic. An instant whose window holds
+    no row has no point. Latencies are taken from bucket counts, so no window is ever ordered.
+    """
+    step = fv.ALERT_STEP_SECONDS * stretch
+
+    def width(rule: str) -> int:
+        return fv.ALERT_RULES[rule][0] * stretch
+
+    def point(df: DataFrame, rule: str, value: Column, series: Column | None = None) -> DataFrame:
+        return df.select(F.lit(rule).alias("rule"), (F.lit("") if series is None else series).alias("series"), "window_end",
+                         value.cast("double").alias("value"), (value > fv.ALERT_RULES[rule][1]).alias("breach"))
+
+    failed = F.col("status_code").between(500, 599)
+    shares = [point(sliding_error_share(rows, flag, width(rule), step), rule, F.col("share")) for rule, rows, flag in (
+        ("error_share", requests, failed), ("hourly_error_share", requests, failed), ("fallback_share", runs, F.col("fallback")))]
+    buckets = sliding_sums(requests, ["endpoint"], bucket_counts(F.col("seconds")), width("p95_latency"), step)
+    keys = ["endpoint", "window_end"]
+    slow = point(histogram_quantile(cumulative_buckets(buckets, keys), keys, 0.95), "p95_latency", F.col("quantile"), F.col("endpoint"))
+    rejected = sliding_sums(hits, [], {"hits": F.count("*")}, width("limiter_hits"), step)
+    out = point(rejected, "limiter_hits", F.col("hits") / width("limiter_hits")).unionByName(slow)
+    for share in shares:
+        out = out.unionByName(share)
+    return out
 
 
 def audit_search(audit: DataFrame, tenant=None, action=None, start=None, end=None, limit: int = 100) -> DataFrame:

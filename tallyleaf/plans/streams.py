@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyleaf import fixed_values as fv
 from tallyleaf.operators import metering as m
-from tallyleaf.operators.monitoring import security_alerts
+from tallyleaf.operators import monitoring
 from tallyleaf.plans.metering import priced
-from tallyleaf.plans.monitoring import ALERTING, SHARE
+from tallyleaf.plans.monitoring import ALERTING, BOUNDS, SHARE
 from tallyleaf.plans.registry import query
 from tallyleaf.sources import views as v
 from tallyleaf.streaming import folds, jobs, stateful
@@ -31,14 +31,57 @@ NEXT = "FROM r JOIN c ON c.key = r.key AND c.i = r.i + 1"
     SELECT c.key, c.i, CASE WHEN r.last > c.t - 1800 THEN r.last ELSE c.t END, r.last <= c.t - 1800, CASE WHEN r.last > c.t - 1800 THEN r.last + 1800 - c.t ELSE 0::DOUBLE END {NEXT})
   SELECT key AS tenant_id, count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS rejected, ROUND(max(wait), 3) AS longest_wait FROM r GROUP BY 1""")
 def sliding_window_limit(spark, d):
-    """At most one admitted call per tenant in 30 minutes, to bind on the sparse test traffic."""
-    calls = stateful.limiter_segments(v.usage(spark, d).select("tenant_id", "request_id", "ts"), "tenant_id", 1800).withColumn("limit", F.lit(1))
-    out = stateful.run_fold(calls, ["tenant_id", "segment"], ["ts_s", "request_id"], lambda: folds.SlidingWindowLimit(1800.0))
+    out = half_hour_limit(spark, d)
     return out.groupBy("tenant_id").agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("rejected"),
                                         F.round(F.max("retry_after"), 3).alias("longest_wait"))
 
 
-@query("U02_token_bucket")
+def half_hour_limit(spark, d):
+    """At most one admitted call per tenant in 30 minutes, to bind on the sparse test traffic."""
+    calls = stateful.limiter_segments(v.usage(spark, d).select("tenant_id", "request_id", "ts"), "tenant_id", 1800).withColumn("limit", F.lit(1))
+    return stateful.run_fold(calls, ["tenant_id", "segment"], ["ts_s", "request_id"], lambda: folds.SlidingWindowLimit(1800.0))
+
+
+def windows_sql(source: str, t: str, width: int, sums: str, totals: str, keys: str = "") -> str:
+    """Sums over windows of ``width`` steps of 1800 seconds."""
+    return f"""SELECT {keys} e * 1800 AS window_end, {totals} FROM (SELECT *, unnest(range(step + 1, step + 1 + {width})) AS e FROM
+      (SELECT {keys} CAST(floor({t} / 1800) AS BIGINT) AS step, {sums} FROM {source} GROUP BY ALL)) GROUP BY ALL"""
+
+
+ERRORS = windows_sql("requests", "epoch(ts)", 10, "count(*) AS n, count(*) FILTER (status_code >= 500) AS bad", "sum(bad)::DOUBLE / sum(n) AS value")
+FALLBACKS = windows_sql("usage", "epoch(ts)", 20, "count(*) AS n, count(*) FILTER (model = 'unlisted-model') AS bad", "sum(bad)::DOUBLE / sum(n) AS value")
+HITS = windows_sql("r WHERE NOT admitted", "t", 10, "count(*) AS n", "sum(n)::DOUBLE / 18000 AS value")
+SLOW = windows_sql(f"(SELECT endpoint, ts, le, duration_ms / 10.0::DOUBLE <= le AS under FROM requests, (VALUES {BOUNDS}) AS b(le))", "epoch(ts)", 10,
+                   "count(*) FILTER (under) AS n", "sum(n) AS cumulative", "endpoint, le,")
+
+
+@query("T02_alert_points", BY_CALL.format(key="tenant_id", columns="request_id", source="usage") + f"""
+  r AS (SELECT key, i, t, t AS last, true AS admitted FROM c WHERE i = 1 UNION ALL
+    SELECT c.key, c.i, c.t, CASE WHEN r.last > c.t - 1800 THEN r.last ELSE c.t END, r.last <= c.t - 1800 {NEXT}),
+  h AS (SELECT *, max(cumulative) OVER w AS total, coalesce(lag(cumulative) OVER o, 0) AS prev, coalesce(lag(le) OVER o, 0.0) AS low FROM ({SLOW})
+    WINDOW w AS (PARTITION BY endpoint, window_end), o AS (PARTITION BY endpoint, window_end ORDER BY le)),
+  p AS (SELECT 'error_share' AS rule, '' AS series, window_end, value, 0.05::DOUBLE AS most FROM ({ERRORS})
+    UNION ALL SELECT 'hourly_error_share', '', window_end, value, 0.001::DOUBLE FROM ({ERRORS.replace("1 + 10)", "1 + 120)")})
+    UNION ALL SELECT 'fallback_share', '', window_end, value, 0.2::DOUBLE FROM ({FALLBACKS})
+    UNION ALL SELECT 'limiter_hits', '', window_end, value, 10::DOUBLE FROM ({HITS})
+    UNION ALL SELECT 'p95_latency', endpoint, window_end, CASE WHEN le = 'inf'::DOUBLE THEN low ELSE low + (le - low) * (0.95::DOUBLE * total - prev) / (cumulative - prev) END, 5::DOUBLE
+      FROM h WHERE cumulative >= 0.95::DOUBLE * total AND prev < 0.95::DOUBLE * total)
+  SELECT rule, series, window_end, ROUND(value, 6) AS value, value > most AS breach FROM p""")
+def alert_points(spark, d):
+    """All five rules, with windows sixty times as wide for the sparse test traffic."""
+    requests = v.requests(spark, d).withColumn("seconds", F.col("duration_ms") / 10.0)
+    runs = v.usage(spark, d).select("ts", (F.col("model") == "unlisted-model").alias("fallback"))
+    hits = half_hour_limit(spark, d).where(~F.col("admitted"))
+    return monitoring.alert_points(requests, runs, hits, 60).withColumn("value", F.round("value", 6))
+
+
+@query("U02_token_bucket", BY_CALL.format(key="tenant_id", columns="tokens, rate, capacity", source="""(SELECT u.tenant_id, request_id, ts, input_tokens + output_tokens AS tokens,
+      (base_tpm + elastic_tpm) / 60.0::DOUBLE AS rate, CAST(base_tpm + elastic_tpm + burst_tpm AS DOUBLE) AS capacity FROM usage u JOIN tenants t ON t.tenant_id = u.tenant_id
+      JOIN quotas q ON q.tier = CASE WHEN t.tier IN (SELECT tier FROM quotas) THEN t.tier ELSE 'free' END) AS calls""") + f"""
+  r AS (SELECT key, i, t, capacity >= tokens AS admitted, CASE WHEN capacity >= tokens THEN capacity - tokens ELSE capacity END AS have FROM c WHERE i = 1 UNION ALL
+    SELECT key, i, t, have >= tokens, CASE WHEN have >= tokens THEN have - tokens ELSE have END
+    FROM (SELECT c.key, c.i, c.t, c.tokens, least(c.capacity, r.have + greatest(0, c.t - r.t) * c.rate) AS have {NEXT}))
+  SELECT key AS tenant_id, count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS rejected, ROUND(min(have), 3) AS lowest FROM r GROUP BY 1""")
 def token_bucket(spark, d):
     calls = limited_calls(spark, d).select("tenant_id", "request_id", "ts", (F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), "rate",
                                            F.col("tpm_limit").alias("capacity"))
@@ -164,7 +207,7 @@ def stream_first_alerts(spark, d):
 def stream_security_alerts(spark, d):
     """Alerting entries are kept as they arrive; the windows are counted over what was written, so late entries count."""
     written = jobs.run_to_end(spark, jobs.alerting_audit(v.audit_of(event_stream(spark, d)), fv.ALERTING_ACTIONS), "audit")
-    return security_alerts(written).withColumn("window_start", F.unix_seconds("window_start"))
+    return monitoring.security_alerts(written).withColumn("window_start", F.unix_seconds("window_start"))
 
 
 @query("T03_stream_monthly_usage", "SELECT tenant_id, period, total_tokens, call_count, failed_count, CAST(cost_usd AS DOUBLE) AS cost_usd FROM monthly")

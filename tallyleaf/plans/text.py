@@ -282,7 +282,13 @@ def list_items(spark, d):
     return ops.list_items(v.table(spark, d, "pages"))
 
 
-@query("X20_html_tables")
+@query("X20_html_tables", """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<(/?)ul[^>]*>', '<\\1table>', 'g'), '(?i)<(/?)li[^>]*>', '<\\1tr>', 'g'),
+      '(?i)<a [^>]*>', '<td>', 'g'), '(?i)</a>', '</td>', 'g') AS html FROM pages),
+  t AS (SELECT page_id, unnest(range(0, len(b))) AS table_no, unnest(b) AS body FROM (SELECT page_id, regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1) AS b FROM p)),
+  l AS (SELECT page_id, table_no, unnest(range(0, len(b))) AS row_no, unnest(b) AS body FROM (SELECT page_id, table_no, regexp_extract_all(body, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS b FROM t)),
+  c AS (SELECT page_id, table_no, row_no, unnest(regexp_extract_all(body, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1)) AS cell FROM l)
+  SELECT page_id, CAST(table_no AS INTEGER) AS table_no, CAST(max(row_no) + 1 AS INTEGER) AS total_rows, count(*) FILTER (row_no = 0) AS total_cols, CAST(max(row_no) AS INTEGER) AS data_rows,
+    count(*) AS total_cells FROM c GROUP BY 1, 2""")
 def html_tables(spark, d):
     """Table statistics over each page's list rendered as a table, because the pages hold no table element."""
     p = v.table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(
