@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyleaf import fixed_values as fv
-from tallyleaf.functions.dates import expiry_status, parse_date
+from tallyleaf.functions.dates import dates_in, expiry_status, parse_date
 from tallyleaf.operators.scale import newest_per_key
 
 
@@ -15,6 +15,16 @@ def with_status(items: DataFrame, asof: Column, near_days: int = 30) -> DataFram
         "status", expiry_status(F.col("expiry_date"), asof, near_days))
 
 
+def dates_in_texts(docs: DataFrame, asof: Column, near_days: int = 30) -> DataFrame:
+    """Production and expiry date of each text, and its status: of two or more dates the first is production and the second
+    expiry, a single one is expiry; a text without a date is 'unknown'.
+    """
+    first, second = F.get("_dates", F.lit(0)), F.get("_dates", F.lit(1))
+    found = docs.withColumn("_dates", dates_in(F.col("text"))).withColumn("production_date", F.when(second.isNotNull(), first)).withColumn(
+        "expiry_date", F.coalesce(second, first))
+    return with_status(found.drop("_dates"), asof, near_days)
+
+
 def validate_expiry(items: DataFrame, asof: Column) -> DataFrame:
     """Reason and confidence for written production and expiry dates, first failing check first."""
     p, e = F.col("_p"), F.col("_e")

@@ -95,6 +95,17 @@ def required_table(df: DataFrame) -> DataFrame:
     return literal_table(df.sparkSession, rows, "category string; field string")
 
 
+def completion_suggestions(covered: DataFrame) -> DataFrame:
+    """A suggestion for each required field that a document lacks."""
+    return covered.select("doc_id", "category", F.explode("missing").alias("field")).select(
+        "doc_id", "category", "field", F.lit("high").alias("priority"), F.concat(F.lit("Please extract field: "), "field").alias("hint"))
+
+
+def corpus_coverage(covered: DataFrame) -> DataFrame:
+    """Mean coverage and complete documents per category and over all (the row without a category)."""
+    return covered.rollup("category").agg(F.count("*").alias("docs"), F.avg("coverage").alias("mean_coverage"), F.count_if(F.size("missing") == 0).alias("complete"))
+
+
 def coverage(fields: DataFrame) -> DataFrame:
     """Required fields present and missing per document, with the coverage ratio.
 

@@ -109,6 +109,23 @@ def node_summary(runs: DataFrame) -> DataFrame:
         (F.count_if("success") / F.count("*")).alias("success_rate"))
 
 
+def pipeline_summary(runs: DataFrame) -> DataFrame:
+    """Runs per scenario with their share of all, share of attempted fields that were extracted, and share of good runs.
+
+    A rollup: the row without a scenario covers all runs.
+    """
+    sums = runs.groupBy("scenario").agg(
+        F.count("*").alias("runs"), F.sum("fields_extracted").alias("fields_extracted"), F.sum("fields_attempted").alias("fields_attempted"),
+        F.count_if("success").alias("good"))
+    names = ("runs", "fields_extracted", "fields_attempted", "good")
+    both = sums.withColumn("_all", F.lit(False)).unionByName(
+        sums.agg(*[F.sum(c).alias(c) for c in names]).select(F.lit(None).cast("string").alias("scenario"), *names, F.lit(True).alias("_all")))
+    total = F.max(F.when(F.col("_all"), F.col("runs"))).over(Window.partitionBy())
+    return both.withColumn("share", F.col("runs") / total).select(
+        "scenario", "runs", "share", F.try_divide("fields_extracted", "fields_attempted").alias("extraction_success_rate"),
+        (F.col("good") / F.col("runs")).alias("batch_success_rate"))
+
+
 def cache_outcome(calls: DataFrame, key: str = "cache_key") -> DataFrame:
     """Hits and misses of a cache whose entries never expire: all but the first call of a key hit.
 

@@ -58,6 +58,37 @@ def expiry_status(spark, d):
     return shelf(spark, d).groupBy("status", "l_returnflag").agg(F.count("*").alias("items"), F.sum("days_to_expiry").alias("days"))
 
 
+def found_sql(pattern: str) -> str:
+    part = "regexp_extract(m, '(\\d{4})\\D?(\\d{1,2})\\D?(\\d{1,2})', %d)"
+    day = f"TRY_CAST({part % 1} || '-' || lpad({part % 2}, 2, '0') || '-' || lpad({part % 3}, 2, '0') AS DATE)"
+    return f"list_filter(list_transform(regexp_extract_all(text, '{pattern}'), lambda m: {day}), lambda x: x IS NOT NULL)"
+
+
+WRITTEN = "\\d{4}[-/年]\\d{1,2}[-/月]\\d{1,2}"
+FOUND = " || ".join(found_sql(p) for p in ("生产日期[:：]" + WRITTEN, "有效期至[:：]" + WRITTEN, WRITTEN, "\\d{8}"))
+
+
+@query("X07_dates_in_texts", f"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' 有效期至：' || strftime(DATE '1999-01-01' + CAST(doc_id % 900 AS INT), '%Y/%m/%d') END
+      || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' 生产日期：' || strftime(DATE '1998-01-01' + CAST(doc_id % 400 AS INT), '%Y-%m-%d') END AS text FROM documents),
+  f AS (SELECT doc_id, {FOUND} AS ds FROM t),
+  e AS (SELECT doc_id, ds[1] AS a, list_filter(ds, lambda x: x <> ds[1])[1] AS b FROM f),
+  r AS (SELECT doc_id, CASE WHEN b IS NOT NULL THEN a END AS production, coalesce(b, a) AS expiry FROM e)
+  SELECT doc_id, CAST(production AS VARCHAR) AS production_date, CAST(expiry AS VARCHAR) AS expiry_date, CASE WHEN expiry IS NULL THEN 'unknown'
+    WHEN expiry < DATE '{v.SHELF_ASOF}' THEN 'expired' WHEN expiry - DATE '{v.SHELF_ASOF}' <= 30 THEN 'near_expiry' ELSE 'valid' END AS status FROM r""")
+def dates_in_texts(spark, d):
+    """Each document's whole text with dates written behind it; labelled dates come before others, production before expiry."""
+    k = F.col("doc_id")
+
+    def dated(start, days, form):
+        return F.date_format(F.date_add(F.lit(start).cast("date"), (k % days).cast("int")), form)
+
+    texts = v.table(spark, d, "documents").select("doc_id", F.concat(
+        "text", F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" 有效期至："), dated("1999-01-01", 900, "yyyy/MM/dd"))),
+        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit(" 生产日期："), dated("1998-01-01", 400, "yyyy-MM-dd")))).alias("text"))
+    out = ops.dates_in_texts(texts, asof())
+    return out.select("doc_id", F.col("production_date").cast("string").alias("production_date"), F.col("expiry_date").cast("string").alias("expiry_date"), "status")
+
+
 @query("X08_validate_expiry", f"""WITH x AS (SELECT l_orderkey AS k, CAST(l_shipdate AS DATE) AS p, CASE WHEN l_orderkey % 9 = 0 THEN NULL WHEN l_orderkey % 11 = 0 THEN CAST(l_shipdate AS DATE) - 5
       WHEN l_orderkey % 13 = 0 THEN CAST(l_shipdate AS DATE) + 4000 ELSE CAST(l_shipdate AS DATE) + CAST(l_quantity * 30 AS INT) END AS e FROM lineitem),
   r AS (SELECT CASE WHEN e IS NULL THEN 'expiry_unreadable' WHEN p > DATE '{v.SHELF_ASOF}' THEN 'production_in_future' WHEN e < p THEN 'reversed' WHEN e - p > 3650 THEN 'over_ten_years'

@@ -140,6 +140,24 @@ def coverage(spark, d):
     return ops.coverage(categorised(spark, d)).select("doc_id", "category", F.array_join("missing", ",").alias("missing"), F.round("coverage", 6).alias("coverage"))
 
 
+COVERED = "WITH " + CATEGORISED + f""", p AS (SELECT doc_id, category, list(DISTINCT field) AS present FROM cat GROUP BY 1, 2),
+  m AS (SELECT doc_id, p.category, list_filter(r.required, lambda x: NOT list_contains(present, x)) AS missing, len(r.required) AS n
+    FROM p JOIN (VALUES {REQ}) AS r(category, required) ON p.category = r.category)"""
+
+
+@query("P11_suggestions", COVERED + """ SELECT doc_id, category, field, 'high' AS priority, 'Please extract field: ' || field AS hint
+  FROM (SELECT doc_id, category, unnest(missing) AS field FROM m)""")
+def suggestions(spark, d):
+    return ops.completion_suggestions(ops.coverage(categorised(spark, d)))
+
+
+@query("P11_corpus_coverage", COVERED + """ SELECT coalesce(category, 'all') AS category, count(*) AS docs, ROUND(avg((n - len(missing))::DOUBLE / n), 6) AS mean_coverage,
+    count(*) FILTER (len(missing) = 0) AS complete FROM m GROUP BY ROLLUP (category)""")
+def corpus_coverage(spark, d):
+    out = ops.corpus_coverage(ops.coverage(categorised(spark, d)))
+    return out.select(F.coalesce("category", F.lit("all")).alias("category"), "docs", F.round("mean_coverage", 6).alias("mean_coverage"), "complete")
+
+
 @query("E02_required_minus_present", "WITH " + CATEGORISED + f""" SELECT category, field, count(*) AS docs FROM (
     SELECT dc.doc_id, dc.category, r.field FROM (SELECT DISTINCT doc_id, category FROM cat) dc
       JOIN (SELECT category, unnest(required) AS field FROM (VALUES {REQ}) AS q(category, required)) r ON dc.category = r.category

@@ -103,6 +103,15 @@ def node_summary(spark, d):
     return rounded(mon.node_summary(runs), 6, "avg_latency_ms", "avg_confidence", "success_rate")
 
 
+@query("A27_pipeline_summary", """SELECT coalesce(scenario, 'all') AS scenario, count(*) AS runs, ROUND(count(*)::DOUBLE / (SELECT count(*) FROM usage), 6) AS share,
+    ROUND(sum(input_tokens // 200)::DOUBLE / sum(input_tokens // 100), 6) AS extraction_success_rate, ROUND(count(*) FILTER (success)::DOUBLE / count(*), 6) AS batch_success_rate
+    FROM usage GROUP BY ROLLUP (scenario)""")
+def pipeline_summary(spark, d):
+    runs = v.usage(spark, d).select("scenario", "success", F.floor(F.col("input_tokens") / 100).alias("fields_attempted"), F.floor(F.col("input_tokens") / 200).alias("fields_extracted"))
+    out = rounded(mon.pipeline_summary(runs), 6, "share", "extraction_success_rate", "batch_success_rate")
+    return out.withColumn("scenario", F.coalesce("scenario", F.lit("all")))
+
+
 @query("A28_cache_outcome", """WITH k AS (SELECT tenant_id, model, input_tokens, count(*) AS n FROM usage GROUP BY 1, 2, 3)
     SELECT CAST(sum(n - 1) AS BIGINT) AS hits, count(*) AS misses, ROUND(sum(n - 1)::DOUBLE / sum(n), 4) AS hit_rate FROM k""")
 def cache_outcome(spark, d):

@@ -158,6 +158,13 @@ def unhealthy_spans(spark, d):
     return stateful.unhealthy_spans(v.usage(spark, d), "tenant_id")
 
 
+@query("U06_response_time", BY_CALL.format(key="tenant_id", columns="latency_ms", source="usage WHERE success") + f"""
+  r AS (SELECT key, i, latency_ms AS ms FROM c WHERE i = 1 UNION ALL SELECT c.key, c.i, CASE WHEN r.ms = 0 THEN c.latency_ms ELSE r.ms * 0.7::DOUBLE + c.latency_ms * 0.3::DOUBLE END {NEXT})
+  SELECT key AS tenant_id, count(*) AS calls, ROUND(arg_max(ms, i), 6) AS response_ms FROM r GROUP BY 1""")
+def response_time(spark, d):
+    return stateful.healthy_response(v.usage(spark, d), "tenant_id").select("tenant_id", "calls", F.round("response_ms", 6).alias("response_ms"))
+
+
 @query("W12_cache_with_ttl", BY_CALL.format(key="tenant_id || '|' || model || '|' || scenario", columns="request_id", source="usage") + f"""
   r AS (SELECT key, i, t AS stored, false AS hit FROM c WHERE i = 1 UNION ALL
     SELECT c.key, c.i, CASE WHEN c.t - r.stored < 21600 THEN r.stored ELSE c.t END, c.t - r.stored < 21600 {NEXT})
@@ -195,6 +202,21 @@ def stream_sliding_shares(spark, d):
     return out.select(F.unix_seconds("window_end").alias("window_end"), "requests", "flagged", F.round("share", 6).alias("share"))
 
 
+@query("T04_stream_quota_crossings", """WITH run AS (SELECT tenant_id, strftime(ts, '%Y%m') AS period, request_id, total_tokens, 400000 + tenant_id * 50000 AS quota,
+    sum(total_tokens) OVER (PARTITION BY tenant_id, strftime(ts, '%Y%m') ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS used FROM priced)
+  SELECT tenant_id, period, request_id, CAST(used AS BIGINT) AS used, share FROM run, (VALUES (0.7::DOUBLE), (0.85::DOUBLE), (0.95::DOUBLE), (1.0::DOUBLE)) AS t(share)
+  WHERE used - total_tokens < share * quota AND used >= share * quota""")
+def stream_quota_crossings(spark, d):
+    tenant = F.col("user_id") % 20
+    calls = event_stream(spark, d).select(
+        tenant.alias("tenant_id"), F.col("event_id").alias("request_id"), stateful.seconds().alias("ts_s"), m.period().alias("period"),
+        (F.col("k") * 100 + F.floor(F.col("value") * 10)).cast("bigint").alias("tokens"), (F.lit(400000) + tenant * 50000).alias("quota"))
+    watched = stateful.stream_fold(calls, "tenant_id", "ts_s", folds.QuotaWatch, ["request_id"])
+    written = jobs.run_to_end(spark, watched.where("crossed <> ''"), "quota")
+    return written.select("tenant_id", "period", "request_id", F.col("used").cast("bigint").alias("used"),
+                          F.explode(F.split("crossed", ",").cast("array<double>")).alias("share"))
+
+
 @query("T05_stream_first_alerts", "SELECT event_type AS field, CAST(user_id % 5 AS VARCHAR) AS value FROM ev GROUP BY 1, 2")
 def stream_first_alerts(spark, d):
     """Fields and values that alerted; how often one alerts again depends on how the input arrives, so that is not counted."""

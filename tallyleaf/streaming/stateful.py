@@ -46,17 +46,21 @@ def run_fold(df: DataFrame, keys: list[str], order: list[str], make: Callable, p
     return spread.sortWithinPartitions(*keys, *order).mapInPandas(scan, out_schema)
 
 
-def stream_fold(df: DataFrame, key: str, order: str, make: Callable) -> DataFrame:
-    """The same fold over a stream: one state per key in the state store, events ordered inside each batch."""
+def stream_fold(df: DataFrame, key: str, order: str, make: Callable, ties: list[str] | None = None) -> DataFrame:
+    """The same fold over a stream: one state per key in the state store, events ordered inside each batch, then by ``ties``.
+
+    A key's events of one micro-batch are held in memory; the size of micro-batches is the caller's to set.
+    """
+    ties = ties or []
     probe = make()
-    columns = [key, order, *[c for c in probe.inputs if c != order]]
+    columns = [key, order, *ties, *[c for c in probe.inputs if c not in (key, order, *ties)]]
     out_schema = _schema(df, columns, probe.outputs)
     names = [f.name for f in out_schema.fields[len(columns):]]
     inputs = probe.inputs
 
     def update(_key, batches, state):
         fold = load(make(), state.get[0]) if state.exists else make()
-        rows = pd.concat(list(batches)).sort_values(order)
+        rows = pd.concat(list(batches)).sort_values([order, *ties])
         results = [fold.step(*args) for args in zip(*[rows[c].tolist() for c in inputs])]
         state.update((save(fold),))
         yield rows[columns].assign(**{n: [r[i] for r in results] for i, n in enumerate(names)})
@@ -118,6 +122,19 @@ def smoothed(calls: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
                                  F.sum(F.col("_f") * F.col("_ms")).alias("response_ms"))
 
 
+def healthy_response(calls: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
+    """Smoothed response time per key over its successful calls; the first time that is not zero is taken whole."""
+    good = calls.where("success")
+    place = F.struct("ts", "request_id")
+    first = good.where("latency_ms <> 0").groupBy(key).agg(F.min(F.struct("ts", "request_id", "latency_ms")).alias("_first"))
+    rows = join_keys(good, first, [key]).where(place >= F.struct(F.col("_first.ts").alias("ts"), F.col("_first.request_id").alias("request_id")))
+    begun = rows.groupBy(key).agg(F.count("*").alias("_n"), F.max("_first.latency_ms").alias("_start"))
+    response = F.col("response_ms") + F.pow(F.lit(1.0 - alpha), F.col("_n")) * F.col("_start")
+    smooth = join_keys(smoothed(rows.drop("_first"), key, alpha), begun, [key]).select(key, response.alias("_response"))
+    every = good.groupBy(key).agg(F.count("*").alias("calls"))
+    return join_keys(every, smooth, [key], "left").select(key, "calls", F.coalesce("_response", F.lit(0.0)).alias("response_ms"))
+
+
 def adjusted_limit(smooth: DataFrame, base: Column, unit_seconds: float = 1000.0) -> DataFrame:
     """Limit scaled by smoothed success (up to +20 %, down to half) and by slow responses."""
     ok, slow = F.col("success_rate"), F.col("response_ms") / unit_seconds

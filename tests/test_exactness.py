@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyleaf.functions import dates as dt
-from tallyleaf.operators import fields, monitoring, regions, services
+from tallyleaf.operators import expiry, fields, monitoring, regions, services
 from tallyleaf.operators import text as tops
+from tallyleaf.operators.scale import literal_table
 from tallyleaf.streaming import stateful
 
 START = datetime(2024, 1, 1)
@@ -89,3 +90,27 @@ def test_cycles_are_errors_and_long_chains_are_not(spark):
     assert got == {i: (0, i) for i in range(40)}
     with pytest.raises(ValueError):
         services.roots_and_depth(nodes.where("node_id < 3"), spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "src long, dst long"))
+
+
+def test_healthy_response_starts_with_the_first_time_that_is_not_zero(spark):
+    rows = [(1, 1, True, 0.0), (1, 2, True, 10.0), (1, 3, False, 900.0), (1, 4, True, 0.0), (1, 5, True, 20.0), (2, 6, True, 0.0), (None, 7, True, 4.0)]
+    calls = literal_table(spark, rows, "tenant_id bigint; request_id bigint; success boolean; latency_ms double").withColumn("ts", F.timestamp_seconds("request_id"))
+    got = {r.tenant_id: (r.calls, round(r.response_ms, 6)) for r in stateful.healthy_response(calls, "tenant_id").collect()}
+    assert got == {1: (4, round((10 * .7 + 0 * .3) * .7 + 20 * .3, 6)), 2: (1, 0.0), None: (1, 4.0)}
+
+
+def test_dates_in_texts(spark):
+    rows = [(1, "made 2000-01-02 and 生产日期：1999-12-01 有效期至：2000/6/15"), (2, "only 20000501 here"), (3, "no date"), (4, "2001年1月5日 and 2001-01-05")]
+    out = expiry.dates_in_texts(literal_table(spark, rows, "doc_id bigint; text string"), F.lit("2000-06-01").cast("date"))
+    got = {r.doc_id: (str(r.production_date), str(r.expiry_date), r.status) for r in out.collect()}
+    assert got == {1: ("1999-12-01", "2000-06-15", "near_expiry"), 2: ("None", "2000-05-01", "expired"), 3: ("None", "None", "unknown"), 4: ("None", "2001-01-05", "valid")}
+
+
+def test_alert_points_of_all_rules(spark):
+    requests = literal_table(spark, [(0, "/a", 500, 7.0), (10, "/a", 200, 7.0)], "s bigint; endpoint string; status_code int; seconds double").withColumn("ts", F.timestamp_seconds("s"))
+    runs = literal_table(spark, [(0, True), (0, False)], "s bigint; fallback boolean").withColumn("ts", F.timestamp_seconds("s"))
+    hits = spark.range(3001).select(F.timestamp_seconds(F.lit(0)).alias("ts"))
+    points = monitoring.alert_points(requests, runs, hits).groupBy("rule").agg(F.count("*").alias("n"), F.min("breach").alias("all"), F.max("value").alias("v"))
+    got = {r.rule: (r.n, r.all, round(r.v, 3)) for r in points.collect()}
+    assert got == {"error_share": (10, True, .5), "hourly_error_share": (120, True, .5), "fallback_share": (20, True, .5),
+                   "limiter_hits": (10, True, 10.003), "p95_latency": (10, True, 9.75)}
