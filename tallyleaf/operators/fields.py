@@ -219,6 +219,7 @@ def engine_precedence(readings: DataFrame, keys: list[str]) -> DataFrame:
     """Reading by precedence: first engine at .4 or more (joined by the second when 1.3 times longer), second, third.
 
     Where none clears its floor, the filled reading with the largest confidence x length is taken; without any, ``none``.
+    The confidence is that of the reading, the larger of both for a joined one, 0 for none.
     """
     def pick(engine, col):
         return F.max(F.when(F.col("engine") == engine, F.col(col)))
@@ -226,7 +227,7 @@ def engine_precedence(readings: DataFrame, keys: list[str]) -> DataFrame:
     mass = F.when(F.col("text") != "", F.struct((F.col("confidence") * F.length("text")).alias("m"), F.col("engine")))
     wide = readings.groupBy(*keys).agg(
         *[pick(e, c).alias(f"{e}_{c}") for e in ("first", "second", "third") for c in ("text", "confidence")],
-        F.max_by(F.struct("engine", "text"), mass).alias("heaviest"))
+        F.max_by(F.struct("engine", "text", "confidence"), mass).alias("heaviest"))
     def has(e, floor):
         return F.coalesce((F.col(f"{e}_text") != "") & (F.col(f"{e}_confidence") >= floor), F.lit(False))
 
@@ -236,7 +237,9 @@ def engine_precedence(readings: DataFrame, keys: list[str]) -> DataFrame:
               .when(has("third", 0.0), "third").when(F.col("heaviest").isNotNull(), F.concat("heaviest.engine", F.lit("_fallback"))).otherwise("none"))
     text = (F.when(fused & longer, F.concat_ws("\n", "first_text", "second_text")).when(has("first", 0.4), F.col("first_text"))
             .when(has("second", 0.4), F.col("second_text")).when(has("third", 0.0), F.col("third_text")).otherwise(F.coalesce("heaviest.text", F.lit(""))))
-    return wide.select(*keys, source.alias("source"), text.alias("text"))
+    sure = (F.when(fused, F.greatest("first_confidence", "second_confidence")).when(has("first", 0.4), F.col("first_confidence"))
+            .when(has("second", 0.4), F.col("second_confidence")).when(has("third", 0.0), F.col("third_confidence")).otherwise(F.coalesce("heaviest.confidence", F.lit(0.0))))
+    return wide.select(*keys, source.alias("source"), text.alias("text"), sure.alias("confidence"))
 
 
 # --- accuracy -----------------------------------------------------------------------------------------------

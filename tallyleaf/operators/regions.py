@@ -205,6 +205,22 @@ def table_text(cells: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "rows", F.array_join(F.transform("l", lambda s: s["t"]), "\n").alias("table_text"))
 
 
+def chosen_table(cells: DataFrame, keys: list[str], words: tuple = fv.TABLE_WORDS) -> DataFrame:
+    """One table of each page: the first that holds one of ``words``, else that with the most cells (ties to the first).
+
+    ``cells`` holds table_no and text; both choices are combinable minima and maxima, no page is gathered.
+    """
+    hit = None
+    for w in words:
+        test = F.col("text").contains(w)
+        hit = test if hit is None else hit | test
+    tables = cells.groupBy(*keys, "table_no").agg(F.count("*").alias("cells"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("named"))
+    first = F.min(F.when(F.col("named"), F.struct("table_no", "cells")))
+    best = F.max(F.struct("cells", F.negate("table_no").alias("n")))
+    return tables.groupBy(*keys).agg(first.alias("f"), best.alias("b")).select(
+        *keys, F.coalesce("f.table_no", F.negate(F.col("b.n"))).alias("table_no"), F.coalesce("f.cells", "b.cells").alias("cells"), F.col("f").isNotNull().alias("named"))
+
+
 def merge_close_lines(coords: Column, threshold: int = 5) -> Column:
     """Keep a coordinate only when it lies more than ``threshold`` beyond the last kept one."""
     return F.aggregate(F.array_sort(coords), F.slice(coords, 1, 0), lambda acc, c: F.when(

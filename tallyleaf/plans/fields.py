@@ -286,14 +286,17 @@ def best_reading(spark, d):
 
 
 @query("W08_engine_precedence", "WITH " + READ + """, w AS (SELECT doc_id, field, max(text) FILTER (engine = 'first') AS t1, max(confidence) FILTER (engine = 'first') AS c1,
-    max(text) FILTER (engine = 'second') AS t2, max(confidence) FILTER (engine = 'second') AS c2, max(text) FILTER (engine = 'third') AS t3,
+    max(text) FILTER (engine = 'second') AS t2, max(confidence) FILTER (engine = 'second') AS c2, max(text) FILTER (engine = 'third') AS t3, max(confidence) FILTER (engine = 'third') AS c3,
+    arg_max(confidence, (confidence * length(text), engine)) FILTER (text <> '') AS hc,
     arg_max(engine, (confidence * length(text), engine)) FILTER (text <> '') AS he, arg_max(text, (confidence * length(text), engine)) FILTER (text <> '') AS ht FROM readings GROUP BY 1, 2)
   SELECT doc_id, field, CASE WHEN coalesce(c1 >= 0.4::DOUBLE, false) AND coalesce(c2 >= 0.5::DOUBLE, false) THEN 'first_fused' WHEN coalesce(c1 >= 0.4::DOUBLE, false) THEN 'first'
       WHEN coalesce(c2 >= 0.4::DOUBLE, false) THEN 'second' WHEN t3 <> '' THEN 'third' WHEN he IS NOT NULL THEN he || '_fallback' ELSE 'none' END AS source,
     CASE WHEN coalesce(c1 >= 0.4::DOUBLE, false) THEN CASE WHEN coalesce(c2 >= 0.5::DOUBLE, false) AND length(t2) > length(t1) * 1.3 THEN t1 || chr(10) || t2 ELSE t1 END
-         WHEN coalesce(c2 >= 0.4::DOUBLE, false) THEN t2 WHEN t3 <> '' THEN t3 ELSE coalesce(ht, '') END AS text FROM w""")
+         WHEN coalesce(c2 >= 0.4::DOUBLE, false) THEN t2 WHEN t3 <> '' THEN t3 ELSE coalesce(ht, '') END AS text,
+    ROUND(CASE WHEN coalesce(c1 >= 0.4::DOUBLE, false) THEN CASE WHEN coalesce(c2 >= 0.5::DOUBLE, false) THEN greatest(c1, c2) ELSE c1 END
+         WHEN coalesce(c2 >= 0.4::DOUBLE, false) THEN c2 WHEN t3 <> '' THEN c3 ELSE coalesce(hc, 0) END, 6) AS confidence FROM w""")
 def engine_precedence(spark, d):
-    return ops.engine_precedence(readings(spark, d), ["doc_id", "field"])
+    return ops.engine_precedence(readings(spark, d), ["doc_id", "field"]).withColumn("confidence", F.round("confidence", 6))
 
 
 COMPARED = """compared AS (SELECT t.doc_id, t.field, t.category, CASE WHEN p.value IS NULL AND t.value IS NULL THEN 'both_null' WHEN p.value IS NULL OR t.value IS NULL THEN 'null_mismatch'

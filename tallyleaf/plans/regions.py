@@ -165,6 +165,20 @@ def table_text(spark, d):
     return ops.table_text(cells, ["doc_id"]).select("doc_id", "rows", F.md5("table_text").alias("table_md5"))
 
 
+NAMED = " OR ".join(f"contains(text, '{w}')" for w in fv.TABLE_WORDS)
+
+
+@query("W07_chosen_table", f"""WITH c AS (SELECT doc_id, region_id // (4 + doc_id % 3) AS table_no, CASE WHEN (doc_id + region_id) % 50 = 0 THEN text || ' Sodium' ELSE text END AS text FROM regions),
+  t AS (SELECT doc_id, table_no, count(*) AS cells, bool_or({NAMED}) AS named FROM c GROUP BY 1, 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY named DESC, CASE WHEN named THEN 0 ELSE -cells END, table_no) AS rn FROM t)
+  SELECT doc_id, table_no, cells, named FROM o WHERE rn = 1""")
+def chosen_table(spark, d):
+    k = F.col("doc_id")
+    cells = v.regions(spark, d).select("doc_id", F.floor(F.col("region_id") / (4 + k % 3)).alias("table_no"), F.when(
+        (k + F.col("region_id")) % 50 == 0, F.concat("text", F.lit(" Sodium"))).otherwise(F.col("text")).alias("text"))
+    return ops.chosen_table(cells, ["doc_id"])
+
+
 @query("W14_merge_close_lines", """WITH y AS (SELECT doc_id, list([y1] ORDER BY y1) AS ys FROM (SELECT DISTINCT doc_id, y1 FROM regions) GROUP BY 1)
   SELECT doc_id, CAST(len(ys) AS INTEGER) AS coords, array_to_string(list_reduce(ys, lambda acc, c: CASE WHEN c[1] - acc[-1] > 12 THEN list_concat(acc, c) ELSE acc END), ',') AS kept FROM y""")
 def merge_close_lines(spark, d):
