@@ -8,8 +8,9 @@ such an n-gram form candidate families, and inside a family the product of a row
 exact overlap counts, which are held against the size-derived bound of each pair.
 
 Only links are needed to find components, so a row of the product is computed only while it can still join two
-components: rows inside the largest component of their block are skipped, since every open pair has an end
-outside it. Families above ``FAMILY_ROWS`` rows are cut into blocks that share a few seed rows; afterwards only the
+components: rows inside the largest component of their block are put off. The largest can move, so rows put off are
+taken up again until all of them lie in the component that is largest at the end; each pair then has a computed end or
+lies in that one component. Families above ``FAMILY_ROWS`` rows are cut into blocks that share a few seed rows; afterwards only the
 rows outside a family's largest component are held against its other blocks. No pair is ever emitted.
 """
 
@@ -257,6 +258,25 @@ def _edge_table(pairs, node, size, other=None, other_size=None):
                      "b_node": pa.array(other[b], pa.int64()), "b_size": pa.array(other_size[b], pa.int64())})
 
 
+def spanning_links(count: int, linked) -> list[tuple[int, int]]:
+    """Links that join rows 0..count-1 into the components of ``linked(x)``, which gives all rows linked with row x."""
+    merged, pairs, todo = Merged(count), [], list(range(count))
+    while todo:
+        put_off = []
+        for x in todo:
+            if x and merged.root(x) == merged.root(merged.largest):
+                put_off.append(x)
+                continue
+            for y in linked(x):
+                if merged.root(x) != merged.root(int(y)):
+                    merged.join(x, int(y))
+                    pairs.append((x, int(y)))
+        if len(put_off) == len(todo):
+            break
+        todo = put_off
+    return pairs
+
+
 def _inside_block(percent: int):
     """A spanning set of links inside one block of a family."""
 
@@ -264,14 +284,8 @@ def _inside_block(percent: int):
         ts.claim("n-grams")
         table = table.sort_by([("size", "ascending"), ("node", "ascending")])
         sets, node, size = _block_sets(table)
-        product, merged, pairs = Product(sets, size), Merged(len(sets)), []
-        for x in range(len(sets)):
-            if x and merged.root(x) == merged.root(merged.largest):
-                continue
-            for y in product.linked(sets[x], int(size[x]), percent):
-                if merged.root(x) != merged.root(int(y)):
-                    merged.join(x, int(y))
-                    pairs.append((x, int(y)))
+        product = Product(sets, size)
+        pairs = spanning_links(len(sets), lambda x: product.linked(sets[x], int(size[x]), percent))
         return _edge_table(pairs, node, size)
 
     return run

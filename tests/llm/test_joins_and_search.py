@@ -1,5 +1,6 @@
 """N-gram join, neighbours and components against brute force."""
 
+import itertools
 import random
 import re
 
@@ -8,7 +9,7 @@ import pytest
 
 from tallyleaf.llm.components import connected_components
 from tallyleaf.llm.neighbours import collision_threshold, nearest_neighbours
-from tallyleaf.llm.ngram_join import near_duplicates
+from tallyleaf.llm.ngram_join import near_duplicates, spanning_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,6 +71,32 @@ def test_components_match_brute_force(spark, family_rows):
     assert got == brute_groups(rows)
 
 
+def chained(order, step=10, words=74):
+    """Documents of ``words`` words each, at starts ``step`` apart: only neighbours link (60 of 80 n-grams)."""
+    sets = [set(range(k * step, k * step + words - 4)) for k in order]
+    return lambda x: [y for y in range(len(sets)) if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])]
+
+
+def test_links_are_whole_when_the_largest_component_moves():
+    rnd = random.Random(3)
+    chains = [list(order) for order in itertools.permutations(range(5))] + [rnd.sample(range(50), 50) for _ in range(200)]
+    for order in chains:
+        n, linked = len(order), chained(order)
+        pairs = spanning_links(n, linked)
+        assert len(pairs) == n - 1 and set(groups(pairs, range(n)).values()) == {0}
+        assert all(b in linked(a) for a, b in pairs)
+
+
+def test_chains_in_any_order_of_rows(spark):
+    rnd, rows = random.Random(4), []
+    for chain in range(12):
+        rows += [f"c{chain}w" + f" c{chain}w".join(str(i) for i in range(10 * k, 10 * k + 74)) for k in range([5, 50][chain % 2])]
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_groups(rows) and len({c for _, c in got.values()}) == 12
+
+
 def test_rows_without_or_with_repeated_ids(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (9, text), (7, "other words stand here now"), (None, "alone in the whole wide world")],
