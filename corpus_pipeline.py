@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyleaf.llm.mixing import mixed_documents
-from tallyleaf.llm.ngram_join import near_duplicates
+from tallyleaf.llm.ngram_join import one_of_each_group
 from tallyleaf.llm.pii import mask_personal_data
 from tallyleaf.llm.piece_transducer import encode_documents
 from tallyleaf.llm.quality import judge
@@ -23,15 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest ``doc_id``, of repeated rows the first by text.
-
-    Rows without a ``doc_id`` cannot be named by a group and stay.
-    """
-    named = docs.where("doc_id is not null")
-    heads = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = named.join(heads, F.col("doc_id") == F.col("_head"), "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each near-duplicate group stays: that with the smallest ``doc_id`` (null last), then the first by text."""
+    return one_of_each_group(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

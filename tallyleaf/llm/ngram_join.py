@@ -93,12 +93,12 @@ def _scan(batches, make):
 
 
 class _Sets:
-    def __init__(self, width):
-        self.width = width
+    def __init__(self, width, carried=("doc_id",)):
+        self.width, self.carried = width, carried
 
     def __call__(self, batch, a, b, grams, owner, sizes, keys):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(keys)],
-                                         ["doc_id", "n_shingles", "node"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in self.carried], pa.array(sizes.astype(np.int64)), pa.array(keys)],
+                                         [*self.carried, "n_shingles", "node"])
 
 
 class _Cells:
@@ -396,3 +396,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     named = classes.join(names, "label").select("node", F.col("size").alias("n_shingles"), "component_id")
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return sets.where("n_shingles > 0").join(named, ["node", "n_shingles"]).select("doc_id", "n_shingles", "component_id").union(empty)
+
+
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, family_rows: int = FAMILY_ROWS) -> DataFrame:
+    """The rows of ``docs`` that stay when each component of ``near_duplicates`` keeps one: the smallest ``doc_id`` (null last), then text.
+
+    Groups go by the texts, so ``doc_id`` need not be a key: rows that repeat one with unrelated texts all stay, and rows without
+    one are grouped like the others. A text without words resembles nothing: one stays for each ``doc_id``, and all without one.
+    """
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    text_key, null_id = F.md5(F.coalesce("text", F.lit(""))), F.col("doc_id").isNull()
+    keyed = docs.select("doc_id", "text", text_key.alias("text_key")).where(~(null_id & wordless))
+    make = _Sets(width, ("doc_id", "text_key"))
+    sets = cut_lineage(keyed.mapInArrow(lambda batches, make=make: _scan(batches, make), "doc_id long, text_key string, n_shingles long, node long"))
+    sets = sets.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")))
+    label = set_links(docs, width, percent, family_rows)
+    classes = sets.groupBy("node", F.col("n_shingles").alias("size")).agg(F.min(F.struct(null_id.alias("none"), F.col("doc_id").alias("id"))).alias("least"))
+    classes = classes.join(label, ["node", "size"], "left").withColumn("label", F.coalesce("label", _key("node", "size")))
+    heads = classes.groupBy("label").agg(F.min("least").alias("head"))
+    named = classes.join(heads, "label").select("node", F.col("size").alias("n_shingles"), "label", "head")
+    first = sets.join(named, ["node", "n_shingles"]).where(F.col("doc_id").eqNullSafe(F.col("head.id")))
+    first = first.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), F.col("label").alias("_label")).distinct()
+    rows = docs.where(~(null_id & wordless)).select(text_key.alias("_own_key"), F.struct("text", *[c for c in docs.columns if c != "text"]).alias("_row"))
+    rows = rows.join(first, (F.col("_own_key") == F.col("_text_key")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")))
+    kept = rows.groupBy("_label").agg(F.min("_row").alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return kept.union(docs.where(null_id & wordless))

@@ -46,6 +46,18 @@ def test_one_document_of_each_group(stages):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def test_groups_go_by_text_where_ids_repeat_or_are_missing(spark):
+    said = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = lambda k: said[k] + " tail"
+    rows = [(7, said["a"]), (7, said["b"]), (7, near("c")), (3, said["c"]), (None, said["c"]), (None, said["d"]), (None, said["d"]), (None, near("d")),
+            (7, said["e"]), (7, near("e")), (7, said["e"]), (None, said["f"]), (9, near("f")), (4, ""), (4, " "), (5, None), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(t, i, "s") for i, t in rows], "text string, doc_id long, source string").repartition(3)
+    kept = cp.unique(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(7, said["a"]), (7, said["b"]), (3, said["c"]), (None, said["d"]), (7, said["e"]), (9, near("f")), (4, ""), (5, None), (None, ""), (None, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_masked_texts(stages):
     docs, kept = stages[2]
     texts = {r.doc_id: r.text for r in docs.collect()}
