@@ -16,33 +16,64 @@ from pyspark.sql import functions as F
 from tallyleaf.llm import textscan as ts
 
 DIMENSIONS = 512
-#: Letters a-z, a break, and classes for all other letters by code point.
-SYMBOLS, BREAK = 32, 26
+#: Letters a-z and a break have numbers below ``PLAIN``; any other letter has ``PLAIN`` plus the code point of its lower-case form.
+PLAIN, BREAK = 27, 26
+#: Trigrams of other letters bound at once, and vectors of such letters remembered at most.
+BOUND_AT_ONCE, MOST_LETTERS = 4096, 1 << 16
 SEED = 7
 
 _tables: dict[str, np.ndarray] = {}
+_letters: dict[int, np.ndarray] = {}
+
+
+def symbol_of(code: int) -> int:
+    c = chr(code)
+    if not c.isalpha():
+        return BREAK
+    low = c.lower()[0]
+    return ord(low) - 97 if "a" <= low <= "z" else PLAIN + ord(low)
 
 
 def symbol_table() -> np.ndarray:
-    """Code point -> symbol for the basic plane, built from the letters' own lower-case forms; other planes count by rest."""
+    """Code point -> symbol for the basic plane."""
     if "symbols" not in _tables:
-        table = np.full(1 << 16, BREAK, dtype=np.int64)
-        for code in range(1 << 16):
-            c = chr(code)
-            if c.isalpha():
-                low = c.lower()[0]
-                table[code] = ord(low) - 97 if "a" <= low <= "z" else BREAK + 1 + ord(low) % (SYMBOLS - BREAK - 1)
-        _tables["symbols"] = table
+        _tables["symbols"] = np.array([symbol_of(code) for code in range(1 << 16)], dtype=np.int64)
     return _tables["symbols"]
 
 
-def trigram_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Bound vectors of all trigrams, by number."""
+def symbols_of(codes: np.ndarray) -> np.ndarray:
+    symbols = symbol_table()[codes & 0xFFFF]
+    far = codes >= 1 << 16
+    if far.any():
+        seen, place = np.unique(codes[far], return_inverse=True)
+        symbols[far] = np.array([symbol_of(int(c)) for c in seen], dtype=np.int64)[place]
+    return symbols
+
+
+def plain_letters() -> np.ndarray:
+    if "letters" not in _tables:
+        _tables["letters"] = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(PLAIN, DIMENSIONS))
+    return _tables["letters"]
+
+
+def letter_vector(symbol: int) -> np.ndarray:
+    """The vector of a symbol; letters outside a-z are drawn by their own number, alike in every task."""
+    if symbol < PLAIN:
+        return plain_letters()[symbol]
+    if symbol not in _letters:
+        if len(_letters) >= MOST_LETTERS:
+            _letters.clear()
+        _letters[symbol] = np.random.default_rng([SEED, symbol]).choice(np.array([-1, 1], dtype=np.int8), size=DIMENSIONS)
+    return _letters[symbol]
+
+
+def trigram_vectors() -> np.ndarray:
+    """Bound vectors of all trigrams of a-z and breaks, by number."""
     if "vectors" not in _tables:
-        letters = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, dimensions))
+        letters = plain_letters()
         first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-        pairs = (first[:, None, :] * second[None, :, :]).reshape(SYMBOLS * SYMBOLS, dimensions)
-        _tables["vectors"] = (pairs[:, None, :] * letters[None, :, :]).reshape(SYMBOLS**3, dimensions)
+        pairs = (first[:, None, :] * second[None, :, :]).reshape(PLAIN * PLAIN, DIMENSIONS)
+        _tables["vectors"] = (pairs[:, None, :] * letters[None, :, :]).reshape(PLAIN**3, DIMENSIONS)
     return _tables["vectors"]
 
 
@@ -53,9 +84,12 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trigram_counts(data: np.ndarray, offsets: np.ndarray):
-    """Per row of a chunk: the numbers of its trigrams and their counts; runs of non-letters are one break."""
+    """Per row of a chunk: the numbers of its plain trigrams and their counts, then its other trigrams (three symbols of 21 bits) and theirs.
+
+    Runs of non-letters are one break.
+    """
     codes, at = code_points(data)
-    symbols = np.where(codes < 1 << 16, symbol_table()[codes & 0xFFFF], BREAK + 1 + codes.astype(np.int64) % (SYMBOLS - BREAK - 1))
+    symbols = symbols_of(codes)
     row = np.searchsorted(offsets, at, side="right") - 1
     kept = np.ones(len(symbols), dtype=bool)
     kept[1:] = (symbols[1:] != BREAK) | (symbols[:-1] != BREAK) | (row[1:] != row[:-1])
@@ -68,16 +102,26 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray):
             out.append(None)
             continue
         s = np.concatenate([[BREAK], symbols[a:b], [BREAK]])
-        numbers = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-        count = np.bincount(numbers)
+        other = np.maximum(np.maximum(s[:-2], s[1:-1]), s[2:]) >= PLAIN
+        numbers = (s[:-2] * PLAIN + s[1:-1]) * PLAIN + s[2:]
+        count = np.bincount(numbers[~other])
         seen = np.flatnonzero(count)
-        out.append((seen, count[seen]))
+        packed = (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[other]
+        out.append((seen, count[seen], *np.unique(packed, return_counts=True)))
     return out
 
 
 def bundle(counted) -> np.ndarray:
-    seen, count = counted
-    return count.astype(np.float32) @ trigram_vectors()[seen].astype(np.float32)
+    seen, count, others, other_count = counted
+    total = count.astype(np.float32) @ trigram_vectors()[seen].astype(np.float32)
+    for k in range(0, len(others), BOUND_AT_ONCE):
+        packed = others[k: k + BOUND_AT_ONCE]
+        symbols, place = np.unique(np.concatenate([packed >> 42, packed >> 21 & 0x1FFFFF, packed & 0x1FFFFF]), return_inverse=True)
+        letters = np.array([letter_vector(int(x)) for x in symbols])
+        first, second, third = place.reshape(3, -1)
+        bound = np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
+        total += other_count[k: k + BOUND_AT_ONCE].astype(np.float32) @ bound.astype(np.float32)
+    return total
 
 
 def row_vectors(column) -> list[np.ndarray | None]:

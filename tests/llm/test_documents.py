@@ -223,6 +223,17 @@ def test_languages_by_held_out_accuracy(spark):
     assert language_of_documents(docs.limit(0)).count() == 0
 
 
+def test_languages_of_one_script_and_texts_of_signs(spark):
+    rnd, rows = random.Random(13), []
+    letters = ["абвгд", "ежзий"]  # in five classes by code point both would be one language
+    for i in range(240):
+        rows.append((i, " ".join("".join(rnd.choice(letters[i % 2]) for _ in range(4)) for _ in range(30)), ["ll", "mm"][i % 2]))
+    rows += [(1000, "😀 😀🚀", "ll"), (1001, "𝒳 \U00020000\U00020001", "mm")]
+    got = {r.doc_id: r for r in language_of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert all(got[i].lang_pred == ["ll", "mm"][i % 2] for i in range(240) if got[i].held_out)
+    assert got[1000].lang_pred == "und" and got[1000].score == 0 and got[1001].lang_pred != "und"
+
+
 # personal data ----------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
