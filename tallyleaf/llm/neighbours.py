@@ -70,7 +70,9 @@ class Shard:
             low, high = new_low, new_high
             over = np.flatnonzero((hits >= self.threshold) & ~verified)
             verified[over] = True
-            over = over[self.ids[over] != own_id]
+            own = self.ids[over] == own_id
+            own[own] = (self.vectors[over[own]] == query).all(axis=1)
+            over = over[~own]
             if len(over):
                 distance = np.sqrt(((self.vectors[over] - query) ** 2).sum(axis=1))
                 order = np.lexsort((self.ids[over], distance))[:k]
@@ -100,10 +102,10 @@ def _search(k: int):
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
             shard = Shard(left["vec_id"].to_numpy(), _matrix(left["vector"]))
-            for own, query in zip(right["vec_id"].to_pylist(), _matrix(right["vector"])):
-                rows += [(own, other, distance) for distance, other in shard.nearest(own, query, k)]
-        a, b, c = zip(*rows) if rows else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+            for own, row, query in zip(right["vec_id"].to_pylist(), right["row"].to_pylist(), _matrix(right["vector"])):
+                rows += [(own, row, other, distance) for distance, other in shard.nearest(own, query, k)]
+        a, r, b, c = zip(*rows) if rows else ((), (), (), ())
+        return pa.table({"query_id": pa.array(a, pa.int64()), "row": pa.array(r, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     return run
 
@@ -112,22 +114,23 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, shard_
     """``query_id, rank, vec_id, score``: the k nearest rows found for each query row, by Euclidean distance, ties to the smaller id.
 
     ``vectors`` has ``vec_id`` and ``embedding``; other columns are ignored. Vectors that are null, empty, all zero or hold
-    a null or non-finite component take no part, nor rows without ``vec_id``; of rows that repeat a ``vec_id`` the smallest
-    vector counts. Vectors are compared with those of their own length only. A query with fewer candidates gets all of them; an empty
+    a null or non-finite component take no part, nor rows without ``vec_id``. Rows that repeat both ``vec_id`` and vector count
+    once; rows that repeat a ``vec_id`` with another vector all count, as candidates (of each other too) and as queries, each with
+    its own ranks. Vectors are compared with those of their own length only. A query with fewer candidates gets all of them; an empty
     table gives no rows. All rows are indexed; the query set is held against them shard by shard in blocks, so it is
     copied once per shard, and each shard answers with k rows a query, of which the best k stay.
     """
     vector = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", vector.alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("width", F.size("vector"))
+    rows = rows.distinct().withColumn("width", F.size("vector")).withColumn("row", F.xxhash64("vec_id", "vector"))
     counts = rows.groupBy("width").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"),
                                        F.ceil(F.sum(is_query.cast("int")) / F.lit(query_rows)).cast("int").alias("blocks"))
     sized = rows.join(F.broadcast(counts), "width")
-    place, block = F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int")
+    place, block = F.pmod("row", F.col("shards")).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int")
     data = sized.where("blocks > 0").select("width", place.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "vector")
-    asked = sized.where(is_query).select("width", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), "vec_id", "vector")
-    asked = asked.toDF("q_width", "q_shard", "q_block", "vec_id", "vector")
-    found = data.groupBy("width", "shard", "block").cogroup(asked.groupBy("q_width", "q_shard", "q_block")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    asked = sized.where(is_query).select("width", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), "vec_id", "row", "vector")
+    asked = asked.toDF("q_width", "q_shard", "q_block", "vec_id", "row", "vector")
+    found = data.groupBy("width", "shard", "block").cogroup(asked.groupBy("q_width", "q_shard", "q_block")).applyInArrow(_search(k), "query_id long, row long, vec_id long, score double")
     best = F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("at", "b")).select(
+    return found.groupBy("query_id", "row").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("at", "b")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")

@@ -155,6 +155,17 @@ def test_few_candidates_and_empty_table(spark):
     assert nearest_neighbours(df.limit(0), df["vec_id"] % 100 == 0).count() == 0
 
 
+def test_rows_that_repeat_an_id_with_other_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [5.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in nearest_neighbours(df, df["vec_id"] % 100 == 0).collect() if r.query_id == 0)
+    want = []
+    for q in ([1.0, 0.0], [5.0, 0.0]):
+        found = sorted((float(np.hypot(q[0] - v[0], q[1] - v[1])), i) for i, v in [rows[0], *rows[2:]] if (i, v) != (0, q))
+        want += [(k, i, round(d, 6)) for k, (d, i) in enumerate(found, 1)]
+    assert got == sorted(want)
+
+
 def test_threshold_bounds_the_miss():
     from math import comb
     from statistics import NormalDist
