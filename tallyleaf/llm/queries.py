@@ -128,3 +128,6 @@ def op5(spark, sf_dir):
     from tallyleaf.llm.transcripts import format_conversations
 
     return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+from tallyleaf.llm import queries_more  # noqa: E402,F401  registers its queries
