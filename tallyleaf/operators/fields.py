@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -179,33 +181,40 @@ def all_rules() -> dict[str, list[str]]:
     return fv.FIELD_RULES
 
 
-def plain_rules() -> dict[str, list[str]]:
-    """The rules without look-around, in the same order: those that any regular-expression engine can state."""
-    return {f: [p for p in ps if not any(x in p for x in ("(?<", "(?=", "(?!"))] for f, ps in fv.FIELD_RULES.items()}
+def needs_han(pattern: str) -> bool:
+    """Whether a rule begins with Han characters in each of its alternatives, so that other texts need not be tried."""
+    head = re.match(r"\((?:\?:)?([^()]*)", pattern)
+    return head is not None and all(re.match(r"\[?[一-龥]", word) for word in head[1].split("|"))
 
 
 def extract_fields(docs: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     """First matching rule per field, plus the number of key fields filled and a confidence band."""
-    out = docs
+    out = docs.withColumn("_han", F.col("text").rlike("[一-龥]"))
     for field, patterns in rules.items():
-        tries = [F.nullif(tx.strip(F.regexp_extract("text", "(?im)" + p, 1)), F.lit("")) for p in patterns]
-        out = out.withColumn(field, F.coalesce(*tries))
+        tries = [F.nullif(tx.strip(F.regexp_extract("text", "(?imd)" + p, 1)), F.lit("")) for p in patterns]
+        out = out.withColumn(field, F.coalesce(*[F.when(F.col("_han"), t) if needs_han(p) else t for p, t in zip(patterns, tries)]))
+    return with_band(out.drop("_han"))
+
+
+def with_band(out: DataFrame) -> DataFrame:
     filled = sum((F.col(f).isNotNull().cast("int") for f in fv.KEY_FIELDS), F.lit(0))
     ratio = F.col("filled_key") / len(fv.KEY_FIELDS)
     band = (F.when(ratio >= 0.8, "high").when(ratio >= 0.4, "medium").when(F.col("filled_key") > 0, "low").otherwise("failed"))
     return out.withColumn("filled_key", filled).withColumn("band", band)
 
 
+def first_rule(col: Column, rules: list[tuple[str, str]]) -> Column:
+    """The name of the first pattern that the text holds."""
+    chain = None
+    for pattern, name in rules:
+        chain = F.when(col.rlike(pattern), name) if chain is None else chain.when(col.rlike(pattern), name)
+    return chain
+
+
 def product_types(docs: DataFrame) -> DataFrame:
     """Product type by phrase groups in order, and the type inferred from an ingredient list."""
-    def first(col, rules):
-        chain = None
-        for pattern, name in rules:
-            chain = F.when(col.rlike(pattern), name) if chain is None else chain.when(col.rlike(pattern), name)
-        return chain
-
-    return docs.withColumn("product_type", first(F.col("text"), fv.PRODUCT_TYPES)).withColumn(
-        "inferred_type", first(F.lower("ingredients"), fv.INFERRED_TYPES))
+    return docs.withColumn("product_type", first_rule(F.col("text"), fv.PRODUCT_TYPES)).withColumn(
+        "inferred_type", first_rule(F.lower("ingredients"), fv.INFERRED_TYPES))
 
 
 def best_reading(readings: DataFrame, keys: list[str]) -> DataFrame:

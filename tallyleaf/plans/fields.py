@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyleaf import fixed_values as fv
 from tallyleaf.functions import text as tx
 from tallyleaf.operators import fields as ops
+from tallyleaf.operators import free_form
 from tallyleaf.operators.scale import spread_scan
 from tallyleaf.plans.oracle_views import sql_list, sql_rows
 from tallyleaf.plans.registry import query
@@ -220,16 +221,39 @@ def scenarios(spark, d):
     return ops.scenarios(docs).groupBy("scenario").agg(F.count("*").alias("docs"))
 
 
-RULES = ", ".join("coalesce(" + ", ".join(f"nullif(trim(regexp_extract(text, '(?im){p}', 1), ' ' || chr(10) || chr(9) || chr(13)), '')" for p in ps) + f") AS {f}" for f, ps in ops.plain_rules().items())
+#: What the other engine cannot state, look-around, restated for the twin: the neighbours are taken into the match. The words that may not
+#: follow a quantity or a date are Han ones, which no document holds after one; a digit after it is restated.
+RESTATED = [("(?=\\n\\s*(?:", "(?:\\n\\s*(?:"), ("(?:^|(?<!\\d)(?<![每]))(", "(?:^|[^\\d每])("), ("(?<!\\d)(\\d{4}", "(?:^|\\D)(\\d{4}"),
+            ("(?!\\s*(?:千焦|蛋白质|脂肪|碳水|钠|能量|膳食纤维|反式|营养|参考值|\\d|米|克|毫克|微克))", "(?:\\s*[^\\s\\d]|\\s*\\z)"),
+            ("(?!\\s*(?:千焦|蛋白质|脂肪|碳水|钠|能量|克|毫升))", ""), ("(?<![一-龥])(", "(?:^|[^一-龥])("), ("(?![一-龥])", "(?:[^一-龥]|\\z)"), ("(?<![每])(", "(?:^|[^每])(")]
+
+
+def restated(pattern: str) -> str:
+    for old, new in RESTATED:
+        pattern = pattern.replace(old, new)
+    assert not any(x in pattern for x in ("(?<", "(?=", "(?!")), pattern
+    return pattern
+
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(12288) || chr(160)"
+
+
+def found_sql(text: str, pattern: str, group: int = 1, flags: str = "") -> str:
+    return f"nullif(trim(regexp_extract({text}, '{flags}{restated(pattern)}', {group}), {BLANKS}), '')"
+
+
+RULES = ", ".join("coalesce(" + ", ".join(found_sql("text", p, 1, "(?im)") for p in ps) + f") AS {f}" for f, ps in fv.FIELD_RULES.items())
+BAND = ("CASE WHEN filled_key / 6.0 >= 0.8 THEN 'high' WHEN filled_key / 6.0 >= 0.4 THEN 'medium' WHEN filled_key > 0 THEN 'low' ELSE 'failed' END AS band")
+FILLED = " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in fv.KEY_FIELDS)
 LABELLED = """ || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'Brand: Acme' || doc_id || chr(10) || 'Net Weight: 500 g' || chr(10) || 'Shelf Life: 12 months'
     WHEN 1 THEN 'Product Name: Oat Milk' || chr(10) || 'Production Date: 2025/1/' || (doc_id % 28 + 1) || chr(10) || 'Manufacturer: Foo Bar Inc.' || chr(10) || 'LOT No: AB12' || doc_id ELSE '' END"""
 
 
 @query("X11_extract_latin", f"""WITH x AS (SELECT doc_id, {RULES} FROM (SELECT doc_id, text{LABELLED} AS text FROM documents)),
-  y AS (SELECT *, {' + '.join(f'CAST({f} IS NOT NULL AS INT)' for f in fv.KEY_FIELDS)} AS filled_key FROM x)
-  SELECT doc_id, {', '.join(fv.FIELD_RULES)}, CASE WHEN filled_key / 6.0 >= 0.8 THEN 'high' WHEN filled_key / 6.0 >= 0.4 THEN 'medium' WHEN filled_key > 0 THEN 'low' ELSE 'failed' END AS band FROM y""")
+  y AS (SELECT *, {FILLED} AS filled_key FROM x)
+  SELECT doc_id, {', '.join(fv.FIELD_RULES)}, {BAND} FROM y""")
 def extract_latin(spark, d):
-    return ops.extract_fields(labelled(spark, d), ops.plain_rules()).select("doc_id", *fv.FIELD_RULES, "band")
+    return ops.extract_fields(labelled(spark, d), ops.all_rules()).select("doc_id", *fv.FIELD_RULES, "band")
 
 
 def labelled(spark, d):
@@ -241,7 +265,9 @@ def labelled(spark, d):
     return docs.select("doc_id", "source", F.concat("text", F.lit("\n"), extra).alias("text"))
 
 
-@query("X11_fill_rate")
+@query("X11_fill_rate", f"""WITH x AS (SELECT source, {RULES} FROM (SELECT source, text{LABELLED} AS text FROM documents)),
+  y AS (SELECT *, {FILLED} AS filled_key FROM x)
+  SELECT source, {BAND}, count(*) AS docs, {', '.join(f'count({f}) AS {f}' for f in fv.FIELD_RULES)} FROM y GROUP BY 1, 2""")
 def fill_rate(spark, d):
     rules = ops.all_rules()
     out = ops.extract_fields(labelled(spark, d), rules)
@@ -252,6 +278,84 @@ def first_sql(column: str, rules) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{n}'" for p, n in rules) + " END"
 
 
+#: Package lines that follow the documents' own: names without labels, one label beside them, labels with gaps, nothing.
+PACKAGE_LINES = [
+    "NIVEA妮维雅 温和\n温和沐浴露\n水 甘油 Aloe  Vera\n无酒精 无香料\n++ 长久保湿不油腻\n温和不刺激配方\n每100 g 含水\n不刺激配方\n净含量：500ml",
+    "净含量：5克\n妙洁\n厨房湿巾\n+J 去污除菌真方便\nGlycerin, panthenol\n80 片",
+    "品牌：海天\n生产日期：2025年3月4日\n草菇老抽酱油\n水 苯甲酸钠\n1.9L",
+    "",
+]
+
+
+def packaged(spark, d):
+    """Documents with package lines: before their own where ``doc_id % 8`` is under 4, so that places in the text count, else after."""
+    docs = spread_scan(v.table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    own, lines = F.col("text"), v.pick(F.col("doc_id") % 4, PACKAGE_LINES)
+    return docs.withColumn("text", F.when(F.col("doc_id") % 8 < 4, F.concat(lines, F.lit("\n"), own)).otherwise(F.concat(own, F.lit("\n"), lines)))
+
+
+def alternatives(column: str, patterns, flags: str = "") -> str:
+    return "coalesce(" + ", ".join(found_sql(column, p, 1, flags) for p in patterns) + ")"
+
+
+def head_free(line: str) -> str:
+    for p in fv.FREE_NOISE_HEADS:
+        line = f"trim(regexp_replace({line}, '{p}', ''), {BLANKS})"
+    return line
+
+
+ALIKE = "coalesce(contains({0}, {1}) OR contains({1}, {0}), false)"
+FIRST_LIST = "(CASE WHEN len({0}) > 0 THEN array_to_string(({0})[:" + str(fv.FREE_LISTED) + "], '，') END)"
+PACKAGE_TEXT = """package AS (SELECT doc_id, source, CASE WHEN doc_id % 8 < 4 THEN lines || chr(10) || text ELSE text || chr(10) || lines END AS text
+    FROM (SELECT doc_id, source, text, ([""" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in PACKAGE_LINES) + """])[doc_id % 4 + 1] AS lines FROM documents))"""
+FREE_SQL = PACKAGE_TEXT + f""", l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS lines FROM package),
+  b AS (SELECT *, array_to_string(lines, '') AS joined, coalesce(
+      list_filter(flatten(list_transform(lines, lambda x: [{', '.join(found_sql('x', p) for p in fv.MIXED_BRAND)}])), lambda x: x IS NOT NULL)[1],
+      list_filter(list_transform(lines, lambda x: regexp_replace(x, '{fv.HAN_BRAND_CUT.replace("'", "''")}', '', 'g')), lambda x: regexp_matches(x, '^[一-龥]{{2,6}}$') AND NOT regexp_matches(x, '{fv.HAN_BRAND_BARRED}'))[1],
+      list_filter(lines[:3], lambda x: regexp_matches(x, '{fv.LATIN_BRAND}'))[1]) AS free_brand FROM l),
+  t AS (SELECT *, {first_sql('joined', fv.PRODUCT_TYPES)} AS free_product_type, coalesce({', '.join(f"nullif(regexp_extract(coalesce(lines[1], ''), '{p}'), '')" for p, _ in fv.PRODUCT_TYPES)}) AS word FROM b),
+  n AS (SELECT *, CASE WHEN trim(split_part(lines[1], word, 1), {BLANKS}) <> '' THEN trim(split_part(lines[1], word, 1), {BLANKS}) || word
+      ELSE coalesce(free_brand, '') || free_product_type END AS free_product_name FROM t),
+  k AS (SELECT *, list_filter(list_transform(list_filter(lines, lambda x: NOT regexp_matches(x, '(?i)^(?:{'|'.join(fv.FREE_NOISE_LINES)})')), lambda x: {head_free('x')}),
+      lambda x: len(x) >= {fv.FREE_LEAST_FEATURE} AND regexp_matches(x, '[一-龥]') AND NOT {ALIKE.format('x', 'free_brand')} AND NOT {ALIKE.format('x', 'free_product_name')}) AS kept,
+      flatten(list_transform(list_filter(lines, lambda x: NOT starts_with(x, '无')), lambda x: flatten([{', '.join(f"regexp_extract_all(x, '(?i){p}')" for p in fv.FREE_INGREDIENTS)}]))) AS named FROM n),
+  free AS (SELECT *, {FIRST_LIST.format("list_transform(list_filter(range(1, len(named) + 1), lambda i: list_position(named, named[i]) = i), lambda i: named[i])")} AS free_ingredients,
+      {FIRST_LIST.format(f"list_reduce(list_concat([CAST([] AS VARCHAR[])], list_transform(kept, lambda x: [x])), lambda have, x: CASE WHEN len(have) >= {fv.FREE_LISTED} OR len(list_filter(have, lambda h: {ALIKE.format('h', 'x[1]')})) > 0 THEN have ELSE list_concat(have, x) END)")} AS free_features,
+      {alternatives('joined', fv.FREE_SPECIFICATION)} AS free_specification FROM k)"""
+
+
+@query("X11_free_form", "WITH " + FREE_SQL + f" SELECT doc_id, {', '.join('free_' + f for f in free_form.FREE)} FROM free")
+def free_form_fields(spark, d):
+    return free_form.free_form_fields(packaged(spark, d)).select("doc_id", *[f"free_{f}" for f in free_form.FREE])
+
+
+def settled_sql() -> str:
+    few = "(" + " + ".join(f"CAST({f} IS NOT NULL AS INT)" for f in fv.FIELD_RULES) + ") <= 1"
+    any_free = "coalesce(" + ", ".join(f"free_{f}" for f in free_form.FREE) + ") IS NOT NULL"
+    own = "coalesce(" + ", ".join(fv.FIELD_RULES) + ") IS NOT NULL"
+    gaps = " OR ".join(f"({f} IS NULL AND free_{f} IS NOT NULL)" for f in fv.FILLED_FIELDS)
+    value = {f: f"CASE WHEN {few} THEN coalesce({'free_' + f if f in free_form.FREE else 'NULL'}, {f}) ELSE " + (f"coalesce({f}, free_{f})" if f in fv.FILLED_FIELDS else f) + " END" for f in fv.FIELD_RULES}
+    value |= {f: f"CASE WHEN {few} THEN free_{f} END" for f in free_form.FREE if f not in fv.FIELD_RULES}
+    return f"""{FREE_SQL}, x AS (SELECT *, {RULES} FROM free),
+  z AS (SELECT doc_id, source, CASE WHEN {few} THEN CASE WHEN {any_free} THEN 'free' WHEN {own} THEN 'labels' ELSE 'none' END WHEN {gaps} THEN 'both' ELSE 'labels' END AS layer,
+      {', '.join(f'{e} AS {f}' for f, e in value.items())} FROM x),
+  settled AS (SELECT *, {BAND} FROM (SELECT *, {FILLED} AS filled_key FROM z))"""
+
+
+SETTLED = settled_sql()
+OUTPUT = (*fv.FIELD_RULES, *[f for f in free_form.FREE if f not in fv.FIELD_RULES])
+
+
+@query("X11_settled_fields", "WITH " + SETTLED + f" SELECT doc_id, layer, {', '.join(OUTPUT)}, band FROM settled")
+def settled_fields(spark, d):
+    return free_form.settled_fields(packaged(spark, d)).select("doc_id", "layer", *OUTPUT, "band")
+
+
+@query("X11_layer_fill", "WITH " + SETTLED + f" SELECT layer, count(*) AS docs, {', '.join(f'count({f}) AS {f}' for f in OUTPUT)} FROM settled GROUP BY 1")
+def layer_fill(spark, d):
+    return free_form.layer_fill(free_form.settled_fields(packaged(spark, d)), fv.FIELD_RULES)
+
+
 @query("X23_product_types", f"""SELECT {first_sql('text', fv.PRODUCT_TYPES)} AS product_type, {first_sql('ingredients', fv.INFERRED_TYPES)} AS inferred_type, count(*) AS docs
   FROM (SELECT text || ([' 纯牛奶', ' 洗衣液', ' 挂面', ''])[doc_id % 4 + 1] AS text, lower((['小麦', '甘油', '中药'])[doc_id % 3 + 1]) AS ingredients FROM documents) GROUP BY 1, 2""")
 def product_types(spark, d):
