@@ -12,21 +12,25 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyleaf.llm import textscan as ts
+from tallyleaf.llm.sentence_pieces import Remembered
 
 SCALE_BITS, LANES, MARK_STEPS = 20, 512, 256
 BLOCK_TOKENS = 2 * LANES * MARK_STEPS
 LOW, WORD_BITS = 1 << 31, 32
 MAGIC, HEADER = b"TLRA", struct.Struct("<4s4H6I")
-REMEMBERED, LONGEST = 200_000, 64
+#: Bytes of text whose words are worked out together, and words that are remembered.
+TEXT_BYTES, REMEMBERED = 8 << 20, 400_000
 BLOCK_SCHEMA = "part int, block int, first_token long, n_tokens long, n_docs long, first_doc long, last_doc long, payload binary"
 
 
@@ -139,10 +143,15 @@ class Block:
 class WordIds:
     """Identifiers of texts whose tokenizer keeps nothing of white space and joins nothing over it.
 
-    Texts are cut at blanks and line feeds, which any such tokenizer separates at; each different piece is given to the
-    tokenizer's own library once, in batches, and remembered (two generations bound the memory).
+    Texts are cut at blanks and line feeds, where any such tokenizer separates; each different piece of a batch is worked out once by the
+    tokenizer's own library, and remembered (two generations bound the memory). Marks after a Latin letter are a tokenizer word of their
+    own, so they are cut off, and words of Latin letters go straight to the library's model; whether that gives what whole texts
+    give is tried on examples when the tokenizer is loaded.
     """
 
+    MARKS, LATIN = ".,;:!?&*#$%()", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+    EXAMPLES = ("word", "Word,", "STRASSE.", "Straße&&&", "été!?", "ŒUVRE***", "naïveté", "zzqxv")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -150,28 +159,45 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        if any(self.library.encode(x, add_special_tokens=False).ids for x in (" ", "\n", " \n ")) or self.whole("a b\nc") != self.whole("a") + self.whole("b") + self.whole("c"):
+        if any(self.whole(x) for x in (" ", "\n", " \n ")) or self.whole("a b\nc") != self.whole("a") + self.whole("b") + self.whole("c"):
             raise ValueError("needs a tokenizer that drops white space")
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        #: How the bytes of a word are written in the model: visible ones as they are, the others from 256 on.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
+        self.letter = [hidden.get(b, chr(b)) for b in range(256)]
+        self.known = Remembered(self._word, REMEMBERED)
+        added = "".join(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.split = not set(added) & set(self.MARKS)
+        self.split = self.split and [np.frombuffer(b, np.uint32).tolist() for b in self.encode(pa.array(self.EXAMPLES), np.uint32)] == [self.whole(w) for w in self.EXAMPLES]
+        self.known.clear()
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str], kind) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known, old = self.known, self.old
-        new = set().union(*cut) - known.keys() if cut else set()
-        known.update((w, old[w]) for w in new & old.keys())
-        new = list(new - old.keys())
-        known.update((w, np.array(e.ids, dtype=kind).tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        if len(known) > REMEMBERED:
-            self.old, self.known = known, {"": b""}
-        return out
+    def _word(self, word: str) -> bytes:
+        if not self.split or not word.isalpha() or not word.isascii() and (max(word) > "\u00ff"):
+            return array("I", self.whole(word)).tobytes()
+        word = word.lower()
+        written = word if word.isascii() else "".join([self.letter[b] for b in word.encode()])
+        return array("I", [t.id for t in self.library.model.tokenize(written)]).tobytes()
+
+    def encode(self, texts: pa.Array, kind) -> list[bytes]:
+        """The identifiers of each text as bytes of ``kind``; a null is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.replace_substring(texts, "\n", " ")
+        if self.split:
+            texts = pc.replace_substring_regex(texts, f"([{self.LATIN}])([{self.MARKS}]+)( |$)", r"\1 \2\3")
+        cut = pc.split_pattern(texts, " ")
+        words = cut.flatten().dictionary_encode()
+        found = [self.known[w] for w in words.dictionary.to_pylist()]
+        sizes = np.array([len(b) // 4 for b in found], dtype=np.int64)
+        ids, firsts = np.frombuffer(b"".join(found), np.uint32).astype(kind), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        flat = ids[np.repeat(firsts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        borders = ends[np.asarray(cut.offsets) - cut.offsets[0].as_py()]
+        return [flat[a:b].tobytes() for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -197,8 +223,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataF
         ts.claim("word ids", _tokenizers.clear)
         words, kind = word_ids(tokenizer), f"<u{width}"
         end = np.array([end_id], dtype=kind).tobytes()
-        for batch in (part for whole in batches for part in ts.slices(whole, "text")):
-            ids = [b + end for b in words.encode([t or "" for t in batch.column("text").to_pylist()], kind)]
+        for batch in (part for whole in batches for part in ts.slices(whole, "text", TEXT_BYTES)):
+            ids = [b + end for b in words.encode(batch.column("text"), kind)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(b) // width for b in ids], pa.int64())],
                                              ["doc_id", "ids", "n_tokens"])
 
@@ -212,10 +238,12 @@ def identifier_counts(encoded: DataFrame, width: int) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            column = batch.column("ids")
+            _, offsets, data = column.buffers()
+            first, last = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]] if len(column) else (0, 0)
+            found = np.bincount(np.frombuffer(data, f"<u{width}", (last - first) // width, first) if last > first else np.zeros(0, np.int64), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "count"])
 
@@ -301,7 +329,8 @@ def read_token_files(spark: SparkSession, path: str, between: tuple[int, int] |
                 starts = ends - block.lengths
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.doc_ids, pa.int64()), pa.array(first + starts, pa.int64()), pa.array(block.lengths, pa.int64()),
-                     pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                     pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(ids)])],
+                    ["doc_id", "start", "n_tokens", "ids"])
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(os.path.join(path, "blocks"))
     # A row a range, so this order is as small as the list of shuffle partitions.

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tallyleaf.llm import token_files as tf
@@ -37,13 +38,15 @@ def odd_texts():
     rnd = random.Random(5)
     letters = "aZé ßΣςIİ日本́  \t\n\r\x1c\x85'sdl09_<|>😀한글가" + " " * 6
     texts = ["", None, " ", "\n\n", "word " * 30000, "<|endoftext|>", "a<|startoftext|>b <|endoftext|> c", "don't we'll I'M", "x" * 5000, "a\x00b", "é ́e", "a b c\x0bd"]
+    texts += [" ".join(rnd.choice(("ERERHA", "straße", "Œuvre", "ciónjarrez", "ŉ", "ªº", "naïve", "ĲIJ", "x", "İx")) + rnd.choice(("", ",", ".", "&&&", "***!", "'s", "|>", "(a)")) for _ in range(20)) for _ in range(60)]
     return texts + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 60))) for _ in range(600)]
 
 
 def test_pieces_are_encoded_as_whole_texts():
     words, lib = tf.WordIds(MODEL), library()
     texts = [t or "" for t in odd_texts()]
-    got = words.encode(texts, "<u4")
+    assert words.split
+    got = words.encode(pa.array(odd_texts()), "<u4")
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
