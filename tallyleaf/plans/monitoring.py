@@ -210,8 +210,11 @@ def alert_statistics(spark, d):
     return mon.alert_statistics(alerts).withColumn("level", F.coalesce("level", F.lit("all")))
 
 
-@query("T08_idle_sessions", """WITH g AS (SELECT tenant_id, epoch_us(ts) AS us, coalesce(CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY tenant_id ORDER BY ts) >= 1800000000 THEN 1 END, 0) AS fresh FROM usage),
+SESSIONS = """WITH g AS (SELECT tenant_id, epoch_us(ts) AS us, coalesce(CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY tenant_id ORDER BY ts) >= 1800000000 THEN 1 END, 0) AS fresh FROM usage),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY tenant_id ORDER BY us ROWS UNBOUNDED PRECEDING) + 1 AS session FROM g)
-  SELECT tenant_id, CAST(session AS BIGINT) AS session, min(us) AS started, max(us) AS ended, count(*) AS calls FROM s GROUP BY 1, 2""")
+  SELECT tenant_id, CAST(session AS BIGINT) AS session, min(us) AS started, max(us) AS ended, count(*) AS calls FROM s GROUP BY 1, 2"""
+
+
+@query("T08_idle_sessions", SESSIONS)
 def idle_sessions(spark, d):
     return mon.idle_sessions(v.usage(spark, d), ["tenant_id"], 30)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tallyleaf import fixed_values as fv
 from tallyleaf.operators import metering as m
 from tallyleaf.operators import monitoring
 from tallyleaf.plans.metering import priced
-from tallyleaf.plans.monitoring import ALERTING, BOUNDS, SHARE
+from tallyleaf.operators.scale import positions
+from tallyleaf.plans.monitoring import ALERTING, BOUNDS, SESSIONS, SHARE
 from tallyleaf.plans.registry import query
 from tallyleaf.sources import views as v
-from tallyleaf.streaming import folds, jobs, stateful
+from tallyleaf.session import scratch_path
+from tallyleaf.streaming import alerts, folds, jobs, quota, stateful
+from tallyleaf.streaming import late as late_rows
+from tallyleaf.streaming.merge import MonthlyUsage
 
 
 def limited_calls(spark, d):
@@ -48,17 +54,16 @@ def windows_sql(source: str, t: str, width: int, sums: str, totals: str, keys: s
       (SELECT {keys} CAST(floor({t} / 1800) AS BIGINT) AS step, {sums} FROM {source} GROUP BY ALL)) GROUP BY ALL"""
 
 
+#: Calls that the service turned away, as its log marks them.
+LIMITED = F.expr("k % 7 = 3")
 ERRORS = windows_sql("requests", "epoch(ts)", 10, "count(*) AS n, count(*) FILTER (status_code >= 500) AS bad", "sum(bad)::DOUBLE / sum(n) AS value")
 FALLBACKS = windows_sql("usage", "epoch(ts)", 20, "count(*) AS n, count(*) FILTER (model = 'unlisted-model') AS bad", "sum(bad)::DOUBLE / sum(n) AS value")
-HITS = windows_sql("r WHERE NOT admitted", "t", 10, "count(*) AS n", "sum(n)::DOUBLE / 18000 AS value")
+HITS = windows_sql("ev WHERE k % 7 = 3", "epoch(ts)", 10, "count(*) AS n", "sum(n)::DOUBLE / 18000 AS value")
 SLOW = windows_sql(f"(SELECT endpoint, ts, le, duration_ms / 10.0::DOUBLE <= le AS under FROM requests, (VALUES {BOUNDS}) AS b(le))", "epoch(ts)", 10,
                    "count(*) FILTER (under) AS n", "sum(n) AS cumulative", "endpoint, le,")
 
 
-@query("T02_alert_points", BY_CALL.format(key="tenant_id", columns="request_id", source="usage") + f"""
-  r AS (SELECT key, i, t, t AS last, true AS admitted FROM c WHERE i = 1 UNION ALL
-    SELECT c.key, c.i, c.t, CASE WHEN r.last > c.t - 1800 THEN r.last ELSE c.t END, r.last <= c.t - 1800 {NEXT}),
-  h AS (SELECT *, max(cumulative) OVER w AS total, coalesce(lag(cumulative) OVER o, 0) AS prev, coalesce(lag(le) OVER o, 0.0) AS low FROM ({SLOW})
+POINTS = f"""WITH h AS (SELECT *, max(cumulative) OVER w AS total, coalesce(lag(cumulative) OVER o, 0) AS prev, coalesce(lag(le) OVER o, 0.0) AS low FROM ({SLOW})
     WINDOW w AS (PARTITION BY endpoint, window_end), o AS (PARTITION BY endpoint, window_end ORDER BY le)),
   p AS (SELECT 'error_share' AS rule, '' AS series, window_end, value, 0.05::DOUBLE AS most FROM ({ERRORS})
     UNION ALL SELECT 'hourly_error_share', '', window_end, value, 0.001::DOUBLE FROM ({ERRORS.replace("1 + 10)", "1 + 120)")})
@@ -66,12 +71,15 @@ SLOW = windows_sql(f"(SELECT endpoint, ts, le, duration_ms / 10.0::DOUBLE <= le
     UNION ALL SELECT 'limiter_hits', '', window_end, value, 10::DOUBLE FROM ({HITS})
     UNION ALL SELECT 'p95_latency', endpoint, window_end, CASE WHEN le = 'inf'::DOUBLE THEN low ELSE low + (le - low) * (0.95::DOUBLE * total - prev) / (cumulative - prev) END, 5::DOUBLE
       FROM h WHERE cumulative >= 0.95::DOUBLE * total AND prev < 0.95::DOUBLE * total)
-  SELECT rule, series, window_end, ROUND(value, 6) AS value, value > most AS breach FROM p""")
+  SELECT rule, series, window_end, ROUND(value, 6) AS value, value > most AS breach FROM p"""
+
+
+@query("T02_alert_points", POINTS)
 def alert_points(spark, d):
     """All five rules, with windows sixty times as wide for the sparse test traffic."""
     requests = v.requests(spark, d).withColumn("seconds", F.col("duration_ms") / 10.0)
     runs = v.usage(spark, d).select("ts", (F.col("model") == "unlisted-model").alias("fallback"))
-    hits = half_hour_limit(spark, d).where(~F.col("admitted"))
+    hits = v.events(spark, d).where(LIMITED).select("ts")
     return monitoring.alert_points(requests, runs, hits, 60).withColumn("value", F.round("value", 6))
 
 
@@ -194,6 +202,41 @@ def stream_minute_counts(spark, d):
     return out.withColumn("minute", F.unix_seconds("minute"))
 
 
+def staged_stream(spark, path):
+    """The event stream over a folder into which events are put part by part."""
+    e = spark.readStream.schema(EVENT_SCHEMA).parquet(path)
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("k"))
+
+
+def thirds(spark, d):
+    """The raw events, three conditions that deal them out in order of time, and an event without content long after them."""
+    raw = v.table(spark, d, "events")
+    first, last = raw.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        first = last = datetime(2024, 1, 1)
+    a, b = first + (last - first) / 3, first + (last - first) * 2 / 3
+    beat = spark.createDataFrame([(None, last + timedelta(days=40), None, None, None, None)], EVENT_SCHEMA)
+    return raw, [F.col("ts") < a, (F.col("ts") >= a) & (F.col("ts") < b), F.col("ts") >= b], beat
+
+
+LATE = "event_id % 50 = 7"
+
+
+@query("T01_stream_late_rows", f"""WITH m AS (SELECT epoch_ms(max(ts)) - 600000 AS seen FROM ev WHERE NOT ({LATE})),
+  l AS (SELECT count(*) AS late FROM ev, m WHERE {LATE} AND (epoch_ms(ts) // 60000 + 1) * 60000 <= m.seen)
+  SELECT (SELECT count(*) FROM ev) AS rows_read, (SELECT count(*) FROM ev) - late AS rows_counted, late AS late_rows FROM l""")
+def stream_late_rows(spark, d):
+    """Every fiftieth event arrives after all the others: those whose minute is closed by then are in no window, and counted."""
+    raw, parts, beat = thirds(spark, d)
+    late, path, metrics = F.expr(LATE), scratch_path(spark, "minutes"), scratch_path(spark, "late")
+    for source in jobs.in_parts(raw, [~late & parts[0], ~late & ~parts[0], late], "arriving", beat):
+        e = staged_stream(spark, source).withColumn("endpoint", F.concat(F.lit("/"), "event_type"))
+        # The last event has no endpoint: it is not counted as read, and its window stays open.
+        e = late_rows.observed(e, "endpoint")
+        late_rows.run_counting_late(spark, jobs.minute_counts(e), path, path + "-checkpoint", metrics, "late-" + path[-12:])
+    return late_rows.late_report(spark.read.option("basePath", path).parquet(path), spark.read.parquet(metrics)).drop("late_groups")
+
+
 @query("T02_stream_sliding_shares", "WITH " + SHARE + " SELECT window_end, requests, flagged, ROUND(share, 6) AS share FROM share")
 def stream_sliding_shares(spark, d):
     e = event_stream(spark, d).select("ts", "event_type")
@@ -202,19 +245,72 @@ def stream_sliding_shares(spark, d):
     return out.select(F.unix_seconds("window_end").alias("window_end"), "requests", "flagged", F.round("share", 6).alias("share"))
 
 
+def alert_rows(spark, d):
+    """All rules from one stream of events in three parts, with a restart after each, and an event after the last that closes everything."""
+    raw, parts, beat = thirds(spark, d)
+    path = scratch_path(spark, "alerts")
+    for source in jobs.in_parts(raw, parts, "arriving", beat):
+        e = staged_stream(spark, source)
+        model = v.pick(F.col("user_id") % 4, v.USAGE_MODELS)
+        events = e.select("ts", F.concat(F.lit("/"), "event_type").alias("endpoint"), F.when(F.col("event_type") == "error", F.lit(500) + F.col("k") % 4).otherwise(200).alias("status_code"),
+                          (F.col("value") / 10.0).alias("seconds"), (model == "unlisted-model").alias("fallback"), LIMITED.alias("limited"))
+        with jobs.rocksdb(spark):
+            jobs.write_batches(alerts.alert_stream(events, 60), path, path + "-checkpoint").awaitTermination()
+    return spark.read.option("basePath", path).parquet(path)
+
+
+@query("T02_stream_alert_points", POINTS)
+def stream_alert_points(spark, d):
+    return alert_rows(spark, d).where("kind = 'point'").select("rule", "series", F.col("at").alias("window_end"), F.round("value", 6).alias("value"), "breach")
+
+
+HOLDS = ", ".join(f"('{rule}', {hold * 60})" for rule, (_, _, hold) in fv.ALERT_RULES.items())
+
+
+@query("T02_stream_firing_spans", f"""WITH points AS ({POINTS}), runs AS (SELECT *, sum(CASE WHEN breach AND window_end - before <= 1800 THEN 0 ELSE 1 END)
+    OVER (PARTITION BY rule, series ORDER BY window_end ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(window_end) OVER (PARTITION BY rule, series ORDER BY window_end) AS before FROM points))
+  SELECT r.rule, series, min(window_end) AS since, max(window_end) AS until, count(*) AS points FROM runs r JOIN (VALUES {HOLDS}) AS h(rule, hold) ON r.rule = h.rule
+  WHERE breach GROUP BY r.rule, series, run, hold HAVING max(window_end) - min(window_end) >= hold""")
+def stream_firing_spans(spark, d):
+    return alert_rows(spark, d).where("kind = 'resolved'").select("rule", "series", "since", F.col("at").alias("until"), "points")
+
+
 @query("T04_stream_quota_crossings", """WITH run AS (SELECT tenant_id, strftime(ts, '%Y%m') AS period, request_id, total_tokens, 400000 + tenant_id * 50000 AS quota,
     sum(total_tokens) OVER (PARTITION BY tenant_id, strftime(ts, '%Y%m') ORDER BY ts, request_id ROWS UNBOUNDED PRECEDING) AS used FROM priced)
   SELECT tenant_id, period, request_id, CAST(used AS BIGINT) AS used, share FROM run, (VALUES (0.7::DOUBLE), (0.85::DOUBLE), (0.95::DOUBLE), (1.0::DOUBLE)) AS t(share)
   WHERE used - total_tokens < share * quota AND used >= share * quota""")
 def stream_quota_crossings(spark, d):
-    tenant = F.col("user_id") % 20
-    calls = event_stream(spark, d).select(
-        tenant.alias("tenant_id"), F.col("event_id").alias("request_id"), stateful.seconds().alias("ts_s"), m.period().alias("period"),
-        (F.col("k") * 100 + F.floor(F.col("value") * 10)).cast("bigint").alias("tokens"), (F.lit(400000) + tenant * 50000).alias("quota"))
-    watched = stateful.stream_fold(calls, "tenant_id", "ts_s", folds.QuotaWatch, ["request_id"])
-    written = jobs.run_to_end(spark, watched.where("crossed <> ''"), "quota")
-    return written.select("tenant_id", "period", "request_id", F.col("used").cast("bigint").alias("used"),
-                          F.explode(F.split("crossed", ",").cast("array<double>")).alias("share"))
+    return quota_rows(spark, d).where("kind = 'crossed'").select("tenant_id", "period", "request_id", "used", "share")
+
+
+def quota_rows(spark, d):
+    raw, parts, beat = thirds(spark, d)
+    path = scratch_path(spark, "quota")
+    for source in jobs.in_parts(raw, parts, "arriving", beat):
+        tenant = F.col("user_id") % 20
+        calls = staged_stream(spark, source).select(
+            tenant.alias("tenant_id"), F.col("event_id").alias("request_id"), "ts", m.period().alias("period"),
+            (F.col("k") * 100 + F.floor(F.col("value") * 10)).cast("bigint").alias("tokens"), (F.lit(400000) + tenant * 50000).alias("quota"))
+        with jobs.rocksdb(spark):
+            jobs.write_batches(quota.quota_stream(calls), path, path + "-checkpoint").awaitTermination()
+    return spark.read.option("basePath", path).parquet(path)
+
+
+@query("T04_stream_month_ends", "SELECT tenant_id, strftime(ts, '%Y%m') AS period, CAST(sum(total_tokens) AS BIGINT) AS used FROM priced GROUP BY 1, 2")
+def stream_month_ends(spark, d):
+    """What each tenant had used when its month ended and the watch forgot it."""
+    return quota_rows(spark, d).where("kind = 'closed'").select("tenant_id", "period", "used")
+
+
+@query("T08_stream_sessions", SESSIONS)
+def stream_sessions(spark, d):
+    raw, parts, beat = thirds(spark, d)
+    path = scratch_path(spark, "sessions")
+    for source in jobs.in_parts(raw, parts, "arriving", beat):
+        calls = staged_stream(spark, source).select((F.col("user_id") % 20).alias("tenant_id"), "ts")
+        jobs.write_batches(jobs.idle_sessions(calls, ["tenant_id"], 30), path, path + "-checkpoint").awaitTermination()
+    written = spark.read.option("basePath", path).parquet(path).drop("batch")
+    return positions(written, ["tenant_id"], F.floor(F.col("started") / 86_400_000_000), ["started"], "session")
 
 
 @query("T05_stream_first_alerts", "SELECT event_type AS field, CAST(user_id % 5 AS VARCHAR) AS value FROM ev GROUP BY 1, 2")
@@ -237,8 +333,10 @@ def stream_monthly_usage(spark, d):
     e = event_stream(spark, d)
     usage = e.select((F.col("user_id") % 20).alias("tenant_id"), F.col("event_id").alias("request_id"), "ts", v.pick(F.col("user_id") % 4, v.USAGE_MODELS).alias("model"),
                      (F.col("k") * 100).alias("input_tokens"), F.floor(F.col("value") * 10).cast("bigint").alias("output_tokens"), (F.col("event_type") != "error").alias("success"))
-    written = jobs.run_to_end(spark, m.price_usage(usage, m.price_list(spark)), "usage")
-    return jobs.monthly_from_batches(written).select("tenant_id", "period", "total_tokens", "call_count", "failed_count", F.col("cost_usd").cast("double").alias("cost_usd"))
+    path = scratch_path(spark, "usage")
+    table = MonthlyUsage(spark, path)
+    table.run(m.price_usage(usage, m.price_list(spark)), path + "-checkpoint")
+    return table.monthly().select("tenant_id", "period", "total_tokens", "call_count", "failed_count", F.col("cost_usd").cast("double").alias("cost_usd"))
 
 
 @query("T06_stream_fan_out", """SELECT s.sub_id, count(*) AS deliveries FROM wh_events e JOIN (SELECT sub_id, tenant_id, unnest(events) AS event_type FROM wh_subs WHERE active) s

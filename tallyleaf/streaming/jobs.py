@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.operators.metering import period, usage_totals
 from tallyleaf.operators.services import fan_out
 from tallyleaf.session import scratch_path
 
@@ -13,7 +15,7 @@ WATERMARK = "10 minutes"
 
 
 def minute_counts(requests: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Requests per minute and endpoint; late rows beyond the watermark are left out."""
+    """Requests per minute and endpoint; rows beyond the watermark are left out here and counted by ``late.run_counting_late``."""
     w = F.window("ts", "1 minute")
     return requests.withWatermark("ts", watermark).groupBy(w, "endpoint").agg(F.count("*").alias("requests")).select(
         F.col("window.start").alias("minute"), "endpoint", "requests")
@@ -35,12 +37,13 @@ def alerting_audit(audit: DataFrame, actions) -> DataFrame:
     return audit.where(F.col("action").isin(list(actions)) | (F.col("status") == "failure"))
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", name: str | None = None):
     """Start a query that writes each micro-batch under its own folder, so that a replay overwrites itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    writer = stream.writeStream if name is None else stream.writeStream.queryName(name)
+    return writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -56,9 +59,32 @@ def latest_update(written: DataFrame, keys: list[str]) -> DataFrame:
     return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-def monthly_from_batches(written: DataFrame) -> DataFrame:
-    """Monthly usage over everything written so far; a request that arrives twice counts once, however late."""
-    return written.dropDuplicates(["request_id"]).groupBy("tenant_id", period().alias("period")).agg(*usage_totals())
+def idle_sessions(calls: DataFrame, keys: list[str], gap_minutes: int, watermark: str = WATERMARK) -> DataFrame:
+    """Sessions of each key that an idle gap of ``gap_minutes`` ended: first and last call and the number of calls; append mode."""
+    # A session window takes in a call exactly at its end; a gap of the whole length ends a session here.
+    session = F.session_window("ts", f"{gap_minutes * 60_000_000 - 1} microseconds")
+    return calls.withWatermark("ts", watermark).groupBy(session, *keys).agg(
+        F.min(F.unix_micros("ts")).alias("started"), F.max(F.unix_micros("ts")).alias("ended"), F.count("*").alias("calls")).select(*keys, "started", "ended", "calls")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which typed state and timers need."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def in_parts(rows: DataFrame, parts: list[Column], name: str, beat: DataFrame | None = None) -> Iterator[str]:
+    """Rows as they would arrive: after each part, and after ``beat`` in the end, the folder that holds all up to then."""
+    path = scratch_path(rows.sparkSession, name)
+    for part in [*[rows.where(p) for p in parts], *([] if beat is None else [beat])]:
+        part.write.mode("append").parquet(path)
+        yield path
 
 
 def deliver(spark: SparkSession, events: DataFrame, subscriptions: DataFrame, name: str = "deliveries") -> DataFrame:

@@ -1,6 +1,5 @@
 """Folds alone, folds over tables against folds over streams, late data."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyleaf.operators.scale import literal_table
@@ -97,13 +96,6 @@ def test_first_alerts_and_audit(spark):
     assert jobs.run_to_end(spark, jobs.first_alerts(stream), "alerts").count() == 2
 
 
-def test_replay_counts_once(spark):
-    rows = pd.DataFrame({"request_id": [1, 1, 2], "tenant_id": [1, 1, 1], "input_tokens": [5, 5, 6], "output_tokens": [0, 0, 0], "total_tokens": [5, 5, 6], "success": [True] * 3})
-    df = spark.createDataFrame(rows).withColumn("ts", F.lit("2024-01-05").cast("timestamp")).withColumn("cost_usd", F.lit("0.1").cast("decimal(20,6)"))
-    r = jobs.monthly_from_batches(df).first()
-    assert (r.call_count, r.total_tokens) == (2, 11)
-
-
 def test_quota_watch_crosses_once():
     f = folds.QuotaWatch()
     got = [f.step(t, p, n, 100)[1] for t, p, n in ((0, "a", 60), (1, "a", 20), (2, "a", 30), (3, "a", 5), (4, "b", 75))]
