@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds the anchors of a whole text in one pass: at-signs, plus signs, digits, URL schemes
-and identifier cues. Each kind has a small deterministic parser that expands from its anchors to both sides and validates
+An Aho-Corasick automaton finds the anchors of a whole text in one pass: at-signs, plus signs, digits, URL schemes,
+identifier cues and heads of keys, cues in any case. Each kind has a small deterministic parser that expands from its anchors to both sides and validates
 the result. Texts without an anchor are left after the automaton's pass.
 """
 
@@ -16,18 +16,25 @@ from pyspark.sql import DataFrame
 
 from tallyleaf.llm import textscan as ts
 
-KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 DIGITS = frozenset(string.digits)
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 LABEL = frozenset(string.ascii_letters + string.digits + "-")
 CALL = frozenset(" ().-" + string.digits)
-UPPER = frozenset(string.ascii_uppercase)
-ALNUM = frozenset(string.ascii_uppercase + string.digits)
-#: Anchors of each parser.
+ALNUM = frozenset(string.ascii_letters + string.digits)
+LETTERS = frozenset(string.ascii_letters)
+NAME = frozenset(string.ascii_letters + string.digits + "_-")
+KEY = frozenset(string.ascii_letters + string.digits + "_-+/=.~")
+#: Least length of what is assigned after a cue, and what follows the head of a key: characters and least length.
+CUES = {"token": 16, "secret": 8, "api_key": 16, "api-key": 16, "apikey": 16, "api key": 16, "access_key": 16, "private_key": 16, "client_key": 16,
+        "password": 6, "passwd": 6, "passphrase": 6, "pwd": 6, "authorization": 16, "bearer": 16}
+HEADS = {"akia": (frozenset(string.ascii_uppercase + string.digits), 16), "asia": (frozenset(string.ascii_uppercase + string.digits), 16),
+         "ghp_": (ALNUM, 30), "gho_": (ALNUM, 30), "ghs_": (ALNUM, 30), "glpat-": (NAME, 16), "xoxb-": (NAME, 16), "xoxp-": (NAME, 16), "sk-": (NAME, 20), "aiza": (NAME, 30)}
+#: Anchors of each parser, in lower case.
 ANCHORS = {"@": "at", "+": "plus", "http://": "scheme", "https://": "scheme", "ftp://": "scheme",
-           "IBAN": "iban", "iban": "iban", "SSN": "ssn", "ssn": "ssn", "social security": "ssn", "Social Security": "ssn",
-           **{d: "digit" for d in string.digits}}
+           "iban": "iban", "ssn": "ssn", "social security": "ssn", "-----begin": "block",
+           **{c: "cue" for c in CUES}, **{h: "head" for h in HEADS}, **{d: "digit" for d in string.digits}}
 
 Span = tuple[str, int, int]
 
@@ -41,6 +48,7 @@ def _automaton():
 
 
 _machine = None
+_LOWER = {ord(c): c.lower() for c in string.ascii_uppercase}
 
 
 def anchors(text: str) -> dict[str, list[int]]:
@@ -49,7 +57,10 @@ def anchors(text: str) -> dict[str, list[int]]:
     if _machine is None:
         _machine = _automaton()
     found: dict[str, list[int]] = {}
-    for end, (kind, length) in _machine.iter(text):
+    low = text.lower()
+    if len(low) != len(text):  # some letters are longer in lower case; the anchors hold none of them
+        low = text.translate(_LOWER)
+    for end, (kind, length) in _machine.iter(low):
         found.setdefault(kind, []).append(end + 1 if length > 1 else end)
     return found
 
@@ -172,7 +183,7 @@ def ibans(text: str, after_cue: list[int]) -> list[Span]:
                 if len(signs) >= 15 and int("".join(str(int(c, 36)) for c in signs[4:] + signs[:4])) % 97 == 1:
                     best = end + 1
             end += 1
-        if best and signs[0] in UPPER and signs[1] in UPPER and signs[2] in DIGITS and signs[3] in DIGITS:
+        if best and signs[0] in LETTERS and signs[1] in LETTERS and signs[2] in DIGITS and signs[3] in DIGITS:
             out.append(("iban", at, best))
             free = best
     return out
@@ -192,6 +203,61 @@ def social_numbers(text: str, after_cue: list[int]) -> list[Span]:
     return out
 
 
+def assigned_secrets(text: str, after_cue: list[int]) -> list[Span]:
+    """What a name with a cue is given: past the name's rest and a quote, ``:`` or ``=`` (a blank after ``bearer``), then key characters with a digit."""
+    out, free = [], 0
+    for cue_end in after_cue:
+        if cue_end <= free:
+            continue
+        name = next(c for c in CUES if text[cue_end - len(c): cue_end].lower() == c)
+        at = run_end(text, cue_end, NAME)
+        while at < len(text) and text[at] in "\"'` ":
+            at += 1
+        if at < len(text) and text[at] in ":=":
+            at = run_end(text, at, frozenset(":=>"))
+        elif name != "bearer" or at == cue_end:
+            continue
+        while at < len(text) and text[at] in "\"'` ":
+            at += 1
+        if text[at: at + 7].lower() == "bearer ":
+            at += 7
+        end = run_end(text, at, KEY)
+        while end > at and text[end - 1] in ".=":
+            end -= 1
+        if end - at >= CUES[name] and at >= free and any(c in DIGITS for c in text[at:end]):
+            out.append(("secret", at, end))
+            free = end
+    return out
+
+
+def headed_keys(text: str, after_head: list[int]) -> list[Span]:
+    """Keys known by how they begin, where no letter or digit stands before them."""
+    out = []
+    for head_end in after_head:
+        head = next(h for h in HEADS if text[head_end - len(h): head_end].lower() == h)
+        first, (members, least) = head_end - len(head), HEADS[head]
+        end = run_end(text, head_end, members)
+        exact = text[first:head_end] == ("AIza" if head == "aiza" else head.upper() if head in ("akia", "asia") else head)
+        if exact and end - head_end >= least and (first == 0 or text[first - 1] not in ALNUM) and any(c in DIGITS for c in text[head_end:end]):
+            out.append(("secret", first, end))
+    return out
+
+
+def key_blocks(text: str, after_begin: list[int]) -> list[Span]:
+    """A block from its opening line to its closing one, if it names a private key."""
+    out, free = [], 0
+    for at in after_begin:
+        line = text.find("\n", at)
+        opening = text[at: line if line >= 0 else len(text)]
+        if at < free or "PRIVATE KEY-----" not in opening:
+            continue
+        close = text.find("-----END", at)
+        end = text.find("-----", close + 8) + 5 if close >= 0 and text.find("-----", close + 8) >= 0 else at + len(opening)
+        out.append(("secret", at - len("-----BEGIN"), end))
+        free = end
+    return out
+
+
 def find(text: str) -> list[Span]:
     """All spans (kind, start, end) in code points, by start, then kind as listed."""
     hits = anchors(text)
@@ -199,7 +265,8 @@ def find(text: str) -> list[Span]:
         return []
     runs = digit_runs(text, hits.get("digit", []))
     spans = [*emails(text, hits.get("at", [])), *addresses(text, runs), *cards(text, runs), *phones(text, hits.get("plus", [])),
-             *logins(text, hits.get("scheme", [])), *ibans(text, hits.get("iban", [])), *social_numbers(text, hits.get("ssn", []))]
+             *logins(text, hits.get("scheme", [])), *ibans(text, hits.get("iban", [])), *social_numbers(text, hits.get("ssn", [])),
+             *assigned_secrets(text, hits.get("cue", [])), *headed_keys(text, hits.get("head", [])), *key_blocks(text, hits.get("block", []))]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
