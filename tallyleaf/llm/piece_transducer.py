@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from tallyleaf.llm import textscan as ts
 from tallyleaf.llm.sentence_pieces import BYTE, CHUNKS, CONTROL, PIECE_BITS, PIECE_MASK, SPACE_MARK, UNKNOWN, Remembered, Vocabulary, vocabulary
 
-REMEMBERED = 150_000
+#: Results remembered; parts of at most so many characters are composed together, so many at a time.
+REMEMBERED, TOGETHER, TOGETHER_PARTS = 150_000, 40, 8192
 START, LONE = PIECE_MASK, PIECE_MASK - 1
 _machines: dict[str, "Transducer"] = {}
 
@@ -28,6 +29,7 @@ _machines: dict[str, "Transducer"] = {}
 class Transducer:
     def __init__(self, voc: Vocabulary, most: int = REMEMBERED):
         self.voc = voc
+        self.derived = Remembered(self._derivation, len(voc.piece))
         self.stable = Remembered(self._stable, 2 * most)
         self.part = Remembered(self._path, most)
         self.chunk = Remembered(self._chunk, most)
@@ -43,13 +45,49 @@ class Transducer:
                 node = below.setdefault(c, [{}, -1])
                 below = node[0]
             node[1] = i
+        self._compile()
+
+    def _derivation(self, piece: int) -> tuple[list, list, list] | None:
+        """How a piece is merged on its own: ranks of the merges in order, and the first and last symbol before each and in the end; null if it is not reached."""
+        symbols, pairs = self.letters[piece][:], self.voc.pairs
+        ranks, firsts, lasts = [], [symbols[0]], [symbols[-1]]
+        while len(symbols) > 1:
+            best, at = min(((v, i) for i in range(len(symbols) - 1) if (v := pairs.get(symbols[i] << PIECE_BITS | symbols[i + 1])) is not None), default=(None, 0))
+            if best is None:
+                return None
+            symbols[at: at + 2] = [best & PIECE_MASK]
+            ranks.append(best >> PIECE_BITS)
+            firsts.append(symbols[0])
+            lasts.append(symbols[-1])
+        return ([*ranks, math.inf], firsts, lasts) if symbols == [piece] else None
 
     def _stable(self, pair: int) -> bool:
-        """Whether two pieces stay apart when merged on their own; START before a piece: whether it is reached at all."""
+        """Whether two pieces stay apart when merged side by side; START before a piece: whether it is reached at all.
+
+        Until something is merged over their border each side goes its own way, lowest rank first and the left one of equals. So only the
+        two symbols at the border are followed: they are merged as soon as their pair's rank is below the left side's next and not
+        above the right side's.
+        """
         left, right = pair >> PIECE_BITS, pair & PIECE_MASK
+        b = self.derived[right]
         if left == START:
-            return self.voc.merge(self.letters[right][:]) == [right]
-        return self.voc.merge(self.letters[left] + self.letters[right]) == [left, right]
+            return b is not None
+        pairs = self.voc.pairs
+        a = self.derived[left]
+        if a is None or b is None or left << PIECE_BITS | right in pairs:
+            return False
+        (ours, _, lasts), (theirs, firsts, _) = a, b
+        i = j = 0
+        while True:
+            joint = pairs.get(lasts[i] << PIECE_BITS | firsts[j])
+            if joint is not None and joint >> PIECE_BITS < ours[i] and joint >> PIECE_BITS <= theirs[j]:
+                return False
+            if ours[i] <= theirs[j]:
+                if ours[i] == math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _path(self, part: str) -> bytes:
         """Shortest path through one part's lattice, as int32 identifiers.
@@ -83,6 +121,84 @@ class Transducer:
             at = origin[at]
         return array("i", [i for step in reversed(path) for i in step]).tobytes()
 
+    def _compile(self) -> None:
+        """The trie as arrays: (node, character) -> node in order of their joint number, and the piece that ends at a node."""
+        edges, pieces, todo = [], [-1], [(self.trie, 0)]
+        characters = np.array(sorted({ord(c) for p in self.voc.ids for c in p}), dtype=np.uint32)
+        place = {chr(c): i for i, c in enumerate(characters.tolist())}
+        for below, node in todo:
+            for c, (more, piece) in below.items():
+                edges.append((node * len(characters) + place[c], len(pieces)))
+                todo.append((more, len(pieces)))
+                pieces.append(piece)
+        edges.sort()
+        self.characters = characters
+        self.keys, self.nodes = (np.array(x, dtype=np.int64) for x in zip(*edges))
+        self.ends, self.costs = np.array(pieces, dtype=np.int64), np.array(self.weight)
+
+    def _stable_pairs(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        pairs, back = np.unique(before << PIECE_BITS | pieces, return_inverse=True)
+        stable = self.stable
+        return np.array([stable[k] for k in pairs.tolist()], dtype=bool)[back]
+
+    def _paths(self, parts: list[str]) -> list[bytes]:
+        """Shortest paths of many parts at once: the same composition as ``_path``, a step of all their lattices at a time.
+
+        Only for parts whose characters all have a piece, so that byte fallback has no arc in them.
+        """
+        size = np.array([len(p) for p in parts])
+        longest, rows = int(size.max()), np.arange(len(parts))
+        text = np.full((len(parts), longest), -1, dtype=np.int64)
+        flat = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)
+        text[np.repeat(rows, size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.searchsorted(self.characters, flat)
+        weight = np.full((len(parts), longest + 1), np.inf)
+        last, origin = np.full((len(parts), longest + 1), START, dtype=np.int64), np.zeros((len(parts), longest + 1), dtype=np.int64)
+        weight[:, 0] = 0.0
+        for at in range(longest):
+            live = np.flatnonzero((size > at) & (weight[:, at] < np.inf))
+            node = np.zeros(len(live), dtype=np.int64)
+            for end in range(at, longest):
+                character = text[live, end]
+                key = node * len(self.characters) + character
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                go = (self.keys[found] == key) & (character >= 0)
+                live, node = live[go], self.nodes[found[go]]
+                if not len(live):
+                    break
+                piece = self.ends[node]
+                arc = np.flatnonzero(piece >= 0)
+                row, piece = live[arc], piece[arc]
+                kept = self._stable_pairs(last[row, at], piece) if len(row) else np.zeros(0, bool)
+                row, piece = row[kept], piece[kept]
+                there = weight[row, at] + self.costs[piece]
+                better = there < weight[row, end + 1]
+                row, piece = row[better], piece[better]
+                weight[row, end + 1], last[row, end + 1], origin[row, end + 1] = there[better], piece, at
+        steps, at = [], size.copy()
+        while (at > 0).any():
+            steps.append(np.where(at > 0, last[rows, at], -1))
+            at = np.where(at > 0, origin[rows, at], 0)
+        path = np.array(steps[::-1]).T
+        ids = path[path >= 0].astype(np.int32)
+        ends = np.cumsum((path >= 0).sum(axis=1)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
+
+    def learn(self, texts: list[str]) -> None:
+        """Works out the chunks of these texts that are not remembered, each once and most of them together."""
+        cut = [CHUNKS.findall(self.voc.normalise(t)) for t in texts]
+        chunks = {c: self.voc.parts(c) for c in self.chunk.absent(set().union(*cut))}
+        parts = self.part.absent(set().union(*chunks.values()))
+        known = [p for p in parts if len(p) <= TOGETHER and self._all_known(p)]
+        for first in range(0, len(known), TOGETHER_PARTS):
+            block = known[first: first + TOGETHER_PARTS]
+            self.part.update(zip(block, self._paths(block)))
+        for chunk, own in chunks.items():
+            self.chunk[chunk] = b"".join([self.part[p] for p in own])
+        self.part.turn()
+
+    def _all_known(self, part: str) -> bool:
+        return all(map(self.voc.ids.__contains__, part))
+
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.part.__getitem__, self.voc.parts(chunk)))
 
@@ -116,7 +232,9 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
         machine = transducer(model)
         for batch in (part for whole in batches for part in ts.slices(whole, "text")):
             texts = batch.column("text").to_pylist()
+            machine.learn([t for t in texts if t])
             ids = [None if t is None else machine.encode(t) for t in texts]
+            machine.chunk.turn()
             same = [None if i is None else machine.decode(i.tolist()) == t for i, t in zip(ids, texts)]
             length = np.array([0 if i is None else len(i) for i in ids], dtype=np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32(), mask=np.array([i is None for i in ids] + [False]))

@@ -129,6 +129,24 @@ class Remembered(dict):
         super().__init__()
         self.work, self.most, self.old = work, most, {}
 
+    def absent(self, keys) -> list:
+        """The keys for which nothing is held; what is held of old is taken over."""
+        out = []
+        for key in keys:
+            if key not in self:
+                value = self.old.get(key)
+                if value is None:
+                    out.append(key)
+                else:
+                    self[key] = value
+        return out
+
+    def turn(self) -> None:
+        """Called after results were put in: beyond ``most`` they become the old ones; long texts are not kept."""
+        if len(self) > self.most:
+            self.old = {k: v for k, v in self.items() if not isinstance(k, str) or len(k) <= 64}
+            self.clear()
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:

@@ -148,6 +148,30 @@ def test_remembered_results_survive_forgetting():
     assert [small(t) for t in texts] == first == [len(few.encode(t)) for t in texts]
 
 
+def test_many_texts_composed_together_equal_the_library():
+    import sentencepiece
+
+    machine, lib, rnd = transducer(piece_model()), sentencepiece.SentencePieceProcessor(model_file=piece_model()), random.Random(8)
+    bits = ["th", "en", "ción", "heit", "ß", "é", "qu", "日本", "😀", "1", "x", "▁", " ", "  ", "&&&", ".", ",", "'", "\n", "ing", "Ünter", "ñ", "\u0301", "zz", "keitenkeit" * 5]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(100_000)]
+    machine.learn(texts)
+    assert [machine.encode(t).tolist() for t in texts] == lib.encode(texts, num_threads=1)
+    few = type(machine)(machine.voc, most=20)
+    few.learn(texts[:3000])
+    few.chunk.turn()
+    assert [few.encode(t).tolist() for t in texts[:3000]] == [machine.encode(t).tolist() for t in texts[:3000]]
+
+
+def test_pair_stability_is_that_of_merging():
+    from tallyleaf.llm.sentence_pieces import PIECE_BITS
+
+    machine, rnd = transducer(piece_model()), random.Random(9)
+    voc, pieces = machine.voc, list(machine.voc.ids.values())
+    for _ in range(30_000):
+        a, b = rnd.choice(pieces), rnd.choice(pieces)
+        assert machine._stable(a << PIECE_BITS | b) == (voc.merge(machine.letters[a] + machine.letters[b]) == [a, b])
+
+
 # mixing -----------------------------------------------------------------------------------------------------------
 
 
