@@ -3,8 +3,9 @@
 The vectors are dealt into shards by hash of ``vec_id``; a shard keeps, for each of ``PROJECTIONS`` random directions,
 its vectors sorted by projected value. A query opens on every direction a window centred at its own projected value, of
 half-width ``REACH`` times a radius; a vector that lies in at least ``threshold`` windows is verified by its true
-distance. Virtual rehashing widens the windows radius by radius, counting only what the windows newly
-cover, and ends when the k-th best verified distance is within the radius: every vector that near would be in a window with
+distance. Virtual rehashing begins a little below a bound on the k-th distance, taken from the rows that collide most in narrow windows,
+widens the windows radius by radius, counting only what they newly
+cover, and ends when the k-th best verified distance is within the radius, at that bound at the latest: every vector that near would be in a window with
 probability ``P1`` on each direction, so it has been counted often enough but for a chance of about ``MISS``. There is no cap
 on candidates: in the worst case the windows cover the shard and everything is verified.
 """
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROJECTIONS, REACH, GROWTH, MISS = 96, 0.9, 1.15, 0.002
-SHARD_ROWS, QUERY_ROWS = 32768, 2048
+PROJECTIONS, REACH, GROWTH, MISS = 64, 0.9, 1.1, 0.02
+#: Rows that bound the first radius, and where the windows begin below that bound.
+SEEDS, NARROW = 64, 0.9
+SHARD_ROWS, QUERY_ROWS = 32768, 512
 SEED = 11
 
 
@@ -46,6 +49,7 @@ class Shard:
         order = np.argsort(projected, axis=1, kind="stable")
         self.order = order.astype(np.int32)
         self.sorted = np.take_along_axis(projected, order, axis=1)
+        self.squares = (vectors**2).sum(axis=1)
         self.threshold = collision_threshold(projections)
 
     def nearest(self, own_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -53,34 +57,51 @@ class Shard:
         count = len(self.ids)
         centre = query @ self.directions
         gap = 1e-9 * (1.0 + np.abs(centre))
-        low = np.array([np.searchsorted(s, c, "left") for s, c in zip(self.sorted, centre)])
+        low = np.array([s.searchsorted(c) for s, c in zip(self.sorted, centre)])
         high = low.copy()
-        # The first radius is one at which each window would hold k vectors.
-        firsts = [max(abs(s[min(j + k, count - 1)] - c), abs(s[max(j - k, 0)] - c)) for s, j, c in zip(self.sorted, low, centre)]
-        radius = float(np.median(firsts)) / REACH
         hits = np.zeros(count, dtype=np.int32)
         verified = np.zeros(count, dtype=bool)
         best: list[tuple[float, int]] = []
-        while True:
+
+        def verify(rows: np.ndarray) -> None:
+            nonlocal best
+            verified[rows] = True
+            own = self.ids[rows] == own_id
+            own[own] = (self.vectors[rows[own]] == query).all(axis=1)
+            rows = rows[~own]
+            if len(rows):
+                if len(rows) > k:  # all that are about as near as the k-th of them; the rest cannot come in
+                    about = self.squares[rows] - 2.0 * (self.vectors[rows] @ query)
+                    rows = rows[about <= np.partition(about, k - 1)[k - 1] + 1e-9 * (1.0 + self.squares.max() + (query**2).sum())]
+                distance = np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1))
+                order = np.lexsort((self.ids[rows], distance))[:k]
+                best = sorted([*best, *zip(distance[order].tolist(), self.ids[rows][order].tolist())])[:k]
+
+        def widen(radius: float) -> np.ndarray:
+            """Count what the windows of this radius newly cover; the rows counted often enough and not yet verified."""
+            nonlocal low, high
             half = REACH * radius + gap
-            new_low = [np.searchsorted(s, c - h, "left") for s, c, h in zip(self.sorted, centre, half)]
-            new_high = [np.searchsorted(s, c + h, "right") for s, c, h in zip(self.sorted, centre, half)]
+            new_low = np.array([s.searchsorted(v, "left") for s, v in zip(self.sorted, centre - half)])
+            new_high = np.array([s.searchsorted(v, "right") for s, v in zip(self.sorted, centre + half)])
             fresh = [part for o, a, b, c, d in zip(self.order, new_low, low, high, new_high) for part in (o[a:b], o[c:d])]
-            hits += np.bincount(np.concatenate(fresh), minlength=count).astype(np.int32)
-            low, high = new_low, new_high
-            over = np.flatnonzero((hits >= self.threshold) & ~verified)
-            verified[over] = True
-            own = self.ids[over] == own_id
-            own[own] = (self.vectors[over[own]] == query).all(axis=1)
-            over = over[~own]
+            np.add(hits, np.bincount(np.concatenate(fresh), minlength=count), out=hits, casting="unsafe")
+            low, high = np.minimum(low, new_low), np.maximum(high, new_high)
+            return np.flatnonzero((hits >= self.threshold) & ~verified)
+
+        # A few rows that collide most in narrow windows bound the k-th distance from above: it lies at or below that of the k-th of them.
+        firsts = [max(abs(s[min(j + SEEDS, count - 1)] - c), abs(s[max(j - SEEDS, 0)] - c)) for s, j, c in zip(self.sorted, low, centre)]
+        widen(float(np.median(firsts)) / REACH)
+        verify(np.argpartition(-hits, min(SEEDS, count) - 1)[: min(SEEDS, count)])
+        radius = NARROW * best[-1][0] if len(best) == k else math.inf
+        while True:
+            over = widen(radius)
             if len(over):
-                distance = np.sqrt(((self.vectors[over] - query) ** 2).sum(axis=1))
-                order = np.lexsort((self.ids[over], distance))[:k]
-                best = sorted([*best, *zip(distance[order].tolist(), self.ids[over][order].tolist())])[:k]
+                verify(over)
             if (len(best) == k and best[-1][0] <= radius) or verified.all():
                 return best
-            radius = radius * GROWTH if radius > 0 else 1e-6 * (1.0 + float(np.abs(centre).max()))
-            if not np.isfinite(radius) or (min(high) == count and max(low) == 0):
+            # No wider than the k-th distance known: there the search ends at the latest.
+            radius = min(radius * GROWTH, best[-1][0]) if len(best) == k and radius > 0 else math.inf
+            if min(high) == count and max(low) == 0:
                 radius = math.inf
 
 
