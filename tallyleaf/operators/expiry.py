@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyleaf import fixed_values as fv
 from tallyleaf.functions.dates import dates_in, expiry_status, parse_date
+from tallyleaf.operators.registry import Registry, failing_rules
 from tallyleaf.operators.scale import newest_per_key
 
 
@@ -25,8 +26,12 @@ def dates_in_texts(docs: DataFrame, asof: Column, near_days: int = 30) -> DataFr
     return with_status(found.drop("_dates"), asof, near_days)
 
 
-def validate_expiry(items: DataFrame, asof: Column) -> DataFrame:
-    """Reason and confidence for written production and expiry dates, first failing check first."""
+def validate_expiry(items: DataFrame, asof: Column, extra: Registry | None = None) -> DataFrame:
+    """Reason and confidence for written production and expiry dates, first failing check first.
+
+    Where these find nothing, the rules of ``extra`` are tried in turn; they may use the columns of ``items`` and the parsed dates ``_p`` and ``_e``,
+    and the first that does not hold gives its name as the reason.
+    """
     p, e = F.col("_p"), F.col("_e")
     left = F.datediff(e, asof)
     reason = (
@@ -37,7 +42,11 @@ def validate_expiry(items: DataFrame, asof: Column) -> DataFrame:
     sure = (F.when(F.col("reason").endswith("unreadable"), 0.0).when(F.col("reason").isin("production_in_future", "reversed"), 0.5)
             .when(F.col("reason") == "over_ten_years", 0.7).when(F.col("reason") == "near_expiry", 0.9).otherwise(1.0))
     parsed = items.withColumn("_p", parse_date(F.col("production"))).withColumn("_e", parse_date(F.col("expiry")))
-    return parsed.withColumn("reason", reason).withColumn("confidence", sure).withColumn(
+    judged = parsed.withColumn("reason", reason)
+    if extra is not None:
+        broken = F.get(F.col("_broken"), F.lit(0))
+        judged = failing_rules(judged, extra, "_broken").withColumn("reason", F.when(F.col("reason").isin("ok", "near_expiry"), F.coalesce(broken, "reason")).otherwise(F.col("reason"))).drop("_broken")
+    return judged.withColumn("confidence", sure).withColumn(
         "is_valid", F.col("reason").isin("ok", "near_expiry")).drop("_p", "_e")
 
 

@@ -146,6 +146,50 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
         levels.append(level)
 
 
+def lineage_paths(edges: DataFrame, sources: DataFrame, outputs: DataFrame, max_depth: int) -> DataFrame:
+    """``source, output, path, length``: every path from a source to an output over at most ``max_depth`` edges that visits no node twice.
+
+    ``edges`` has ``src, dst``; nodes may have several parents, repeated edges count once. Each round joins the open paths with the edges on their last
+    node and is written once; a hot node's paths are spread by Spark's skew handling, as the join key alone carries no order. The number of
+    paths can grow with the power of the depth: ``path_counts`` says how many there are without listing them. Runs jobs when called.
+    """
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    outputs = outputs.select(F.col("node_id").alias("output")).distinct()
+    level = cut_lineage(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("src"), F.array("node_id").alias("path")).distinct())
+    found = []
+    for length in range(1, max_depth + 1):
+        level = cut_lineage(level.join(edges, "src").where(~F.array_contains("path", F.col("dst"))).select(
+            "source", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
+        if level.isEmpty():
+            break
+        found.append(level.join(outputs, level["src"] == outputs["output"]).select("source", "output", "path", F.lit(length).alias("length")))
+    if not found:
+        return level.limit(0).select("source", F.col("src").alias("output"), "path", F.lit(0).alias("length"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def path_counts(edges: DataFrame, sources: DataFrame, outputs: DataFrame, max_depth: int) -> DataFrame:
+    """``source, output, paths, shortest, longest`` over at most ``max_depth`` edges, without listing a path.
+
+    Numbers of ways are summed per (source, node) and level, so a wide graph costs its pairs, not its paths. For graphs without cycles; one that
+    still goes on after ``max_depth`` edges is an error, since ways and paths part there. Counts are decimals of 38 digits. Runs jobs when called.
+    """
+    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    level = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("src"), F.lit(1).cast("decimal(38,0)").alias("ways")).distinct()
+    levels = []
+    for length in range(1, max_depth + 2):
+        level = cut_lineage(level.join(edges, "src").groupBy("source", "dst").agg(F.sum("ways").cast("decimal(38,0)").alias("ways")).select("source", F.col("dst").alias("src"), "ways"))
+        if level.isEmpty():
+            break
+        if length > max_depth:
+            raise ValueError(f"the lineage goes on after {max_depth} edges: a cycle, or a larger max_depth is needed")
+        levels.append(level.withColumn("length", F.lit(length)))
+    every = reduce(DataFrame.unionByName, levels) if levels else level.withColumn("length", F.lit(0))
+    ends = every.join(outputs.select(F.col("node_id").alias("src")).distinct(), "src")
+    return ends.groupBy("source", F.col("src").alias("output")).agg(
+        F.sum("ways").cast("decimal(38,0)").alias("paths"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
+
+
 # --- webhooks -----------------------------------------------------------------------------------------------
 
 

@@ -30,6 +30,22 @@ def latency_percentiles(spark, d):
     return rounded(mon.latency_percentiles(v.requests(spark, d), ["endpoint"]), 6, "avg")
 
 
+@query("A06_sketch_percentiles", """SELECT endpoint, label, count(*) AS n, true AS within_bound FROM requests, (VALUES ('p50'), ('p95'), ('p99')) AS l(label) GROUP BY 1, 2""")
+def sketch_percentiles(spark, d):
+    """Percentiles of each endpoint from hourly sketches, held against the exact ranks of the values they name."""
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    requests = v.requests(spark, d)
+    found = mon.sketch_percentiles(mon.latency_sketches(requests, ["endpoint"]), ["endpoint"], probs)
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(p).alias("p"), F.col(k).alias("q")) for k, p in probs.items()])).alias("w")
+    long = found.select("endpoint", "n", wanted).select("endpoint", "n", "w.*")
+    ranked = requests.join(F.broadcast(long), "endpoint").groupBy("endpoint", "label", "n", "p").agg(
+        F.count_if(F.col("duration_ms") < F.col("q")).alias("below"), F.count_if(F.col("duration_ms") <= F.col("q")).alias("upto"))
+    # The value named holds all ranks from below to upto; the nearest of them counts.
+    slack = mon.sketch_rank_error() * F.col("n") + 1
+    within = (F.col("below") - slack <= F.col("p") * F.col("n")) & (F.col("p") * F.col("n") <= F.col("upto") + slack)
+    return ranked.select("endpoint", "label", "n", within.alias("within_bound"))
+
+
 @query("A07_top_endpoints", "WITH " + RANKED + """ SELECT c.endpoint, requests, errors,
     ROUND(100.0::DOUBLE * errors / greatest(requests, 1), 2) AS error_rate, ROUND(p50, 2) AS p50_ms, ROUND(p95, 2) AS p95_ms, ROUND(p99, 2) AS p99_ms
     FROM (SELECT endpoint, count(*) AS requests, count(*) FILTER (status_code >= 400) AS errors FROM requests GROUP BY 1

@@ -108,6 +108,41 @@ def descendants(spark, d):
     return ops.descendants(edges, nodes.where("turn = 1")).groupBy("source").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
 
 
+#: A graph with several parents: nations lead to customers and suppliers, both lead to orders; a few orders lead back to a nation.
+MADE_FROM = """made(src, dst) AS (SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+    UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 's' || l_suppkey, 'o' || l_orderkey FROM lineitem)"""
+BACK = "SELECT 'o' || o_orderkey, 'n' || c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5000 = 0"
+
+
+def made_from(spark, d):
+    def edges(name, src, dst, *keys):
+        return v.table(spark, d, name).select(F.concat(F.lit(src), keys[0]).alias("src"), F.concat(F.lit(dst), keys[1]).alias("dst"))
+
+    there = edges("customer", "n", "c", "c_nationkey", "c_custkey").unionByName(edges("supplier", "n", "s", "s_nationkey", "s_suppkey")).unionByName(
+        edges("orders", "c", "o", "o_custkey", "o_orderkey")).unionByName(edges("lineitem", "s", "o", "l_suppkey", "l_orderkey"))
+    nations = v.table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"))
+    return there, nations, v.table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node_id"))
+
+
+@query("J13_source_output_paths", f"""WITH RECURSIVE {MADE_FROM}, e AS (SELECT * FROM made UNION {BACK}),
+  p AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS node, ['n' || n_nationkey] AS path FROM nation UNION ALL
+    SELECT p.source, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst) AND len(p.path) <= 4)
+  SELECT source, node AS output, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS length FROM p WHERE node LIKE 'o%'""")
+def source_output_paths(spark, d):
+    there, nations, orders = made_from(spark, d)
+    customers = v.table(spark, d, "customer")
+    back = v.table(spark, d, "orders").where("o_orderkey % 5000 = 0").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    return ops.lineage_paths(there.unionByName(back), nations, orders, 4).withColumn("path", F.array_join("path", ">"))
+
+
+@query("J13_path_counts", f"""WITH RECURSIVE {MADE_FROM},
+  p AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS node, 0 AS length FROM nation UNION ALL SELECT p.source, made.dst, p.length + 1 FROM p JOIN made ON made.src = p.node)
+  SELECT source, node AS output, count(*) AS paths, min(length) AS shortest, max(length) AS longest FROM p WHERE node LIKE 'o%' GROUP BY 1, 2""")
+def path_counts(spark, d):
+    return ops.path_counts(*made_from(spark, d), 3).withColumn("paths", F.col("paths").cast("bigint"))
+
+
 @query("J09_fan_out", """SELECT s.sub_id, e.event_type, count(*) AS deliveries FROM wh_events e JOIN (SELECT sub_id, tenant_id, unnest(events) AS event_type FROM wh_subs WHERE active) s
     ON e.tenant_id = s.tenant_id AND e.event_type = s.event_type GROUP BY 1, 2""")
 def fan_out(spark, d):
