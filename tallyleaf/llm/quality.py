@@ -91,20 +91,23 @@ def column_statistics(column) -> dict[str, np.ndarray]:
 def fit_trees(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Forest:
     """Trees for ``labels.quality`` over at most ``labelled_rows`` labelled documents.
 
-    Labels without ``doc_id`` or ``quality`` are left out. Without labels, or with one class, every document scores alike
-    and only the fixed limits decide.
+    Labels without ``doc_id`` or ``quality`` are left out; of several for one ``doc_id`` the smallest counts, and of several documents that share one
+    the first by a hash of the text, so at most ``labelled_rows`` rows reach the driver. Without labels, or with one class, every document
+    scores alike and only the fixed limits decide.
     """
-    sample = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("doc_id is not null and _quality is not null").orderBy(
-        F.xxhash64("doc_id"), "doc_id", "_quality").limit(labelled_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("_quality")).where("doc_id is not null and _quality is not null")
+    sample = known.groupBy("doc_id").agg(F.min("_quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_order")).join(F.broadcast(sample), "doc_id")
 
     def run(batches):
         ts.claim("quality")
         for batch in batches:
             x = features(column_statistics(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("_quality"), batch.column("doc_id")], ["x", "y", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("_quality"), batch.column("doc_id"), batch.column("_order")],
+                                             ["x", "y", "doc_id", "place"])
 
-    got = rows.select("text", "_quality", "doc_id").mapInArrow(run, "x array<double>, y int, doc_id long").collect()
+    seen = rows.select("text", "_quality", "doc_id", "_order").mapInArrow(run, "x array<double>, y int, doc_id long, place long")
+    got = seen.groupBy("doc_id").agg(F.min_by(F.struct("y", "x"), "place").alias("first")).select("doc_id", "first.*").collect()
     got.sort(key=lambda r: (r.doc_id, r.y, r.x))
     x = np.array([r.x for r in got], dtype=float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([float(r.y > 0) for r in got]), np.array(list(FEATURES.values())))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyleaf.operators.scale import positions
+
 ROLES = ("system", "user", "assistant")
 STATES = [(role, opens) for role in ROLES for opens in (True, False)]
 #: Marker words of each role, and the styles in which transcripts are written.
@@ -100,9 +102,14 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in turns)
 
 
-def write_transcript(turns: list[tuple[str, str]], style: int) -> str:
-    gap = "\n\n" if not STYLES[style]["user"] else "\n"
-    return gap.join(STYLES[style][role] + text for role, text in turns)
+def write_transcript(turns: list[tuple[str | None, str]], style: int) -> str:
+    """Turns of no known role stand unmarked between blank lines, as all do in a style without markers."""
+    out = []
+    for k, (role, text) in enumerate(turns):
+        if k:
+            out.append("\n" if STYLES[style].get(role) and STYLES[style].get(turns[k - 1][0]) else "\n\n")
+        out.append(STYLES[style].get(role, "") + text)
+    return "".join(out)
 
 
 def known_states(turns: list[tuple[str, str]], style: int) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -123,18 +130,23 @@ def style_of(conv_id: Column) -> Column:
 
 
 def turn_lists(conversations: DataFrame) -> DataFrame:
-    """``conv_id, segment, turns``: the turns in order, cut after each ``SEGMENT_TURNS`` turn numbers so no row grows without bound.
+    """``conv_id, segment, turns``: all turns in order, cut after each ``SEGMENT_TURNS`` rows so that no row grows without bound.
 
-    Rows without a known role are left out; a null text is an empty turn; equal turn numbers are ordered by role and text.
+    A role that is not known is null; a null text is an empty turn; turns without a number come first, equal numbers are ordered by role and
+    text, fully equal rows stand one after the other. The place of a row is found by running counts over blocks of turn numbers: a
+    conversation with a large share of all rows is never ordered in one task.
     """
-    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).where(F.col("role").isin(*ROLES))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return rows.groupBy("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT_TURNS).cast("bigint").alias("segment")).agg(turns.alias("turns"))
+    role = F.when(F.col("role").isin(*ROLES), F.col("role"))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    block = F.coalesce(F.floor(F.col("turn") / SEGMENT_TURNS), F.lit(-(1 << 62))).cast("bigint")
+    placed = positions(rows, ["conv_id"], block, [F.col("turn").asc_nulls_first(), "role", "text"], "place")
+    turns = F.sort_array(F.collect_list(F.struct("place", "role", "text")))
+    return placed.groupBy("conv_id", F.floor((F.col("place") - 1) / SEGMENT_TURNS).cast("bigint").alias("segment")).agg(turns.alias("turns"))
 
 
 def fit_model(conversations: DataFrame) -> Model:
-    """Counts over the transcripts of all conversations outside the held-out quarter; only the counts reach the driver."""
-    known = turn_lists(conversations.where(~held_out(F.col("conv_id")))).withColumn("style", style_of(F.col("conv_id")))
+    """Counts over the transcripts of all conversations outside the held-out quarter, turns of known roles; only the counts reach the driver."""
+    known = turn_lists(conversations.where(~held_out(F.col("conv_id")) & F.col("role").isin(*ROLES))).withColumn("style", style_of(F.col("conv_id")))
 
     def run(batches):
         counts: dict[str, int] = {}
@@ -182,7 +194,9 @@ def write_transcripts(conversations: DataFrame) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """``conv_id, segment, held_out, n_turns, roles, rendered_sha256``: every conversation as a transcript, parsed and rendered again.
 
-    ``roles`` are the recovered roles in order, comma-joined. An empty table gives no rows.
+    ``roles`` are the recovered roles in order, comma-joined. Turns without a known role are given one by their lines; a conversation without
+    any text has a row with zero turns. Very long texts are lines like others; equal likelihoods go to the earlier state. Other columns
+    are ignored; a null ``conv_id`` is a conversation. An empty table gives no rows.
     """
     parsed = parse_transcripts(write_transcripts(conversations), fit_model(conversations))
     roles = F.array_join(F.transform("turns", lambda t: t["role"]), ",")

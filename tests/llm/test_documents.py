@@ -1,6 +1,7 @@
 """Per-document operators against brute force, the tokenizer's own library and round trips."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -97,6 +98,9 @@ def test_quality_counts_and_verdicts(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
     out = judge(docs, labels)
     assert out.columns[:4] == ["doc_id", "text", "source", "n_words"] and out.where("_kept").count() == sum(kept.values())
+    again = docs.unionByName(docs.where("doc_id = 2").crossJoin(spark.range(3000)).drop("id").withColumn("text", F.concat("text", F.rand().cast("string"))))
+    twice = labels.unionByName(spark.createDataFrame([(2, i % 2, 0) for i in range(3000)], labels.schema))
+    assert {r.doc_id: r.n_words for r in quality_verdicts(again, twice).collect()} == {i: brute_counts(t)[0] for i, t in enumerate(texts)}
     nothing = quality_verdicts(docs, labels.limit(0)).collect()
     assert all(r.kept != r.base_failed for r in nothing)
     assert quality_verdicts(docs.limit(0), labels).count() == 0
@@ -332,6 +336,24 @@ def test_secrets_of_the_given_documents(spark):
 # chat -------------------------------------------------------------------------------------------------------------
 
 
+def test_viterbi_finds_the_likeliest_of_all_paths():
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        counts = {f"{kind}:{a}:{b}": int(rng.integers(0, 30)) for kind, n, m in ((0, 6, 1), (1, 6, 6), (2, 6, 4), (3, 6, 3), (4, 6, 8)) for a in range(n) for b in range(m)}
+        model = transcripts.Model(counts)
+        seen = [tuple(int(rng.integers(0, k)) for k in transcripts.FEATURES) for _ in range(trial % 5)]
+        if not seen:
+            assert model.states(seen) == []
+            continue
+
+        def likelihood(path):
+            steps = sum(model.step[a, b] for a, b in zip(path, path[1:]))
+            return model.start[path[0]] + steps + sum(e[s, o[k]] for s, o in zip(path, seen) for k, e in enumerate(model.emit))
+
+        best = max(itertools.product(range(6), repeat=len(seen)), key=likelihood)
+        assert likelihood(model.states(seen)) == pytest.approx(likelihood(best), abs=1e-9)
+
+
 def test_transcripts_recover_roles_and_texts(spark):
     rnd = random.Random(12)
     rows, truth = [], {}
@@ -347,9 +369,17 @@ def test_transcripts_recover_roles_and_texts(spark):
     out = {r.conv_id: r for r in transcripts.format_conversations(conv).collect()}
     held = [c for c in truth if out[c].held_out]
     right = [c for c in held if out[c].rendered_sha256 == hashlib.sha256(transcripts.render(truth[c]).encode()).hexdigest()]
-    assert len(right) >= 0.9 * len(held) and 900 not in out
+    assert len(right) >= 0.9 * len(held)
+    assert (out[900].n_turns, out[901].n_turns) == (1, 0) and out[None].n_turns == 1
     assert transcripts.format_conversations(conv.limit(0)).count() == 0
     model = transcripts.fit_model(conv)
+    mixed = spark.createDataFrame([(7, 1, "user", "may I ask this?"), (7, 2, "tool", "looked up"), (7, None, None, "before all"), (7, 3, "assistant", " ".join(["word"] * 40)), (8, 0, None, None)],
+                                  "conv_id long, turn int, role string, text string")
+    told = {r.conv_id: r.text for r in transcripts.write_transcripts(mixed).collect()}
+    assert set(told) == {7, 8} and all(x in told[7] for x in ("before all", "may I ask this?", "looked up", "word word")) and told[7].index("before all") == 0
+    same = spark.createDataFrame([(5, 1, "user", f"turn {i % 3}") for i in range(2500)] + [(5, None, "user", "none")] * 1200, "conv_id long, turn int, role string, text string").repartition(5)
+    lists = transcripts.turn_lists(same).collect()
+    assert sorted(len(r.turns) for r in lists) == [628, 1024, 1024, 1024] and sorted(r.segment for r in lists) == [0, 1, 2, 3]
     answer = " ".join("yes" for _ in range(30))  # as long as the answers that the model has seen
     given = spark.createDataFrame([(1, 0, None), (2, 0, " \n"), (3, 0, f"Human: may I ask this?\nAI: {answer}")], "conv_id long, segment long, text string")
     parsed = {r.conv_id: [tuple(t) for t in r.turns] for r in transcripts.parse_transcripts(given, model).collect()}
