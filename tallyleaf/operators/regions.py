@@ -256,6 +256,66 @@ def assign_columns(regions: DataFrame, page: str = "doc_id", most_rounds: int =
     return regions.select(page, "region_id", "x1", "x2").groupBy(page).applyInPandas(fit, f"{page} bigint, region_id bigint, column_no bigint")
 
 
+def exact_columns(regions: DataFrame, page: str = "doc_id", most: int = 5, spread: float = 100.0) -> DataFrame:
+    """``page, region_id, column_no, columns``: the best cut of each page's x centres into columns, numbered from the left.
+
+    For one dimension the best groups are runs of the sorted centres, so the least sum of squares for k groups follows from that for k - 1
+    by trying every last cut; the smallest k from 2 to ``most`` whose sum lies under ``spread`` a region is taken, else one column. Exact, without
+    seeds or rounds, and all in expressions over one array a page (a page is assumed to be a page). Of equal cuts the one furthest left counts; of
+    equal centres those at a cut are told apart by ``region_id``.
+    """
+    centre = (F.col("x1") + F.col("x2")) / 2.0
+    pages = regions.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(centre.alias("x"), "region_id"))).alias("r"))
+    zero = F.array(F.lit(0.0))
+    pages = pages.withColumn("n", F.size("r"))
+    # Running sums of the centres and of their squares.
+    pages = pages.withColumn("p", F.aggregate("r", zero, lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["x"]))))
+    pages = pages.withColumn("q", F.aggregate("r", zero, lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["x"] * s["x"]))))
+
+    def scatter(a: Column, b: Column) -> Column:
+        """Sum of squares of the centres from place a (from 0) up to b, b left out."""
+        total = F.get("p", b) - F.get("p", a)
+        return F.get("q", b) - F.get("q", a) - total * total / (b - a)
+
+    no_cut = F.lit(0).cast("int")
+    best = F.transform(F.sequence(F.lit(0), F.col("n")), lambda j: F.when(j > 0, F.struct(scatter(no_cut, j).alias("s"), F.array().cast("array<int>").alias("cuts"))))
+    pages = pages.withColumn("b1", best)
+
+    def layer(k: int) -> Column:
+        """Best cuts into k groups of the first j centres, for every j."""
+        def best_last(j: Column) -> Column:
+            ways = F.transform(F.sequence(F.lit(k - 1), j - 1), lambda i: F.struct(
+                (F.get(f"b{k - 1}", i)["s"] + scatter(i, j)).alias("s"), F.concat(F.get(f"b{k - 1}", i)["cuts"], F.array(i)).alias("cuts")))
+            return F.when(j >= k, F.array_min(ways))
+
+        return F.transform(F.sequence(F.lit(0), F.col("n")), best_last)
+
+    for k in range(2, most + 1):
+        pages = pages.withColumn(f"b{k}", layer(k))
+    fits = [F.when(F.get(f"b{k}", F.col("n"))["s"] < F.col("n") * spread, F.get(f"b{k}", F.col("n"))["cuts"]) for k in range(2, most + 1)]
+    cuts = F.coalesce(*fits, F.array().cast("array<int>"))
+    rows = pages.select(page, cuts.alias("cuts"), F.posexplode("r").alias("place", "r"))
+    return rows.select(page, "r.region_id", F.size(F.filter("cuts", lambda c: c <= F.col("place"))).cast("bigint").alias("column_no"), (F.size("cuts") + 1).cast("bigint").alias("columns"))
+
+
+def vector_clusters(vectors: DataFrame, k: int, seed: int = 7, rounds: int = 40) -> DataFrame:
+    """``vec_id, cluster, distance``: k-means over the embeddings of one length, scaled to unit length, from fixed seeds.
+
+    Null vectors and those with a null component take no part. The centres (k vectors) are all that reaches the driver.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    usable = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
+    model = Pipeline(stages=[Normalizer(inputCol="raw", outputCol="unit"), KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="unit", predictionCol="cluster")]).fit(usable)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.stages[-1].clusterCenters()])
+    apart = F.zip_with(vector_to_array("unit"), F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b))
+    return model.transform(usable).select("vec_id", "cluster", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda t, x: t + x)).alias("distance"))
+
+
 def block_counts(blocks: DataFrame, page: str = "doc_id") -> DataFrame:
     """Blocks per type and page."""
     return blocks.groupBy(page).pivot("type", ["text", "table", "seal", "chart", "formula", "image"]).agg(F.count(F.lit(1))).na.fill(0)

@@ -191,6 +191,33 @@ def assign_columns(spark, d):
     return ops.assign_columns(v.regions(spark, d))
 
 
+def scatter_sql(i: str, j: str) -> str:
+    total = f"(p[{j} + 1] - p[{i} + 1])"
+    return f"(q[{j} + 1] - q[{i} + 1] - {total} * {total} / ({j} - {i}))"
+
+
+def cuts_sql(k: int) -> str:
+    way = f"struct_pack(s := b{k - 1}[i + 1].s + {scatter_sql('i', 'j')}, cuts := list_append(b{k - 1}[i + 1].cuts, CAST(i AS INTEGER)))"
+    return f"c{k} AS (SELECT *, list_transform(range(0, n + 1), lambda j: CASE WHEN j >= {k} THEN list_min(list_transform(range({k - 1}, j), lambda i: {way})) END) AS b{k} FROM c{k - 1})"
+
+
+@query("W15_exact_columns", f"""WITH g AS (SELECT doc_id, list_sort(list(struct_pack(x := (x1 + x2) / 2.0::DOUBLE, region_id := region_id))) AS r FROM regions GROUP BY 1),
+  h AS (SELECT *, len(r) AS n, list_reduce(list_concat([[0.0::DOUBLE]], list_transform(r, lambda s: [s.x])), lambda a, x: list_append(a, a[-1] + x[1])) AS p,
+    list_reduce(list_concat([[0.0::DOUBLE]], list_transform(r, lambda s: [s.x * s.x])), lambda a, x: list_append(a, a[-1] + x[1])) AS q FROM g),
+  c1 AS (SELECT *, list_transform(range(0, n + 1), lambda j: CASE WHEN j > 0 THEN struct_pack(s := {scatter_sql('0', 'j')}, cuts := CAST([] AS INTEGER[])) END) AS b1 FROM h),
+  {', '.join(cuts_sql(k) for k in range(2, 6))},
+  f AS (SELECT doc_id, r, coalesce({', '.join(f'CASE WHEN b{k}[n + 1].s < n * 100.0 THEN b{k}[n + 1].cuts END' for k in range(2, 6))}, []) AS cuts FROM c5)
+  SELECT doc_id, r[i].region_id AS region_id, CAST(len(list_filter(cuts, lambda c: c <= i - 1)) AS BIGINT) AS column_no, CAST(len(cuts) + 1 AS BIGINT) AS columns
+  FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM f)""")
+def exact_columns(spark, d):
+    return ops.exact_columns(v.regions(spark, d))
+
+
+@query("W15_embedding_clusters")
+def embedding_clusters(spark, d):
+    return ops.vector_clusters(v.table(spark, d, "embeddings"), 10)
+
+
 def blocks(spark, d):
     r = v.regions(spark, d)
     kinds = ["text", "text", "text", "table", "seal", "chart", "formula", "image"]

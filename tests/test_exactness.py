@@ -114,3 +114,51 @@ def test_alert_points_of_all_rules(spark):
     got = {r.rule: (r.n, r.all, round(r.v, 3)) for r in points.collect()}
     assert got == {"error_share": (10, True, .5), "hourly_error_share": (120, True, .5), "fallback_share": (20, True, .5),
                    "limiter_hits": (10, True, 10.003), "p95_latency": (10, True, 9.75)}
+
+
+def test_exact_columns_are_the_best_cut(spark):
+    import itertools
+    import random
+
+    from tallyleaf.operators.regions import exact_columns
+
+    rnd, rows, want = random.Random(2), [], {}
+    for page in range(40):
+        groups = rnd.randint(1, 6)
+        xs = [rnd.randint(0, 30) + 200 * rnd.randrange(groups) for _ in range(rnd.randint(1, 11))]
+        rows += [(page, i, float(x), float(x + 10)) for i, x in enumerate(xs)]
+        order = sorted((x + 5.0, i) for i, x in enumerate(xs))
+
+        def scatter(run):
+            mean = sum(x for x, _ in run) / len(run)
+            return sum((x - mean) ** 2 for x, _ in run)
+
+        best = None
+        for k in range(2, 6):
+            ways = [[order[a:b] for a, b in zip((0, *cut), (*cut, len(order)))] for cut in itertools.combinations(range(1, len(order)), k - 1)]
+            least = min((sum(map(scatter, w)) for w in ways), default=None)
+            if least is not None and least < 100 * len(order):
+                best = k, least
+                break
+        want[page] = best, order
+    got = {}
+    for r in exact_columns(spark.createDataFrame(rows, "doc_id long, region_id long, x1 double, x2 double")).collect():
+        got.setdefault(r.doc_id, {})[r.region_id] = (r.column_no, r.columns)
+    for page, (best, order) in want.items():
+        numbers = [got[page][i][0] for _, i in order]
+        assert numbers == sorted(numbers) and {c for _, c in got[page].values()} == {best[0] if best else 1}
+        if best:
+            runs = [[o for o, n in zip(order, numbers) if n == k] for k in range(best[0])]
+            assert abs(sum(map(scatter, runs)) - best[1]) < 1e-6
+
+
+def test_embedding_clusters_gather_what_is_near(spark):
+    import random
+
+    from tallyleaf.operators.regions import vector_clusters
+
+    rnd = random.Random(3)
+    rows = [(i, [float(k == i % 4) * 5 + rnd.gauss(0, 0.2) for k in range(4)]) for i in range(200)] + [(900, None), (901, [None] * 4)]
+    out = {r.vec_id: (r.cluster, r.distance) for r in vector_clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4).collect()}
+    assert len(out) == 200 and len({c for c, _ in out.values()}) == 4
+    assert all(len({out[i][0] for i in range(200) if i % 4 == k}) == 1 for k in range(4)) and max(d for _, d in out.values()) < 0.5
