@@ -26,10 +26,6 @@ def parse_date(text: Column) -> Column:
     return layout_and_date(text)["date"]
 
 
-def date_layout(text: Column) -> Column:
-    return layout_and_date(text)["layout"]
-
-
 def add_shelf_life(start: Column, amount: Column, unit: Column, policy: str = "day28") -> Column:
     """Expiry date. ``day28`` caps the day of a month-based life at 28; ``calendar`` uses calendar months."""
     months = F.when(unit.isin("个月", "月"), amount)
@@ -48,12 +44,10 @@ def add_shelf_life(start: Column, amount: Column, unit: Column, policy: str = "d
 
 def compute_expiry(production: Column, shelf_life: Column, policy: str = "day28") -> Column:
     """Expiry from written production date and shelf life; null when either cannot be read."""
-    form = r"(\d{4})\s*[-/年.]\s*(\d{1,2})\s*[-/月.]\s*(\d{1,2})"
-    parts = [F.nullif(F.regexp_extract(production, form, i), F.lit("")) for i in (1, 2, 3)]
+    parts = [F.nullif(F.regexp_extract(production, fv.WRITTEN_DATE, i), F.lit("")) for i in (1, 2, 3)]
     start = F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
-    life = r"^(\d+)\s*(天|日|个月|月|年)"
-    amount = F.nullif(F.regexp_extract(shelf_life, life, 1), F.lit("")).try_cast("int")
-    return add_shelf_life(start, amount, F.regexp_extract(shelf_life, life, 2), policy)
+    amount = F.nullif(F.regexp_extract(shelf_life, fv.WRITTEN_LIFE, 1), F.lit("")).try_cast("int")
+    return add_shelf_life(start, amount, F.regexp_extract(shelf_life, fv.WRITTEN_LIFE, 2), policy)
 
 
 def expiry_status(expiry: Column, asof: Column, near_days: int = 30) -> Column:
@@ -66,13 +60,10 @@ def dates_in(text: Column) -> Column:
     def found(pattern: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         return F.filter(F.transform(hits, lambda m: F.try_to_date(F.concat_ws(
-            "-", F.regexp_extract(m, r"(\d{4})\D?(\d{1,2})\D?(\d{1,2})", 1),
-            F.lpad(F.regexp_extract(m, r"(\d{4})\D?(\d{1,2})\D?(\d{1,2})", 2), 2, "0"),
-            F.lpad(F.regexp_extract(m, r"(\d{4})\D?(\d{1,2})\D?(\d{1,2})", 3), 2, "0")), "yyyy-MM-dd")), lambda x: x.isNotNull())
+            "-", F.regexp_extract(m, fv.DATE_PARTS, 1), F.lpad(F.regexp_extract(m, fv.DATE_PARTS, 2), 2, "0"),
+            F.lpad(F.regexp_extract(m, fv.DATE_PARTS, 3), 2, "0")), "yyyy-MM-dd")), lambda x: x.isNotNull())
 
-    labelled = F.concat(found(r"生产日期[:：]\d{4}[-/年]\d{1,2}[-/月]\d{1,2}"), found(r"有效期至[:：]\d{4}[-/年]\d{1,2}[-/月]\d{1,2}"))
-    generic = F.concat(found(r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}"), found(r"\d{8}"))
-    return F.array_distinct(F.concat(labelled, generic))
+    return F.array_distinct(F.concat(*[found(p) for p in fv.TEXT_DATES]))
 
 
 def barcode_check(code: Column) -> Column:

@@ -338,16 +338,23 @@ def page_markdown(blocks: DataFrame, page: str = "doc_id") -> DataFrame:
     return rows.groupBy(page).agg(F.array_join(F.transform(item, lambda s: s["_m"]), "\n").alias("markdown"))
 
 
+def banded(value: Column, bands: list[tuple], otherwise: int, holds) -> Column:
+    """Points of the first band, in order, that the value lies in."""
+    points = F.lit(otherwise)
+    for edge, given in reversed(bands):
+        points = F.when(holds(value, edge), given).otherwise(points)
+    return points
+
+
 def quality_route(metrics: DataFrame) -> DataFrame:
     """Page quality score and route from a table of image measurements."""
-    side = F.least("width", "height")
-    sharp, bright, edge = F.col("sharpness"), F.col("brightness"), F.col("edge_energy")
-    score = (
-        F.when(side >= 2000, 40).when(side >= 1200, 30).when(side >= 800, 20).when(side >= 500, 10).otherwise(0)
-        + F.when(sharp > 50, 30).when(sharp > 30, 20).when(sharp > 15, 10).otherwise(0)
-        + F.when(bright.between(60, 200), 15).when(bright.between(40, 220), 10).otherwise(5)
-        + F.when(edge > 5, 15).when(edge > 2, 10).otherwise(5)
-    )
+    side, bright = F.least("width", "height"), F.col("brightness")
+    sharp, edge = F.col("sharpness"), F.col("edge_energy")
+    light = F.lit(5)
+    for low, high, points in reversed(fv.LIGHT_BANDS):
+        light = F.when(bright.between(low, high), points).otherwise(light)
+    score = (banded(side, fv.SIDE_BANDS, 0, lambda c, x: c >= x) + banded(sharp, fv.SHARPNESS_BANDS, 0, lambda c, x: c > x) + light
+             + banded(edge, fv.EDGE_BANDS, 5, lambda c, x: c > x))
     ratio = F.col("width") / F.greatest("height", F.lit(1))
     route = (
         F.when((F.col("score") >= 70) & (ratio > 0.3) & (ratio < 3.0), "full").when((ratio < 0.2) | (ratio > 5.0), "ocr_only")
@@ -359,8 +366,9 @@ def quality_route(metrics: DataFrame) -> DataFrame:
 def preprocessing_strategy(metrics: DataFrame) -> DataFrame:
     """Second scorer: deductions for blur, darkness, contrast and edge density, with the advised strategy."""
     sharp, bright, contrast, density = (F.col(c) for c in ("sharpness", "brightness", "contrast", "edge_density"))
-    lost = (F.when(sharp < 30, 30).when(sharp < 60, 10).otherwise(0) + F.when(bright < 40, 25).when(bright < 80, 10).otherwise(0)
-            + F.when(contrast < 30, 20).when(contrast > 80, 5).otherwise(0) + F.when(density < 0.001, 15).when(density < 0.01, 5).otherwise(0))
+    under = lambda c, x: c < x
+    lost = banded(sharp, fv.BLUR_LOSS, 0, under) + banded(bright, fv.DARK_LOSS, 0, under) + banded(density, fv.DENSITY_LOSS, 0, under)
+    lost = lost + banded(contrast, fv.CONTRAST_LOSS, 0, lambda c, x: c < x if x < fv.HIGH_CONTRAST else c > x)
     strategy = (F.when((bright < 40) & (contrast < 30), "dark_low_contrast").when((sharp < 30) & (contrast < 30), "blurry")
                 .when(contrast < 30, "low_contrast").when(bright < 40, "dark").when(contrast > 80, "high_contrast").otherwise("normal"))
     return metrics.withColumn("quality_score", F.greatest(F.lit(0), 100 - lost)).withColumn("strategy", strategy)

@@ -43,18 +43,6 @@ def script_profile(docs: DataFrame) -> DataFrame:
     return out.withColumn("detected", tx.dominant_language(named, F.col("total_chars")))
 
 
-def older_language_vote(docs: DataFrame) -> DataFrame:
-    """The plain vote by character counts: Korean, Japanese, then other letters and digits win ties; else Chinese."""
-    text = F.col("text")
-    zh, ja, ko = (tx.char_count(text, p) for p in ("[一-鿿]", "[぀-ゟ゠-ヿ]", "[가-힯]"))
-    letters = tx.char_count(text, r"[\p{L}\p{N}]") - zh - ja - ko
-    other = F.length(text) - letters - zh - ja - ko
-    top = F.greatest(zh, letters, ja, ko, other)
-    vote = (F.when((ko == top) & (ko > 0), "ko").when((ja == top) & (ja > 0), "ja")
-            .when((letters == top) & (letters > 0), "en").otherwise("zh"))
-    return docs.withColumn("voted", vote)
-
-
 def language_confusion(profiled: DataFrame) -> DataFrame:
     """Declared language against detected language, in long form."""
     return profiled.groupBy("lang", "detected").agg(F.count("*").alias("docs"))
@@ -124,7 +112,7 @@ def mask_corpus(docs: DataFrame, kind: str = "partial", types: list[str] | None
 
 
 def mask_table(df: DataFrame, kind: str = "partial") -> DataFrame:
-    """Mask every string of a table whose key name is sensitive or whose value holds sensitive data.
+    """Mask what is sensitive in every string of a table; values decide, the names of their keys do not.
 
     Nested structs, arrays and map values are walked through the schema; the masking itself only rewrites matched text.
     """
@@ -238,37 +226,18 @@ def product_attributes(df: DataFrame, text: str) -> DataFrame:
     def every(pattern, group=0):
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    flavours = F.filter(F.array(*[F.lit(w) for w in ("原味", "柠檬", "橙子", "苹果", "葡萄", "桃", "荔枝", "薄荷", "咖啡", "巧克力")]),
-                        lambda w: F.col(text).contains(w))
+    flavours = F.filter(F.array(*[F.lit(w) for w in fv.FLAVOURS]), lambda w: F.col(text).contains(w))
     kinds = [
-        ("specification", F.concat(every(r"(?i)[0-9]+(?:ml|g|kg|L)"), every(r"(?i)[0-9]+\*[0-9]+(?:ml|g|kg)"),
-                                   every("([0-9]+)盒装", 1), every("([0-9]+)瓶装", 1))),
-        ("flavor", flavours),
-        ("capacity", F.concat(every(r"(?i)[0-9]+(?:ml|毫升|L|升)"), every(r"(?i)[0-9]+(?:g|克|kg|千克)"))),
-        ("batch", F.concat(every(r"批号[:：]?([A-Za-z0-9]+)", 1), every(r"(?i)batch[:：]?([A-Za-z0-9]+)", 1),
-                           every(r"(?i)lot[:：]?([A-Za-z0-9]+)", 1))),
-        ("year", every(r"(?:19|20)[0-9]{2}")),
+        (kind, flavours) if kind == "flavor" else (kind, F.concat(*[every(p, g) for p, g in patterns])) for kind, patterns in fv.ATTRIBUTE_PATTERNS.items()
     ]
     pairs = F.flatten(F.array(*[tagged(values, "kind", kind) for kind, values in kinds]))
     return df.select(*[c for c in df.columns if c != text], F.inline(pairs))
 
 
-# Identifier patterns of the harvest.
-HARVEST_PATTERNS = {
-    "date_separated": r"[0-9]{4}[-/年][0-9]{1,2}[-/月][0-9]{1,2}[日]?",
-    "date_dotted": r"[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}",
-    "date_compact": r"[0-9]{8}",
-    "date_short": r"[0-9]{2}[-/][0-9]{2}[-/][0-9]{2,4}",
-    "batch_letter": r"[A-Z][0-9]{6,}",
-    "batch_digits": r"[0-9]{10,}",
-    "batch_letters": r"[A-Z]{2,}[0-9]+",
-}
-
-
 def harvest_identifiers(docs: DataFrame) -> DataFrame:
     """Every date-like and batch-like string, one row per match. Explodes inside the scan stage."""
     pairs = F.flatten(F.array(*[
-        tagged(F.regexp_extract_all("text", F.lit(p), F.lit(0)), "pattern", kind) for kind, p in HARVEST_PATTERNS.items()]))
+        tagged(F.regexp_extract_all("text", F.lit(p), F.lit(0)), "pattern", kind) for kind, p in fv.HARVEST_PATTERNS.items()]))
     return docs.select("doc_id", F.inline(pairs))
 
 

@@ -310,7 +310,7 @@ def product_attributes(spark, d):
 
 
 HARVEST = " UNION ALL ".join(f"SELECT '{k}' AS pattern, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents"
-                             for k, p in ops.HARVEST_PATTERNS.items())
+                             for k, p in fv.HARVEST_PATTERNS.items())
 
 
 @query("X24_harvest_identifiers", f"SELECT pattern, count(*) AS found, count(DISTINCT value) AS distinct_values FROM ({HARVEST}) GROUP BY 1")

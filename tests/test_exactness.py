@@ -56,7 +56,7 @@ def test_masks_and_leaks_walk_maps_and_nested_arrays(spark):
 
 def test_two_digit_years(spark):
     rows = spark.createDataFrame([("01/15/99",), ("1/5/24",), ("2/29/72",), ("12/31/68",)], "t string")
-    got = {r.t: (r.l, str(r.d)) for r in rows.select("t", dt.date_layout(F.col("t")).alias("l"), dt.parse_date(F.col("t")).alias("d")).collect()}
+    got = {r.t: (r.l, str(r.d)) for r in rows.select("t", dt.layout_and_date(F.col("t"))["layout"].alias("l"), dt.parse_date(F.col("t")).alias("d")).collect()}
     assert got == {"01/15/99": ("us_short", "1999-01-15"), "1/5/24": ("us_short", "2024-01-05"), "2/29/72": ("us_short", "1972-02-29"), "12/31/68": ("us_short", "2068-12-31")}
 
 
