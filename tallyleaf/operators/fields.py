@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tallyleaf import fixed_values as fv
 from tallyleaf.functions import text as tx
-from tallyleaf.operators.scale import exact_median, literal_table
+from tallyleaf.operators.scale import exact_median, literal_table, salted_join
 
 
 def align_channels(ocr: DataFrame, vl: DataFrame) -> DataFrame:
@@ -324,3 +325,34 @@ def remaining_items(items: DataFrame, done: DataFrame, key: str, keep: Column |
     if keep is not None:
         left = left.where(keep)
     return left if sample is None else left.orderBy(F.md5(F.col(key).cast("string")), key).limit(sample)
+
+
+def agreement_links(docs: DataFrame, threshold: float = 0.95, text: str = "text", salts: int = 8) -> DataFrame:
+    """``doc_id, links, best``: with how many other rows a row's text agrees by ``threshold`` or more, and the best such agreement (null without one).
+
+    Agreement is ``value_agreement``: .6 of the shared part of the character sets and .4 of the ratio of lengths. It depends on set and length alone,
+    so equal pairs of these are one signature and counts are joined, not rows. A pair can reach the threshold only if its lengths lie within
+    one class of each other, the classes' ratio being the least that the length part allows, and if the sets share one of their first characters in a
+    fixed order, as many as the least overlap leaves over; pairs are found by class and such a character, once each, and then
+    scored exactly. A busy class is spread over ``salts``. Null and empty texts agree with nothing. Needs ``threshold`` over .6.
+    """
+    if not 0.6 < threshold <= 1:
+        raise ValueError("the bounds need a threshold over .6, and 1 at most")
+    ratio, share = (threshold - 0.6) / 0.4 - 1e-9, (threshold - 0.4) / 0.6 - 1e-9
+    low = F.lower(F.col(text))
+    chars = F.sort_array(F.array_distinct(F.split(low, "")), asc=False)
+    rows = docs.select("doc_id", F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.struct(F.filter(chars, lambda c: c != "").alias("chars"), F.length(low).alias("length"))).alias("sign"))
+    signs = rows.where("sign IS NOT NULL").groupBy("sign").agg(F.count("*").alias("n")).select("sign.*", "n").withColumn("id", F.xxhash64("chars", "length"))
+    size = F.size("chars")
+    first = F.slice("chars", F.lit(1), (size - F.ceil(size * F.lit(share)) + 1).cast("int"))
+    spaced = signs.withColumn("first", first).withColumn("class", F.floor(F.log(F.col("length")) / F.lit(-math.log(ratio))).cast("bigint"))
+    ours = spaced.select("id", "chars", "length", "n", "first", "class", F.explode("first").alias("mark"))
+    theirs = spaced.select(F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("id").alias("id2"), F.col("chars").alias("chars2"),
+                           F.col("length").alias("length2"), F.col("n").alias("n2"), F.col("first").alias("first2")).withColumn("mark", F.explode("first2"))
+    met = salted_join(ours, theirs, ["class", "mark"], "id", salts).where((F.col("id") != F.col("id2")) & (F.get(F.array_intersect("first", "first2"), F.lit(0)) == F.col("mark")))
+    shared = F.size(F.array_intersect("chars", "chars2"))
+    score = 0.6 * (shared / (F.size("chars") + F.size("chars2") - shared)) + 0.4 * (F.least("length", "length2") / F.greatest("length", "length2"))
+    links = met.withColumn("score", score).where(F.col("score") >= threshold).groupBy("id").agg(F.sum("n2").alias("others"), F.max("score").alias("nearest"))
+    counted = signs.join(links, "id", "left").select(F.struct("chars", "length").alias("sign"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
+                                                     F.when(F.col("n") > 1, 1.0).otherwise(F.col("nearest")).alias("best"))
+    return rows.join(counted, "sign", "left").select("doc_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "best")

@@ -90,6 +90,15 @@ def character_sets(spark, d):
     return pairs(spark, d).select("doc_id", "field", F.size(F.array_intersect(a, b)).alias("shared"), F.size(F.array_union(a, b)).alias("joint"))
 
 
+@query("X03_document_agreement", """WITH d AS (SELECT doc_id, list_distinct(string_split(lower(text), '')) AS cs, length(text) AS n FROM documents),
+  p AS (SELECT a.doc_id, 0.6::DOUBLE * (len(list_intersect(a.cs, b.cs))::DOUBLE / (len(a.cs) + len(b.cs) - len(list_intersect(a.cs, b.cs)))) + 0.4::DOUBLE * (least(a.n, b.n)::DOUBLE / greatest(a.n, b.n)) AS s
+    FROM d a JOIN d b ON a.doc_id <> b.doc_id AND a.n > 0 AND b.n > 0 AND least(a.n, b.n) >= 0.87 * greatest(a.n, b.n) AND least(len(a.cs), len(b.cs)) >= 0.91 * greatest(len(a.cs), len(b.cs)))
+  SELECT d.doc_id, count(s) AS links, ROUND(max(s), 8) AS best FROM d LEFT JOIN p ON p.doc_id = d.doc_id AND s >= 0.95 GROUP BY 1""")
+def document_agreement(spark, d):
+    out = ops.agreement_links(v.table(spark, d, "documents"))
+    return out.withColumn("best", F.round("best", 8))
+
+
 @query("X04_conflict_rate", "WITH " + ALIGNED + """ SELECT field, count(*) AS pairs, count(*) FILTER (ov <> '' AND vv <> '' AND ov <> vv
     AND levenshtein(ov, vv)::DOUBLE / greatest(length(ov), length(vv)) > 0.5) AS conflicts FROM aligned WHERE ov IS NOT NULL AND vv IS NOT NULL GROUP BY 1""")
 def conflict_rate(spark, d):

@@ -162,3 +162,29 @@ def test_embedding_clusters_gather_what_is_near(spark):
     out = {r.vec_id: (r.cluster, r.distance) for r in vector_clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4).collect()}
     assert len(out) == 200 and len({c for c, _ in out.values()}) == 4
     assert all(len({out[i][0] for i in range(200) if i % 4 == k}) == 1 for k in range(4)) and max(d for _, d in out.values()) < 0.5
+
+
+def test_agreement_links_equal_all_pairs(spark):
+    import random
+
+    from tallyleaf.operators.fields import agreement_links
+
+    rnd = random.Random(6)
+    words = ["Alpha", "beta", "Gamma!", "ß", "é", "Zulu", "x1", "quick", "lazy", ",", "日本"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))) for _ in range(150)] + [" ".join(rnd.choice(words[:6]) for _ in range(20)) for _ in range(150)]
+    texts += ["", None, "a", "A", "aa", "b", "same text", "Same Text", " "]
+
+    def agree(a, b):
+        if not a or not b:
+            return 0.0
+        a, b = a.lower(), b.lower()
+        return 1.0 if a == b else 0.6 * (len(set(a) & set(b)) / len(set(a) | set(b))) + 0.4 * (min(len(a), len(b)) / max(len(a), len(b)))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for threshold in (0.8, 0.95, 1.0):
+        got = {r.doc_id: (r.links, r.best and round(r.best, 9)) for r in agreement_links(docs, threshold, salts=3).collect()}
+        for i, a in enumerate(texts):
+            scores = [agree(a, b) for j, b in enumerate(texts) if j != i]
+            near = [s for s in scores if s >= threshold]
+            assert got[i] == (len(near), round(max(near), 9) if near else None)
+    assert agreement_links(docs.limit(0)).count() == 0
