@@ -9,17 +9,20 @@ from tallyleaf import fixed_values as fv
 
 
 def layout_and_date(text: Column) -> Column:
-    """First layout, in catalogue order, that yields a real date, as (layout, date); null without one.
+    """First layout, in catalogue order, that yields a real date, as (layout, date); both null without one.
 
-    A text is parsed only for layouts whose pattern it holds. Two-digit years from 69 on belong to the last century.
+    Layouts are tried one after the other until one gives a date, and a text is parsed only for layouts whose pattern it holds. Two-digit
+    years from 69 on belong to the last century.
     """
     tries = []
     for name, pattern, fmt in fv.DATE_LAYOUTS:
-        date = F.try_to_date(F.regexp_extract(text, pattern, 0), fmt)
+        written = F.regexp_extract(text, pattern, 0)
+        date = F.try_to_date(written, fmt)
         if fmt.endswith("/yy"):
-            date = F.when(F.year(date) >= 2069, F.add_months(date, -1200)).otherwise(date)
-        tries.append(F.when(text.rlike(pattern), F.struct(F.lit(name).alias("layout"), date.alias("date"))))
-    return F.get(F.filter(F.array(*tries), lambda t: t["date"].isNotNull()), F.lit(0))
+            date = F.add_months(date, F.when(F.right(written, F.lit(2)) >= "69", -1200).otherwise(0))
+        tries.append(F.when(text.rlike(pattern), F.concat(F.lit(name + "|"), date.cast("string"))))
+    hit = F.coalesce(*tries)
+    return F.struct(F.split_part(hit, F.lit("|"), F.lit(1)).alias("layout"), F.split_part(hit, F.lit("|"), F.lit(2)).cast("date").alias("date"))
 
 
 def parse_date(text: Column) -> Column:

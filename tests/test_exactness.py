@@ -188,3 +188,45 @@ def test_agreement_links_equal_all_pairs(spark):
             near = [s for s in scores if s >= threshold]
             assert got[i] == (len(near), round(max(near), 9) if near else None)
     assert agreement_links(docs.limit(0)).count() == 0
+
+
+def walked_mask(text, kind):
+    import hashlib
+    import re
+
+    from tallyleaf import fixed_values as fv
+    from tallyleaf.functions.text import sensitive_pattern
+
+    def partial(m):
+        n = len(m)
+        return "*" * n if n <= 2 else m[0] + "*" * (n - 2) + m[-1] if n <= 6 else m[:2] + "*" * (n - 4) + m[-2:]
+
+    for name in fv.SENSITIVE_PATTERNS:
+        change = partial if kind == "partial" else lambda m: f"***{hashlib.md5(m.encode()).hexdigest()[:8]}***"
+        text = re.sub(sensitive_pattern(name), lambda m, change=change: change(m[0]), text, flags=re.ASCII)
+    return text
+
+
+def test_masking_queries_as_a_whole(spark):
+    import hashlib
+    import re
+
+    from tallyleaf import fixed_values as fv
+    from tallyleaf.functions.text import sensitive_pattern
+    from tallyleaf.plans import all_queries
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    nested = {r.doc_id: tuple(r)[1:] for r in all_queries()["X15_nested_mask"](spark, folder).collect()}
+    assert nested == {r.doc_id: (hashlib.md5(walked_mask(r.text, "hash").encode()).hexdigest(), walked_mask(r.lang, "hash"), walked_mask(r.source, "hash")) for r in rows}
+
+    def holds(text):
+        return any(re.search(sensitive_pattern(n), text, re.ASCII) for n in fv.SENSITIVE_PATTERNS)
+
+    want = {}
+    for r in rows:
+        masked, counts = walked_mask(r.text, "partial"), want.setdefault(r.source, [0, 0, 0])
+        for k, hit in enumerate((holds(r.text), holds(masked), masked != r.text)):
+            counts[k] += hit
+    got = {r.source: [r.before, r.after, r.changed] for r in all_queries()["X15_partial_mask"](spark, folder).collect()}
+    assert got == want and sum(c[2] for c in want.values()) > 0
