@@ -224,7 +224,8 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
     A null text gives a null list, no tokens and a null round trip; an empty text an empty list. A text that holds the
     space mark itself decodes it to a space, as the model's own library does, so its round trip is false. Rows are
-    independent: repeats and ties need nothing; other columns are ignored. ``model`` is a path every executor can open.
+    independent: repeats and ties need nothing; other columns are ignored. A very long text is composed part by part, whole; an empty table
+    gives no rows. ``model`` is a path every executor can open.
     """
 
     def run(batches):
@@ -247,7 +248,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; a null list gives a null text."""
+    """``doc_id, text`` from ``doc_id, ids``; a null list gives a null text, an empty table no rows."""
 
     def run(batches):
         ts.claim("transducer", _machines.clear)
