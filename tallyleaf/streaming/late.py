@@ -22,10 +22,11 @@ class ProgressRows(StreamingQueryListener):
     """Keeps each batch's rows read and groups left out by watermark of one query; a batch that is run again replaces itself."""
 
     def __init__(self, query_name: str):
-        self.query_name, self.rows, self.ended = query_name, {}, threading.Event()
+        self.query_name, self.rows, self.ended, self.run = query_name, {}, threading.Event(), None
 
     def onQueryStarted(self, event) -> None:
-        pass
+        if event.name == self.query_name:
+            self.run = event.runId
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -38,7 +39,8 @@ class ProgressRows(StreamingQueryListener):
             self.rows[p["batchId"]] = (p["batchId"], (p.get("eventTime") or {}).get("watermark"), int(seen.get("n") or 0), dropped)
 
     def onQueryTerminated(self, event) -> None:
-        self.ended.set()
+        if event.runId == self.run:
+            self.ended.set()
 
 
 def run_counting_late(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, metrics: str, name: str) -> None:
