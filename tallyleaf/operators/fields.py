@@ -192,7 +192,8 @@ def extract_fields(docs: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     """First matching rule per field, plus the number of key fields filled and a confidence band."""
     out = docs.withColumn("_han", F.col("text").rlike("[一-龥]"))
     for field, patterns in rules.items():
-        tries = [F.nullif(tx.strip(F.regexp_extract("text", "(?imd)" + p, 1)), F.lit("")) for p in patterns]
+        # A place without a Han character is passed over at once by the rules that begin with one.
+        tries = [F.nullif(tx.strip(F.regexp_extract("text", "(?imd)" + ("(?=[一-龥])" if needs_han(p) else "") + p, 1)), F.lit("")) for p in patterns]
         out = out.withColumn(field, F.coalesce(*[F.when(F.col("_han"), t) if needs_han(p) else t for p, t in zip(patterns, tries)]))
     return with_band(out.drop("_han"))
 

@@ -109,7 +109,10 @@ def settle(both: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
 def settled_fields(docs: DataFrame, rules: dict[str, list[str]] | None = None) -> DataFrame:
     """Both layers over every text, settled, with the number of key fields filled and the confidence band after it."""
     rules = fv.FIELD_RULES if rules is None else rules
-    return with_band(settle(free_form_fields(extract_fields(docs, rules)), rules))
+    both = free_form_fields(extract_fields(docs, rules))
+    # One row of a struct: what both layers found is worked out once, however often the arbiter looks at it.
+    once = both.select(F.explode(F.array(F.struct("*"))).alias("_found")).select("_found.*")
+    return with_band(settle(once, rules))
 
 
 def layer_fill(settled: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
