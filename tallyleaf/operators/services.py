@@ -198,8 +198,21 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, salts: int = 8) -> Data
 
     The list is exploded once so the match is an equi-join; a busy (tenant, type) is spread over salted tasks.
     """
-    wanted = subscriptions.where("active").select("sub_id", "tenant_id", F.explode("events").alias("event_type")).distinct()
-    return salted_join(events, wanted, ["tenant_id", "event_type"], "event_id", salts)
+    return salted_join(events, wanted_types(subscriptions), ["tenant_id", "event_type"], "event_id", salts)
+
+
+def wanted_types(subscriptions: DataFrame) -> DataFrame:
+    return subscriptions.where("active").select("sub_id", "tenant_id", F.explode("events").alias("event_type")).distinct()
+
+
+def fan_out_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``sub_id, event_type, deliveries``: how many rows ``fan_out`` gives each subscription and type, without making them.
+
+    Events are counted per tenant and type before they meet the subscriptions, so the work grows with events plus subscriptions
+    where the deliveries grow with their product.
+    """
+    counts = events.groupBy("tenant_id", "event_type").agg(F.count("*").alias("n"))
+    return wanted_types(subscriptions).join(counts, ["tenant_id", "event_type"]).groupBy("sub_id", "event_type").agg(F.sum("n").alias("deliveries"))
 
 
 def retry_timetable(deliveries: DataFrame) -> DataFrame:

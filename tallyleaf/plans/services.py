@@ -147,7 +147,7 @@ def path_counts(spark, d):
     ON e.tenant_id = s.tenant_id AND e.event_type = s.event_type GROUP BY 1, 2""")
 def fan_out(spark, d):
     wh, subs, _ = v.webhooks(spark, d)
-    return ops.fan_out(wh, subs).groupBy("sub_id", "event_type").agg(F.count("*").alias("deliveries"))
+    return ops.fan_out_counts(wh, subs)
 
 
 @query("W16_retry_timetable", """WITH del AS (SELECT DISTINCT delivery_id FROM wh_attempts), r AS (SELECT delivery_id, unnest(range(1, 6)) AS retry FROM del),

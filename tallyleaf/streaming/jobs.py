@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyleaf.operators.services import fan_out
+from tallyleaf.operators.services import fan_out, fan_out_counts
 from tallyleaf.session import scratch_path
 
 WATERMARK = "10 minutes"
@@ -37,19 +37,20 @@ def alerting_audit(audit: DataFrame, actions) -> DataFrame:
     return audit.where(F.col("action").isin(list(actions)) | (F.col("status") == "failure"))
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", name: str | None = None):
-    """Start a query that writes each micro-batch under its own folder, so that a replay overwrites itself."""
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", name: str | None = None,
+                  shape: Callable[[DataFrame], DataFrame] | None = None):
+    """Start a query that writes each micro-batch, or what ``shape`` makes of it, under its own folder, so that a replay overwrites itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        (batch if shape is None else shape(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = stream.writeStream if name is None else stream.writeStream.queryName(name)
     return writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_end(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", shape: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all available input and return the written rows with their batch number."""
     path = scratch_path(spark, name)
-    write_batches(stream, path, path + "-checkpoint", mode).awaitTermination()
+    write_batches(stream, path, path + "-checkpoint", mode, shape=shape).awaitTermination()
     return spark.read.option("basePath", path).parquet(path)
 
 
@@ -90,3 +91,8 @@ def in_parts(rows: DataFrame, parts: list[Column], name: str, beat: DataFrame |
 def deliver(spark: SparkSession, events: DataFrame, subscriptions: DataFrame, name: str = "deliveries") -> DataFrame:
     """Fan events out to subscriptions as they arrive (stream-static join)."""
     return run_to_end(spark, fan_out(events, subscriptions), name)
+
+
+def delivery_counts(spark: SparkSession, events: DataFrame, subscriptions: DataFrame, name: str = "delivery-counts") -> DataFrame:
+    """Deliveries per subscription and type of each micro-batch: what ``deliver`` would write, counted as it arrives."""
+    return run_to_end(spark, events, name, shape=lambda batch: fan_out_counts(batch, subscriptions))

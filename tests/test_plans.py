@@ -52,3 +52,23 @@ def test_alert_points_count_the_calls_the_limiter_rejects(spark):
     points = entry.queries()["T02_alert_points"](spark, DIR).where("rule = 'limiter_hits'").collect()
     rejected = half_hour_limit(spark, DIR).where("NOT admitted").count()
     assert rejected > 0 and round(sum(p["value"] for p in points) * 18000 / 10, 0) == rejected
+
+
+def test_fan_out_is_counted_before_it_is_multiplied(spark):
+    from pyspark.sql import functions as F
+    from tallyleaf.operators import services as ops
+    from tallyleaf.streaming import jobs
+
+    events = spark.createDataFrame([(i, i % 3, ["a", "b", None][i % 3 - i % 2]) for i in range(60)] + [(99, None, "a")], "event_id bigint, tenant_id bigint, event_type string")
+    subs = spark.createDataFrame([(1, 0, ["a", "b"], True), (2, 0, ["a"], True), (3, 1, ["b"], False), (4, 2, ["b", "b"], True), (5, None, ["a"], True)],
+                                 "sub_id bigint, tenant_id bigint, events array<string>, active boolean")
+    rows = sorted(map(tuple, ops.fan_out(events, subs).groupBy("sub_id", "event_type").agg(F.count("*")).collect()))
+    assert rows and sorted(map(tuple, ops.fan_out_counts(events, subs).collect())) == rows
+    assert "sum(n" in plan(entry.queries()["J09_fan_out"](spark, DIR))
+    written = []
+    kept, jobs.run_to_end = jobs.run_to_end, lambda *args, **more: written.append(kept(*args, **more)) or written[-1]
+    try:
+        out = entry.queries()["T06_stream_fan_out"](spark, DIR)
+    finally:
+        jobs.run_to_end = kept
+    assert out.count() > 0 and written[0].count() <= 10 * 3  # ten subscriptions, three types at most
