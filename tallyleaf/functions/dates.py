@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyleaf import fixed_values as fv
+from tallyleaf.functions.text import let
 
 
 def layout_and_date(text: Column) -> Column:
@@ -50,7 +51,9 @@ def compute_expiry(production: Column, shelf_life: Column, policy: str = "day28"
     parts = [F.nullif(F.regexp_extract(production, fv.WRITTEN_DATE, i), F.lit("")) for i in (1, 2, 3)]
     start = F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
     amount = F.nullif(F.regexp_extract(shelf_life, fv.WRITTEN_LIFE, 1), F.lit("")).try_cast("int")
-    return add_shelf_life(start, amount, F.regexp_extract(shelf_life, fv.WRITTEN_LIFE, 2), policy)
+    # Both are read once: the rules name them a dozen times, each of which would search the texts again.
+    read = F.struct(start.alias("start"), amount.alias("amount"), F.regexp_extract(shelf_life, fv.WRITTEN_LIFE, 2).alias("unit"))
+    return let(read, lambda r: add_shelf_life(r["start"], r["amount"], r["unit"], policy))
 
 
 def expiry_status(expiry: Column, asof: Column, near_days: int = 30) -> Column:
