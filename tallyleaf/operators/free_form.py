@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(tx.strip(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
+def holds_han(line: Column) -> Column:
+    return line.rlike("[一-龥]")
+
+
+def without_han(pattern: str) -> str | None:
+    """What is left of ``(?:a|b|c)`` for a line without Han characters; null if nothing can match there."""
+    kept = [word for word in pattern.removeprefix("(?:").removesuffix(")").split("|") if not re.search("[一-龥]", word)]
+    return "(?:" + "|".join(kept) + ")" if kept else None
+
+
 def listed(values: Column) -> Column:
     """The first few values as one text; null without any."""
     return F.when(F.size(values) > 0, F.array_join(F.slice(values, 1, fv.FREE_LISTED), "，"))
@@ -28,8 +40,9 @@ def listed(values: Column) -> Column:
 
 def free_brand(lines: Column) -> Column:
     """The first name in two scripts of any line; else the first short line of Han characters; else a Latin name alone in the first three lines."""
-    mixed = F.flatten(F.transform(lines, lambda line: F.array(*[found(line, p) for p in fv.MIXED_BRAND])))
-    bare = F.transform(lines, lambda line: F.regexp_replace(line, fv.HAN_BRAND_CUT, ""))
+    lines_of_han = F.filter(lines, holds_han)
+    mixed = F.flatten(F.transform(lines_of_han, lambda line: F.array(*[found(line, p) for p in fv.MIXED_BRAND])))
+    bare = F.transform(lines_of_han, lambda line: F.regexp_replace(line, fv.HAN_BRAND_CUT, ""))
     han = F.filter(bare, lambda word: word.rlike("^[一-龥]{2,6}$") & ~word.rlike(fv.HAN_BRAND_BARRED))
     latin = F.filter(F.slice(lines, 1, 3), lambda line: line.rlike(fv.LATIN_BRAND))
     return F.coalesce(F.get(F.filter(mixed, lambda x: x.isNotNull()), F.lit(0)), F.get(han, F.lit(0)), F.get(latin, F.lit(0)))
@@ -46,7 +59,12 @@ def free_product_name(lines: Column, brand: Column, product_type: Column) -> Col
 def free_ingredients(lines: Column) -> Column:
     """Known ingredients line by line, each once; a line that begins with "without" names none."""
     with_any = F.filter(lines, lambda line: ~line.startswith("无"))
-    each = F.transform(with_any, lambda line: F.flatten(F.array(*[F.regexp_extract_all(line, F.lit("(?iu)" + p), F.lit(0)) for p in fv.FREE_INGREDIENTS])))
+
+    def named(line: Column, patterns: list[str]) -> Column:
+        return F.flatten(F.array(*[F.regexp_extract_all(line, F.lit("(?iu)" + p), F.lit(0)) for p in patterns]))
+
+    latin = [p for p in map(without_han, fv.FREE_INGREDIENTS) if p is not None]
+    each = F.transform(with_any, lambda line: F.when(holds_han(line), named(line, fv.FREE_INGREDIENTS)).otherwise(named(line, latin)))
     return listed(F.array_distinct(F.flatten(each)))
 
 
@@ -62,8 +80,9 @@ def free_features(lines: Column, brand: Column, product_name: Column) -> Column:
     def alike(a: Column, b: Column) -> Column:
         return F.coalesce(F.contains(a, b) | F.contains(b, a), F.lit(False))
 
-    kept = F.filter(F.transform(F.filter(lines, lambda line: ~line.rlike(noise)), cleaned), lambda line: (F.length(line) >= fv.FREE_LEAST_FEATURE)
-                    & line.rlike("[一-龥]") & ~alike(line, brand) & ~alike(line, product_name))
+    # Cleaning takes characters away only: a line without Han characters is none before it.
+    kept = F.filter(F.transform(F.filter(lines, lambda line: holds_han(line) & ~line.rlike(noise)), cleaned), lambda line: (F.length(line) >= fv.FREE_LEAST_FEATURE)
+                    & holds_han(line) & ~alike(line, brand) & ~alike(line, product_name))
     # Once the list is full later lines cannot change it, so it never grows with the text.
     return listed(F.aggregate(kept, F.array().cast("array<string>"), lambda have, line: F.when(
         (F.size(have) >= fv.FREE_LISTED) | F.exists(have, lambda h: alike(h, line)), have).otherwise(F.concat(have, F.array(line)))))

@@ -1,11 +1,13 @@
 """Cases in which a job and its SQL twin could agree and both be wrong."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyleaf.functions import dates as dt
 from tallyleaf.operators import expiry, fields, monitoring, regions, services
 from tallyleaf.operators import text as tops
@@ -230,3 +232,49 @@ def test_masking_queries_as_a_whole(spark):
             counts[k] += hit
     got = {r.source: [r.before, r.after, r.changed] for r in all_queries()["X15_partial_mask"](spark, folder).collect()}
     assert got == want and sum(c[2] for c in want.values()) > 0
+
+
+def test_rule_for_latin_names_is_tried_once_a_run():
+    """The same first match as the plain rule, on texts of its own characters; a long text without marks costs no square."""
+    import re
+    import time
+
+    from tallyleaf import fixed_values as fv
+    from tallyleaf.operators.fields import LATIN_RUN, once_a_run
+
+    rules = [p for ps in fv.FIELD_RULES.values() for p in ps if p.startswith(LATIN_RUN)]
+    rnd, flags = random.Random(5), re.IGNORECASE | re.MULTILINE | re.ASCII
+    parts = ["Co", ".", "Inc.", "Ltd.", "Company", "group", "a", "B", "7", " ", "\n", ",", "厂", "Corp.", "é", "-"]
+    assert rules
+    for p in rules:
+        for _ in range(20000):
+            text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+            a, b = re.search(p, text, flags), re.search(once_a_run(p), text, flags)
+            assert (a and a.span(1)) == (b and b.span(1)), text
+        start = time.time()
+        assert re.search(once_a_run(p), "word " * 40000, flags) is None and time.time() - start < 5
+
+
+def test_lines_without_han_keep_their_latin_ingredients():
+    from tallyleaf import fixed_values as fv
+    from tallyleaf.operators.free_form import without_han
+
+    assert [without_han(p) for p in fv.FREE_INGREDIENTS][:2] == [None, "(?:VC|MIT|CMIT)"] and without_han(fv.FREE_INGREDIENTS[2]) == fv.FREE_INGREDIENTS[2]
+
+
+def test_written_dates_are_read_once_a_row(spark):
+    df = entry.queries()["X06_expiry_dates"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract") < 24
+
+
+def test_characters_are_counted_by_runs(spark):
+    from pyspark.sql import functions as F
+    from tallyleaf.functions.text import char_count, strip
+
+    rows = [("",), (None,), ("ab 1é中文😀x  ",), ("　 a b \n",), ("中" * 50,)]
+    df = spark.createDataFrame(rows, "t string")
+    for pattern in ("[a-z]", r"[a-zA-Z0-9\s]", "[一-鿿㐀-䶿]", "[À-ɏ]"):
+        counted = char_count(F.col("t"), pattern)
+        assert "regexp_count" not in str(counted)
+        assert [r[0] for r in df.select(counted).collect()] == [r[0] for r in df.select(F.regexp_count("t", F.lit(pattern))).collect()]
+    assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == ["", None, "ab 1é中文😀x", "a b", "中" * 50]
