@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tallyleaf import fixed_values as fv
 from tallyleaf.operators.scale import literal_table, salted_join
-from tallyleaf.session import cut_lineage
+from tallyleaf.session import cut_lineage, scratch_path
 
 # --- experiments --------------------------------------------------------------------------------------------
 
@@ -146,25 +146,58 @@ def descendants(edges: DataFrame, sources: DataFrame) -> DataFrame:
         levels.append(level)
 
 
+def graph(edges: DataFrame, outputs: DataFrame) -> tuple[DataFrame, int]:
+    """``src, dst, hit``, each edge once and written, ``hit`` where it ends on an output; and a number of tasks that keeps to a million edges each."""
+    spark = edges.sparkSession
+    ends = outputs.select(F.col("node_id").alias("dst"), F.lit(True).alias("hit")).distinct()
+    known = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    tasks = max(spark.sparkContext.defaultParallelism, known.count() // 1_000_000 + 1)
+    once = known.repartition(tasks, "dst").join(ends, "dst", "left").select("src", "dst", F.col("hit").isNotNull().alias("hit")).distinct()
+    path = scratch_path(spark, "edges")
+    once.write.parquet(path)
+    return spark.read.parquet(path), tasks
+
+
+def met(level: DataFrame, edges: DataFrame, tasks: int) -> DataFrame:
+    """A written level joined with edges on its last node ``src``; the edges stay where they are while the level is a short list."""
+    if level.limit(10_001).count() <= 10_000:
+        return edges.join(F.broadcast(level), "src")
+    return edges.repartition(tasks, "src").join(level, "src")
+
+
 def lineage_paths(edges: DataFrame, sources: DataFrame, outputs: DataFrame, max_depth: int) -> DataFrame:
     """``source, output, path, length``: every path from a source to an output over at most ``max_depth`` edges that visits no node twice.
 
-    ``edges`` has ``src, dst``; nodes may have several parents, repeated edges count once. Each round joins the open paths with the edges on their last
-    node and is written once; a hot node's paths are spread by Spark's skew handling, as the join key alone carries no order. The number of
+    ``edges`` has ``src, dst``; nodes may have several parents, repeated edges count once. The graph is first walked backwards from the outputs: a path
+    is carried on only over edges from whose end an output can still be reached in the edges left, so open paths that lead nowhere are never made. A hot
+    node's paths are spread by Spark's skew handling, as the join key alone carries no order. The number of
     paths can grow with the power of the depth: ``path_counts`` says how many there are without listing them. Runs jobs when called.
     """
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    outputs = outputs.select(F.col("node_id").alias("output")).distinct()
+    edges, tasks = graph(edges, outputs)
+    ending = edges.where("hit").select("src", "dst")
+    onward, reached = [], cut_lineage(ending.select(F.col("src").alias("dst")).distinct())
+    near = reached
+    for ahead in range(1, max_depth):
+        small = near.limit(10_001).count() <= 10_000
+        step = cut_lineage(edges.join(F.broadcast(near) if small else near, "dst", "left_semi").select("src", "dst", F.lit(ahead).alias("ahead")))
+        if step.isEmpty():
+            break
+        onward.append(step)
+        near = cut_lineage(step.select(F.col("src").alias("dst")).distinct().join(reached, "dst", "left_anti"))
+        reached = reached.unionByName(near)
     level = cut_lineage(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("src"), F.array("node_id").alias("path")).distinct())
     found = []
+
+    def longer(edges: DataFrame) -> DataFrame:
+        return met(level, edges, tasks).where(~F.array_contains("path", F.col("dst"))).select("source", "dst", F.concat("path", F.array("dst")).alias("path"))
+
     for length in range(1, max_depth + 1):
-        level = cut_lineage(level.join(edges, "src").where(~F.array_contains("path", F.col("dst"))).select(
-            "source", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
+        found.append(longer(ending).select("source", F.col("dst").alias("output"), "path", F.lit(length).alias("length")))
+        if length == max_depth or not onward:
+            break
+        level = cut_lineage(longer(reduce(DataFrame.unionByName, onward).where(F.col("ahead") <= max_depth - length)).withColumnRenamed("dst", "src"))
         if level.isEmpty():
             break
-        found.append(level.join(outputs, level["src"] == outputs["output"]).select("source", "output", "path", F.lit(length).alias("length")))
-    if not found:
-        return level.limit(0).select("source", F.col("src").alias("output"), "path", F.lit(0).alias("length"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -172,21 +205,21 @@ def path_counts(edges: DataFrame, sources: DataFrame, outputs: DataFrame, max_de
     """``source, output, paths, shortest, longest`` over at most ``max_depth`` edges, without listing a path.
 
     Numbers of ways are summed per (source, node) and level, so a wide graph costs its pairs, not its paths. For graphs without cycles; one that
-    still goes on after ``max_depth`` edges is an error, since ways and paths part there. Counts are decimals of 38 digits. Runs jobs when called.
+    still goes on after ``max_depth`` edges is an error, since ways and paths part there. Counts are decimals of 38 digits. Only nodes with edges of
+    their own are kept as a level; the number of tasks follows the edges, so none holds more of them in a larger graph. Runs jobs when called.
     """
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    level = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("src"), F.lit(1).cast("decimal(38,0)").alias("ways")).distinct()
-    levels = []
-    for length in range(1, max_depth + 2):
-        level = cut_lineage(level.join(edges, "src").groupBy("source", "dst").agg(F.sum("ways").cast("decimal(38,0)").alias("ways")).select("source", F.col("dst").alias("src"), "ways"))
+    edges, tasks = graph(edges, outputs)
+    inner = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    level = cut_lineage(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("src"), F.lit(1).cast("decimal(38,0)").alias("ways")).distinct())
+    ends = []
+    for length in range(1, max_depth + 1):
+        ends.append(met(level, edges.where("hit").select("src", "dst"), tasks).select("source", F.col("dst").alias("output"), "ways", F.lit(length).alias("length")))
+        level = cut_lineage(met(level, inner, tasks).groupBy("source", "dst").agg(F.sum("ways").cast("decimal(38,0)").alias("ways")).select("source", F.col("dst").alias("src"), "ways"))
         if level.isEmpty():
             break
-        if length > max_depth:
-            raise ValueError(f"the lineage goes on after {max_depth} edges: a cycle, or a larger max_depth is needed")
-        levels.append(level.withColumn("length", F.lit(length)))
-    every = reduce(DataFrame.unionByName, levels) if levels else level.withColumn("length", F.lit(0))
-    ends = every.join(outputs.select(F.col("node_id").alias("src")).distinct(), "src")
-    return ends.groupBy("source", F.col("src").alias("output")).agg(
+    else:
+        raise ValueError(f"the lineage goes on after {max_depth} edges: a cycle, or a larger max_depth is needed")
+    return reduce(DataFrame.unionByName, ends).repartition(tasks, "source", "output").groupBy("source", "output").agg(
         F.sum("ways").cast("decimal(38,0)").alias("paths"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
 
 

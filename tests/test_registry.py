@@ -111,3 +111,17 @@ def test_merged_sketches_keep_their_bound(spark):
         for p, q in ((0.05, r.p5), (0.5, r.p50), (0.99, r.p99)):
             slack = monitoring.sketch_rank_error() * r.n + 1
             assert sum(v < q for v in values) - slack <= p * r.n <= sum(v <= q for v in values) + slack
+
+
+def test_paths_that_lead_to_no_output_are_not_carried_on(spark, monkeypatch):
+    edges = [("s", "a"), ("a", "o"), ("o", "n"), *[("n", f"leaf{i}") for i in range(300)]]
+    kept = []
+
+    def cut(df, plain=services.cut_lineage):
+        kept.append(plain(df))
+        return kept[-1]
+
+    monkeypatch.setattr(services, "cut_lineage", cut)
+    rows = services.lineage_paths(*graph(spark, edges, ["s"], ["o"]), 4).collect()
+    assert [tuple(r.path) for r in rows] == [("s", "a", "o")]
+    assert max(df.count() for df in kept if "path" in df.columns) < 10
