@@ -192,6 +192,46 @@ def test_agreement_links_equal_all_pairs(spark):
     assert agreement_links(docs.limit(0)).count() == 0
 
 
+def test_close_sets_equal_all_pairs(spark):
+    import random
+
+    from tallyleaf.operators.fields import close_sets
+
+    rnd = random.Random(11)
+    sets = set()
+    for most in (3, 12, 25, 46, 150):
+        base = rnd.sample([chr(c) for c in [*range(10, 11), *range(32, 127), *range(0x4E00, 0x4E00 + 600), 0x1F600, 0x1F601]], most)
+        for _ in range(20):
+            gone = set(rnd.sample(base, rnd.randint(0, max(1, most // 15))))
+            sets.add("".join(sorted(set(base) - gone | set(rnd.sample("abcdefghij\n😀", rnd.randint(0, 1 + most // 40))))))
+    sets = sorted(sets - {""})
+    for share in (0.5 / 0.6, 0.55 / 0.6 - 1e-9, 1 - 1e-9):
+        want = {(a, b): (len(set(a) & set(b)), len(set(a) | set(b))) for a in sets for b in sets if a != b and len(set(a) & set(b)) >= share * len(set(a) | set(b))}
+        rows = close_sets(spark.createDataFrame([(s,) for s in sets], "set string"), share, 3).collect()
+        assert {(r.set, r.set2): (r.shared, r.joint) for r in rows} == want and len(rows) == len(want)
+        assert want or share > 0.99
+
+
+def test_agreement_counts_lengths_without_pairs_of_them(spark):
+    """3 000 lengths of one set of characters are 9 million pairs; each length's partners are an interval."""
+    import bisect
+
+    from tallyleaf.operators.fields import agreement_links
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), (F.col("id") + 1000).cast("int")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(9000, "a" * 1000), (9001, "a" * 4), (9002, "ab" * 600)], "doc_id long, text string"))
+    got = {r.doc_id: (r.links, r.best) for r in agreement_links(docs).collect()}
+    lengths = sorted([i + 1000 for i in range(3000)] + [1000])
+    for i in range(0, 3000, 7):
+        n = i + 1000
+        agree = lambda m: 0.6 + 0.4 * (min(n, m) / max(n, m)) >= 0.95
+        low = bisect.bisect_left(range(n), True, key=agree)
+        high = n + bisect.bisect_left(range(n, 2 * n), True, key=lambda m: not agree(m))
+        links = bisect.bisect_left(lengths, high) - bisect.bisect_left(lengths, low) - 1
+        assert got[i] == (links, 1.0 if i == 0 else 0.6 + 0.4 * max((n - 1) / n, n / (n + 1) if i < 2999 else 0))
+    assert got[9000] == (got[0][0], 1.0) and got[9001] == (0, None) and got[9002] == (0, None)
+
+
 def walked_mask(text, kind):
     import hashlib
     import re
