@@ -6,8 +6,10 @@ first cut into clusters that cannot touch each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -227,33 +229,69 @@ def merge_close_lines(coords: Column, threshold: int = 5) -> Column:
         (F.size(acc) == 0) | (c - F.element_at(acc, -1) > threshold), F.array_append(acc, c)).otherwise(acc))
 
 
-def assign_columns(regions: DataFrame, page: str = "doc_id", most_rounds: int = 100) -> DataFrame:
+def assign_columns(regions: DataFrame, page: str = "doc_id", most_rounds: int = 100, at_once: int = 100_000) -> DataFrame:
     """Column of each region by one-dimensional k-means with quantile seeds; k grows until the inertia is small.
 
-    A page that has not settled after ``most_rounds`` rounds is an error.
+    A page that has not settled after ``most_rounds`` rounds is an error. Pages are worked out together, about ``at_once`` regions at a time.
     """
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = ((pdf["x1"].to_numpy() + pdf["x2"].to_numpy()) / 2.0)
-        labels = np.zeros(len(x), dtype="int64")
+    def page_columns(x: np.ndarray, sizes: np.ndarray, names: list) -> np.ndarray:
+        """Column of each x centre of many pages at once; ``sizes`` holds each page's number of centres, which stand page by page."""
+        start, page = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        ordered, labels, open_pages = x[np.lexsort((x, page))], np.zeros(len(x), dtype="int64"), np.arange(len(sizes))
         for k in range(2, 6):
-            if len(x) < k:
+            open_pages = open_pages[sizes[open_pages] >= k]
+            if not len(open_pages):
                 break
-            centers = np.quantile(x, (np.arange(k) + 0.5) / k)
+            # Quantiles of each page, between two of its centres in order.
+            n, first = sizes[open_pages][:, None], start[open_pages][:, None]
+            at = (n - 1) * ((np.arange(k) + 0.5) / k)
+            below = np.floor(at).astype("int64")
+            a, b, t = ordered[first + below], ordered[first + np.minimum(below + 1, n - 1)], at - below
+            centers = np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t)
+            slots = np.full(len(sizes), -1)
+            slots[open_pages] = np.arange(len(open_pages))
+            rows = np.flatnonzero(slots[page] >= 0)
+            slot, value = slots[page[rows]], x[rows]
+            # Pages leave as they settle; ``moving`` are those left, ``own`` the place there of each of their centres.
+            moving, own, left = np.arange(len(open_pages)), slot, value
             for _ in range(most_rounds):
-                near = np.abs(x[:, None] - centers).argmin(axis=1)
-                moved = np.array([x[near == i].mean() if (near == i).any() else centers[i] for i in range(k)])
-                if np.allclose(moved, centers, atol=1e-9):
+                now = centers[moving]
+                cell = own * k + np.abs(left[:, None] - now[own]).argmin(axis=1)
+                count = np.bincount(cell, minlength=now.size).reshape(now.shape)
+                moved = np.where(count > 0, np.bincount(cell, left, now.size).reshape(now.shape) / np.maximum(count, 1), now)
+                on = ~np.isclose(moved, now, atol=1e-9).all(axis=1)
+                moving, stays = moving[on], on[own]
+                if not len(moving):
                     break
-                centers = moved
+                centers[moving] = moved[on]
+                own, left = (np.cumsum(on) - 1)[own[stays]], left[stays]
             else:
-                raise RuntimeError(f"columns of page {pdf[page].iloc[0]} did not settle in {most_rounds} rounds")
-            near = np.abs(x[:, None] - centers).argmin(axis=1)
-            if ((x - centers[near]) ** 2).sum() < len(x) * 100:
-                labels = centers.argsort().argsort()[near]
-                break
-        return pd.DataFrame({page: pdf[page], "region_id": pdf["region_id"], "column_no": labels})
-
-    return regions.select(page, "region_id", "x1", "x2").groupBy(page).applyInPandas(fit, f"{page} bigint, region_id bigint, column_no bigint")
+                raise RuntimeError(f"columns of page {names[open_pages[moving[0]]]} did not settle in {most_rounds} rounds")
+            near = np.abs(value[:, None] - centers[slot]).argmin(axis=1)
+            tight = np.bincount(slot, (value - centers[slot, near]) ** 2, len(open_pages)) < sizes[open_pages] * 100
+            rank = centers.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+            labels[rows] = np.where(tight[slot], rank[slot, near], 0)
+            open_pages = open_pages[~tight]
+        return labels
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, lists = batch.column(0), batch.column(1)
+            ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+            row = 0
+            while row < len(ends):
+                done = ends[row - 1] if row else 0
+                upto = max(row + 1, int(np.searchsorted(ends, done + at_once, "right")))
+                sizes = np.diff(ends[row:upto], prepend=done)
+                item, part = lists.slice(row, upto - row).flatten(), names.slice(row, upto - row)
+                x = item.field("x").to_numpy(zero_copy_only=False).astype("float64")
+                columns = page_columns(x, sizes, part.to_pylist())
+                yield pa.RecordBatch.from_arrays([part.take(pa.array(np.repeat(np.arange(len(part)), sizes))), item.field("region_id"), pa.array(columns)], [page, "region_id", "column_no"])
+                row = upto
+
+    centre = ((F.col("x1") + F.col("x2")) / 2.0).alias("x")
+    pages = regions.groupBy(F.col(page).cast("bigint").alias(page)).agg(F.collect_list(F.struct(centre, F.col("region_id").cast("bigint").alias("region_id"))).alias("r"))
+    return pages.mapInArrow(fit, f"{page} bigint, region_id bigint, column_no bigint")
 
 
 def exact_columns(regions: DataFrame, page: str = "doc_id", most: int = 5, spread: float = 100.0) -> DataFrame:

@@ -232,6 +232,45 @@ def test_agreement_counts_lengths_without_pairs_of_them(spark):
     assert got[9000] == (got[0][0], 1.0) and got[9001] == (0, None) and got[9002] == (0, None)
 
 
+def walked_columns(x):
+    import numpy as np
+
+    for k in range(2, 6):
+        if len(x) < k:
+            break
+        centers = np.quantile(x, (np.arange(k) + 0.5) / k)
+        for _ in range(100):
+            near = np.abs(x[:, None] - centers).argmin(axis=1)
+            moved = np.array([x[near == i].mean() if (near == i).any() else centers[i] for i in range(k)])
+            if np.allclose(moved, centers, atol=1e-9):
+                break
+            centers = moved
+        near = np.abs(x[:, None] - centers).argmin(axis=1)
+        if ((x - centers[near]) ** 2).sum() < len(x) * 100:
+            return centers.argsort(kind="stable").argsort(kind="stable")[near].tolist()
+    return [0] * len(x)
+
+
+def test_columns_of_pages_together_equal_page_by_page(spark):
+    import numpy as np
+
+    from tallyleaf.operators.regions import assign_columns
+
+    rnd, pages = np.random.default_rng(5), []
+    for i in range(400):
+        n = int(rnd.integers(1, 60 if i % 9 else 5))
+        pages.append((rnd.integers(0, 1 + i % 6, n) * 200 + rnd.integers(0, 1 + i % 70, n)) / 2 + (i % 3) * 1000)
+    want = [walked_columns(x) for x in pages]
+    assert {max(w) for w in want} == {0, 1, 2, 3, 4}
+    rows = [(p if p else None, r, float(x), float(x)) for p, page in enumerate(pages) for r, x in enumerate(page.tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, region_id long, x1 double, x2 double").repartition(3)
+    for at_once in (1, 50, 100_000):
+        got = {(r.doc_id or 0, r.region_id): r.column_no for r in assign_columns(df, at_once=at_once).collect()}
+        assert got == {(p, r): c for p, w in enumerate(want) for r, c in enumerate(w)}
+    with pytest.raises(Exception, match="page 7 did not settle in 1 rounds"):
+        assign_columns(spark.createDataFrame([(7, i, float(x), float(x)) for i, x in enumerate((0, 1, 50, 400, 3000))], "doc_id long, region_id long, x1 double, x2 double"), most_rounds=1).collect()
+
+
 def walked_mask(text, kind):
     import hashlib
     import re
