@@ -113,6 +113,78 @@ def test_quota_state_ends_with_its_month(spark):
     assert state("minutes").count() == 0
 
 
+class Counted:
+    """A store of values in memory that counts the calls made to it."""
+
+    def __init__(self):
+        self.held, self.calls, self.now = {}, 0, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, *schemas):
+        return self.__class__.Map(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    def exists(self):
+        return "used" in self.held
+
+    def get(self):
+        return self.held["used"]
+
+    def update(self, value):
+        self.calls, self.held["used"] = self.calls + 1, value
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    class Map:
+        def __init__(self, store):
+            self.store, self.held = store, {}
+
+        def keys(self):
+            return iter(list(self.held))
+
+        def getValue(self, key):
+            self.store.calls += 1
+            return self.held[key]
+
+        def updateValue(self, key, value):
+            self.store.calls += 1
+            self.held[key] = value
+
+        def removeKey(self, key):
+            self.store.calls += 1
+            del self.held[key]
+
+
+def test_minutes_that_are_due_cost_the_store_a_few_calls():
+    import numpy as np
+    import pandas as pd
+
+    month, frames, crossed, used = quota.QuotaMonth(), [], [], 0
+    start = int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp()) // 60
+    calls = [(start + m, m * 10 + c, 5 + (m + c) % 3) for m in range(4000) for c in range(3)]
+    for _, request, tokens in calls:
+        crossed += [(request, used + tokens, s) for s in quota.SHARES if used < s * 60_000 <= used + tokens]
+        used += tokens
+    for at in (slice(2000, 4000), slice(0, 2000)):  # not in order
+        minutes = [calls[i:i + 3] for i in range(0, len(calls), 3)][at]
+        frames.append(pd.DataFrame({"minute": [m[0][0] for m in minutes], "tokens": [sum(c[2] for c in m) for m in minutes], "quota": 60_000,
+                                    "ids": [np.array([c[1] for c in m]) for m in minutes], "parts": [np.array([c[2] for c in m]) for m in minutes]}))
+    store = Counted()
+    month.init(store)
+    store.now = (start + 3990) * 60_000  # ten minutes wait
+    out = list(month.handleInputRows((1, "202401"), iter(frames), store))
+    assert [(r.request_id, r.used, r.share) for f in out for r in f.itertuples()] == crossed and len(crossed) == 4
+    assert store.calls < 50 and len(month.minutes.held) == 10 and store.held["used"] == (used - sum(c[2] for c in calls[-30:]),)
+    store.now += 600_000
+    list(month.handleInputRows((1, "202401"), iter([]), store))
+    assert store.held["used"] == (used,) and not month.minutes.held and not month.frames.held
+
+
 # merge ------------------------------------------------------------------------------------------------------------
 
 USAGE = "request_id bigint, tenant_id bigint, day string, total_tokens bigint, success boolean"
