@@ -68,16 +68,28 @@ def idle_sessions(calls: DataFrame, keys: list[str], gap_minutes: int, watermark
         F.min(F.unix_micros("ts")).alias("started"), F.max(F.unix_micros("ts")).alias("ended"), F.count("*").alias("calls")).select(*keys, "started", "ended", "calls")
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions for a stream's state: as many as cores, or as the session's shuffles have, if that is fewer.
+
+    In every micro-batch each partition of each stateful operator opens and commits a store, and typed state starts a Python worker, with rows or without.
+    More of them than cores only cost time. A checkpoint keeps the number that it was begun with.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB, which typed state and timers need."""
-    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, kind)
+    """Streams started inside keep their state in RocksDB, which typed state and timers need, in ``state_partitions``."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.shuffle.partitions": str(state_partitions(spark))}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def in_parts(rows: DataFrame, parts: list[Column], name: str, beat: DataFrame | None = None) -> Iterator[str]:

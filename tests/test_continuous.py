@@ -113,6 +113,23 @@ def test_quota_state_ends_with_its_month(spark):
     assert state("minutes").count() == 0
 
 
+def test_state_is_dealt_over_no_more_partitions_than_cores(spark):
+    name, cores, start = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism, int(datetime(2024, 1, 20, tzinfo=timezone.utc).timestamp())
+    before, rows = spark.conf.get(name), [(start + 60 * i, i % 7, i, 100, 1000) for i in range(90)]
+    make = lambda e: quota.quota_stream(e.withColumn("period", F.date_format("ts", "yyyyMM")))
+    try:
+        spark.conf.set(name, 5 * cores)
+        written, checkpoint = run_parts(spark, [rows, [(start + 40 * 86400, None, None, None, None)]], CALL, make, "quota-partitions")
+        assert {(r.operatorId, r.numPartitions) for r in spark.read.format("state-metadata").load(checkpoint).collect()} == {(0, cores), (1, cores)}
+        assert int(spark.conf.get(name)) == 5 * cores
+        assert sorted((r.tenant_id, r.period, r.used) for r in written.where("kind = 'closed'").collect()) == walked_quota(rows)[1]
+        spark.conf.set(name, 1)
+        with jobs.rocksdb(spark):
+            assert spark.conf.get(name) == "1"
+    finally:
+        spark.conf.set(name, before)
+
+
 class Counted:
     """A store of values in memory that counts the calls made to it."""
 
